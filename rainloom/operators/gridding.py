@@ -272,39 +272,48 @@ def crossproduct(joint: DataFrame, band=C.SHARED_LAT_CLIP, deg: float = C.GRID_D
     )
 
 
-def cell_frame(spark, band=C.SHARED_LAT_CLIP, lon_range=(-180.0, 180.0), deg: float = C.GRID_DEG) -> DataFrame:
-    """Every cell of a box with its centre; generated in parallel from one range."""
+def cell_frame(
+    spark, band=C.SHARED_LAT_CLIP, lon_range=(-180.0, 180.0), deg: float = C.GRID_DEG, slabs: dict | None = None
+) -> DataFrame:
+    """Every cell of a box with its centre, for every combination of slab values.
+
+    All keys are decoded from one distributed range of numbers.
+    """
     lo, hi = S.lat_clip_bins(band=band, deg=deg)
-    n_lon = S.n_lon(deg)
     west = max(0, round((lon_range[0] - C.GRID_LON_MIN) / deg))
-    east = min(n_lon, round((lon_range[1] - C.GRID_LON_MIN) / deg)) - 1
-    width = east - west + 1
-    cells = spark.range((hi - lo + 1) * width).select(
-        (S.int_div("id", width) + lo).cast("short").alias("lat_bin"),
-        (F.pmod(F.col("id"), F.lit(width)) + west).cast("short").alias("lon_bin"),
-    )
+    east = min(S.n_lon(deg), round((lon_range[1] - C.GRID_LON_MIN) / deg)) - 1
+    width, height = east - west + 1, hi - lo + 1
+    slabs = slabs or {}
+    total = height * width
+    rest = S.int_div("id", total)
+    keys = {
+        "lat_bin": (S.int_div(F.pmod(F.col("id"), F.lit(total)), width) + lo).cast("short"),
+        "lon_bin": (F.pmod(F.col("id"), F.lit(width)) + west).cast("short"),
+    }
+    for name, values in slabs.items():
+        values = list(values)
+        picked = F.get(F.array(*[F.lit(v) for v in values]), F.pmod(rest, F.lit(len(values))).cast("int"))
+        keys[name] = picked
+        rest = S.int_div(rest, len(values))
+        total *= len(values)
+    cells = spark.range(total).select(*[c.alias(k) for k, c in keys.items()])
     return cells.withColumns({"lat": S.cell_lat("lat_bin", deg), "lon": S.cell_lon("lon_bin", deg)})
 
 
 def densify(
     grid: DataFrame,
     values: list[str],
-    slabs: list[str] | None = None,
+    slabs: dict | None = None,
     band=C.SHARED_LAT_CLIP,
     lon_range=(-180.0, 180.0),
     deg: float = C.GRID_DEG,
 ) -> DataFrame:
-    """Zeros for the untouched cells of a box, per slab (for example month and hour).
+    """Zeros for the untouched cells of a box, for every value of each slab key.
 
-    Meant for a box or a coarse grid: slabs present in the data multiply the cells.
+    ``slabs`` lists the key values, for example ``{"month": range(1, 13), "hour": range(24)}``.
     """
-    cells = cell_frame(grid.sparkSession, band, lon_range, deg)
-    if slabs:
-        # one row per slab (at most 12 months x 24 hours x class): bounded by the calendar
-        present = grid.select(*slabs).distinct()
-        n = S.int_div(F.lit(1), 1)
-        cells = cells.withColumn("_one", n).join(F.broadcast(present.withColumn("_one", n)), "_one").drop("_one")
-    keys = [*(slabs or []), *CELL]
+    cells = cell_frame(grid.sparkSession, band, lon_range, deg, slabs)
+    keys = [*(slabs or {}), *CELL]
     return cells.join(grid.select(*keys, *values), keys, "left").fillna(0, values)
 
 
