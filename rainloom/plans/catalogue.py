@@ -203,7 +203,7 @@ def population_table(features: DataFrame) -> DataFrame:
         features.withColumn("population", S.population())
         .groupBy("mission")
         .pivot("population", kinds)
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .fillna(0, kinds)
         .withColumn("total", F.col("land") + F.col("ocean") + F.col("coast"))
     )

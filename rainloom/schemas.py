@@ -9,8 +9,24 @@ from pyspark.sql import types as T
 from rainloom import constants as C
 
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+_TYPES = {
+    "string": T.StringType(),
+    "long": T.LongType(),
+    "int": T.IntegerType(),
+    "short": T.ShortType(),
+    "byte": T.ByteType(),
+    "float": T.FloatType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "array<float>": T.ArrayType(T.FloatType()),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    """"name type, name type" to a schema, without needing a session."""
+    pairs = (c.split() for c in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 SWATH = _schema(
