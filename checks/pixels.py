@@ -436,7 +436,7 @@ register(
     "A17_feature_table",
     lambda t: t.swath_features.drop("minor_axis_km", "orientation_deg", "aspect_ratio", "is_thin"),
     f"""SELECT CASE f.mission WHEN 'GPM' THEN 2 ELSE 1 END * 10000000000000 + f.orbit * 100000 + f.local_label AS feature_id,
-        f.*, q.* EXCLUDE ({FK}), round(CASE WHEN x.n < 2 THEN 0 ELSE x.major END, 3) AS major_axis_km, ec.eccentricity, ed.edge
+        f.*, q.* EXCLUDE ({FK}), CASE WHEN x.n < 2 THEN 0 ELSE x.major END AS major_axis_km, ec.eccentricity, ed.edge
         FROM (
           SELECT {FK}, sum(CAST(epoch_us(time) AS HUGEINT)) // count(*) AS time, count(*) AS npixels, sum(pixel_area) AS area_km2, {_CEN},
             min(scan) AS bbox_scan_min, max(scan) AS bbox_scan_max, min(ray) AS bbox_ray_min, max(ray) AS bbox_ray_max,
@@ -516,7 +516,7 @@ def reanalysis(t):
         F.when(F.pmod(a, F.lit(7)) != 3, -a / 8).alias("cin"),
         F.when(F.pmod(a, F.lit(3)) != 1, F.lit(290.0) + a / 64).alias("sst"),
         (F.lit(280.0) + a / 32).alias("skt"),
-        (a / 4096).alias("tpr"),
+        (a / 1000).alias("tpr"),
         F.pmod(a, F.lit(4)).alias("u10"),
         F.pmod(a, F.lit(6)).alias("v10"),
         levels.alias("levels"),
@@ -561,7 +561,7 @@ def _shear_sql(height: int) -> str:
 
 CTES["fields"] = f"""
 SELECT f.hour, f.iy, f.ix, a * 4 AS cape, CASE WHEN a % 7 <> 3 THEN -a / 8 END AS cin, CASE WHEN a % 3 <> 1 THEN 290.0 + a / 64 END AS sst,
-       280.0 + a / 32 AS skt, a / 4096 AS tpr, shear_1000m, shear_3000m, shear_6000m FROM field0 f
+       280.0 + a / 32 AS skt, a / 1000 AS tpr, shear_1000m, shear_3000m, shear_6000m FROM field0 f
 LEFT JOIN ({_shear_sql(1000)}) AS s1 USING (hour, iy, ix) LEFT JOIN ({_shear_sql(3000)}) AS s3 USING (hour, iy, ix) LEFT JOIN ({_shear_sql(6000)}) AS s6 USING (hour, iy, ix)"""
 register(
     "E1_shear",
