@@ -56,7 +56,7 @@ SELECT mission, month, {CH}, size_class AS class, sum(rain_sum) AS rain_sum, sum
 
 
 def month_grids(t):
-    return gridding.grid_months(t.events_swath, t.labels, t.swath_features, deg=DEG)
+    return gridding.grid_months(t.swath, t.labels, t.swath_features, deg=DEG)
 
 
 def staged_grids(t):
@@ -107,7 +107,7 @@ _CK = "lat_bin lon_bin hour"
 
 register(
     "G1_orbit_views",
-    lambda t: gridding.orbit_views(t.events_swath, 0.05),
+    lambda t: gridding.orbit_views(t.swath, 0.05),
     f"""SELECT {latbin('lat', 0.05)} AS lat_bin, {lonbin('lon', 0.05)} AS lon_bin, count(*) AS n_views, mission, orbit, any_value(time0) AS time
         FROM px JOIN (SELECT orbit AS o, sum(CAST(epoch_us(t) AS HUGEINT)) // count(*) AS time0 FROM (SELECT orbit, scan, max(time) AS t FROM px GROUP BY 1, 2) AS s GROUP BY 1) m ON m.o = orbit
         WHERE near_sfc_rain IS NOT NULL GROUP BY 1, 2, 4, 5""",
@@ -115,7 +115,7 @@ register(
 )
 register(
     "G2_hour_views",
-    lambda t: gridding.hour_views(t.events_swath, ("2024-01-01", "2024-01-15"), DEG),
+    lambda t: gridding.hour_views(t.swath, ("2024-01-01", "2024-01-15"), DEG),
     f"SELECT mission, {CH}, count(*) AS n_views FROM seen WHERE time >= TIMESTAMP '2024-01-01' AND time < TIMESTAMP '2024-01-15' GROUP BY ALL",
     longs=f"{_CK} n_views",
 )
@@ -128,14 +128,14 @@ register(
 _RAINL = f"{_CK} size_class echotop_class raintype raining_count"
 register(
     "G4_hour_rain",
-    lambda t: gridding.hour_rain(t.events_swath, t.labels, t.swath_features, deg=DEG),
+    lambda t: gridding.hour_rain(t.swath, t.labels, t.swath_features, deg=DEG),
     f"SELECT mission, {CH}, {CLS}, sum(rain_sum) AS rain_sum, sum(raining_count) AS raining_count FROM swath_rain GROUP BY ALL",
     doubles="rain_sum",
     longs=_RAINL,
 )
 register(
     "G5_hour_metrics",
-    lambda t: gridding.hour_metrics(t.events_swath, deg=DEG),
+    lambda t: gridding.hour_metrics(t.swath, deg=DEG),
     f"SELECT mission, {CH}, {', '.join(f'sum({c}) AS {c}' for c in C.METRIC_COLS)} FROM swath_metrics GROUP BY ALL",
     doubles=" ".join(_SUMS),
     longs=f"{_CK} {' '.join(_COUNTS)}",
@@ -161,7 +161,7 @@ register(
 register("G8_month_views", lambda t: month_grids(t)["views"], "SELECT * FROM swath_views", longs=f"{_MK} {_CK} n_views")
 register(
     "G9_metrics_only",
-    lambda t: gridding.grid_months(t.events_swath, None, None, metrics_only=True, deg=DEG)["metrics"],
+    lambda t: gridding.grid_months(t.swath, None, None, metrics_only=True, deg=DEG)["metrics"],
     "SELECT * FROM swath_metrics",
     doubles=" ".join(_SUMS),
     longs=f"{_MK} {_CK} {' '.join(_COUNTS)}",

@@ -31,8 +31,8 @@ def lake_root(t) -> str:
         lake.write_features(t.swath_features, root)
         from rainloom.operators.features import build_pixels
 
-        lake.write_pixels(build_pixels(t.events_swath, t.labels, t.members), t.swath_features, root)
-        lake.write_views(orbit_views(t.events_swath), root)
+        lake.write_pixels(build_pixels(t.swath, t.labels, t.members), t.swath_features, root)
+        lake.write_views(orbit_views(t.swath), root)
         t._lake = root
     return t._lake
 
@@ -269,8 +269,8 @@ register(
 register(
     "IO16_run_report",
     lambda t: lake.run_report(
-        t.events_swath.groupBy("mission", "orbit").agg((F.max("orbit") % 3 != 2).alias("has_radar")),
-        t.swath_features.where("orbit <> 1"), t.members.where("orbit <> 1"), orbit_views(t.events_swath).where("orbit <> 4"),
+        t.swath.groupBy("mission", "orbit").agg((F.max("orbit") % 3 != 2).alias("has_radar")),
+        t.swath_features.where("orbit <> 1"), t.members.where("orbit <> 1"), orbit_views(t.swath).where("orbit <> 4"),
     ).select("mission", "orbit", "n_features", "n_pixels", "n_views", "status"),
     f"""SELECT o.mission, o.orbit, coalesce(f.n, 0) AS n_features, coalesce(p.n, 0) AS n_pixels, coalesce(v.n, 0) AS n_views,
         CASE WHEN o.orbit % 3 = 2 THEN 'skipped_no_radar' WHEN f.n > 0 THEN 'ok' WHEN v.n > 0 THEN 'empty' ELSE 'failed' END AS status
@@ -316,7 +316,7 @@ register(
 register(
     "V2_conservation",
     lambda t: validate.check_conservation(
-        t.events_swath, month_grids(t)["views"].where("mission = 'GPM' OR lat_bin % 2 = 0").groupBy("mission", "lat_bin", "lon_bin", "hour").agg(F.sum("n_views").alias("n_views")),
+        t.swath, month_grids(t)["views"].where("mission = 'GPM' OR lat_bin % 2 = 0").groupBy("mission", "lat_bin", "lon_bin", "hour").agg(F.sum("n_views").alias("n_views")),
         staged_grids(t)["rain"]).groupBy("mission", "problem").agg(F.count("*").alias("n")),
     """SELECT 'TRMM' AS mission, 'total' AS problem, 1 AS n FROM (SELECT count(*) AS c FROM swath_views WHERE mission = 'TRMM' AND lat_bin % 2 = 1) AS t WHERE c > 0
        UNION ALL SELECT 'TRMM', 'rain without view', count(*) FROM (SELECT DISTINCT lat_bin, lon_bin, hour FROM swath_rain WHERE mission = 'TRMM' AND lat_bin % 2 = 1) AS r HAVING count(*) > 0""",
@@ -352,9 +352,9 @@ register(
 
 def _streamed(t):
     root = new_root(t, "stream")
-    t.events_swath.write.parquet(f"{root}/in")
+    t.swath.write.parquet(f"{root}/in")
     stream_hourly_grid(t.spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", "1 day", DEG, True).awaitTermination()
-    return t.spark.read.schema(hourly_grid(t.events_swath, deg=DEG).schema).parquet(f"{root}/out")
+    return t.spark.read.schema(hourly_grid(t.swath, deg=DEG).schema).parquet(f"{root}/out")
 
 
 CTES["hourly"] = f"""
@@ -372,7 +372,7 @@ register(
 )
 register(
     "T1_hourly_batch",
-    lambda t: hourly_grid(t.events_swath, deg=DEG),
+    lambda t: hourly_grid(t.swath, deg=DEG),
     "SELECT * REPLACE (epoch_us(hour_start) AS hour_start) FROM hourly",
     doubles="stratiform_sum convective_sum other_sum",
     longs="hour_start lat_bin lon_bin n_views stratiform_count convective_count other_count",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rainloom import constants as C
 from rainloom.functions.scalars import decode_fill, haversine_km, is_number, pct
+from rainloom.operators.geometry import footprint_area
 
 PIXEL = ["mission", "orbit", "scan", "ray"]
 CHANNEL = ["mission", "orbit", "channel"]
@@ -180,23 +181,33 @@ def parallax_gate(storm_top="storm_top", pia="pia") -> Column:
     return deep & is_number(pia) & (F.col(pia) > C.PARALLAX_PIA_DB)
 
 
-def colocate_pct(swath: DataFrame, imager: DataFrame, channel: str) -> DataFrame:
-    """(pixel key, pct) for one channel: shifted where gated, unshifted elsewhere.
+def colocate_pct(swath: DataFrame, imager: DataFrame, channels: tuple = ("85_89", "37")) -> DataFrame:
+    """(pixel key, one ``pct_<channel>`` column each): shifted where gated, unshifted elsewhere.
 
-    Each pixel is matched once, against the geolocation its gate selects.
+    All channels are matched in one join, and each pixel only against the geolocation its
+    gate selects. The result is narrow; a pixel without any match has no row.
     """
-    one = imager.where(F.col("channel") == channel)
-    geoloc = one.select("mission", "orbit", "scan", "ray", "lat", "lon", "pct", F.lit(False).alias("shifted")).unionByName(
-        parallax_shift(one).select("mission", "orbit", "scan", "ray", "lat", "lon", "pct", F.lit(True).alias("shifted"))
+    cols = ["mission", "orbit", "channel", "scan", "ray", "lat", "lon", "pct"]
+    wanted = imager.where(F.col("channel").isin(*channels))
+    geoloc = (
+        wanted.select(*cols, F.lit(False).alias("shifted"))
+        .unionByName(parallax_shift(wanted).select(*cols, F.lit(True).alias("shifted")))
+    )
+    targets = swath.select(
+        *PIXEL, "lat", "lon", parallax_gate().alias("shifted"), F.explode(F.array(*map(F.lit, channels))).alias("channel")
+    )
+    near = nearest_within(targets, geoloc, "pct", group=("mission", "orbit", "channel", "shifted"))
+    return near.groupBy(*PIXEL).agg(
+        *[F.max(F.when(F.col("channel") == c, F.col("pct"))).cast("float").alias(f"pct_{c}") for c in channels]
     )
-    targets = swath.select(*PIXEL, "lat", "lon", parallax_gate().alias("shifted"))
-    return nearest_within(targets, geoloc, "pct", group=("mission", "orbit", "shifted")).select(*PIXEL, "pct")
 
 
-def attach_pct(swath: DataFrame, imager: DataFrame) -> DataFrame:
-    """Swath with both co-located temperatures; pixels without a match stay null."""
-    out = swath.drop("pct_85_89", "pct_37")
-    for channel in ("85_89", "37"):
-        match = colocate_pct(swath, imager, channel).withColumnRenamed("pct", f"pct_{channel}")
-        out = out.join(match, PIXEL, "left")
-    return out
+def pixel_context(swath: DataFrame, imager: DataFrame | None = None) -> DataFrame:
+    """Narrow per-pixel side table: footprint area and co-located temperatures.
+
+    Without an imager the temperatures are null.
+    """
+    area = footprint_area(swath)
+    if imager is None:
+        return area.withColumns({c: F.lit(None).cast("float") for c in ("pct_85_89", "pct_37")})
+    return area.join(colocate_pct(swath, imager), PIXEL, "left")

@@ -112,7 +112,9 @@ def box_stats(features: DataFrame, cells: DataFrame, variables=C.ENV_VARS) -> Da
                 F.stddev_pop(x).alias(f"std_{v}_{box}"),
                 F.percentile(x, F.array(*[F.lit(p / 100.0) for p in C.ENV_PERCENTILES])).alias(f"_p_{v}_{box}"),
             ]
-    stats = around.groupBy("hour", "iy0", "ix0").agg(*aggs)
+    # The cells of a box come from many partitions, so a map-side pre-aggregate would ship
+    # over a hundred buffers per cell; moving the plain values once is far less.
+    stats = around.repartition("hour", "iy0", "ix0").groupBy("hour", "iy0", "ix0").agg(*aggs)
     cols = []
     for v in variables:
         for box in C.ENV_BOXES:

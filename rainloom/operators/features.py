@@ -20,16 +20,25 @@ THIN_KM = 1e-3
 ASPECT_MAX = 1e4
 
 
-def join_members(swath: DataFrame, labels: DataFrame, floors=None, echo: bool = True) -> DataFrame:
+def join_members(
+    swath: DataFrame, labels: DataFrame, side: DataFrame | None = None, floors=None, echo: bool = True
+) -> DataFrame:
     """Swath columns of every member pixel with its label.
 
     The reflectivity floor is applied before the join so that only raining pixels are
     shuffled, and the vertical arrays are reduced to echo columns on the scan side.
+    ``side`` adds narrow per-pixel columns (footprint, co-located temperatures) where the
+    swath does not carry them.
     """
     wet = rain_mask(swath, floors)
     if echo:
         wet = echotops.with_echo_columns(wet)
-    return labels.select(*PIXEL, "local_label").join(wet, PIXEL)
+    members = labels.select(*PIXEL, "local_label")
+    if side is not None:
+        extra = [c for c in side.columns if c not in PIXEL]
+        wet = wet.drop(*extra)
+        members = members.join(side, PIXEL, "left")
+    return members.join(wet, PIXEL)
 
 
 def _present(name: str) -> Column:

@@ -34,7 +34,10 @@ def scan_tiles(df: DataFrame, scans: int = TILE_SCANS) -> DataFrame:
 
 
 def footprint_area(swath: DataFrame, out: str = "pixel_area") -> DataFrame:
-    """Add the pixel footprint (km2): product of the two mean neighbour distances.
+    """(pixel key, footprint in km2): product of the two mean neighbour distances.
+
+    Only positions are read and shuffled; the result stays a narrow table, to be joined to
+    the pixels that need it rather than to the whole swath with its vertical arrays.
 
     A side without a pixel is a swath edge (one-sided distance); a neighbour that is
     there without a position makes the area null.
@@ -54,11 +57,10 @@ def footprint_area(swath: DataFrame, out: str = "pixel_area") -> DataFrame:
             .when(F.coalesce(after, F.lit(False)), d_after)
         )
 
-    area = (
+    return (
         scan_tiles(narrow)
         .withColumn("dy", spacing("scan", "ray"))
         .withColumn("dx", spacing("ray", "scan"))
         .where("is_core")
         .select(*keys, (F.col("dx") * F.col("dy")).cast("float").alias(out))
     )
-    return swath.drop(out).join(area, keys, "left")

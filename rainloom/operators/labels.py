@@ -117,11 +117,13 @@ def label_features(
     min_area: float = C.MIN_AREA_KM2,
     min_pixels: int = C.MIN_PIXELS,
     connectivity: int = 2,
+    areas: DataFrame | None = None,
 ) -> DataFrame:
     """Member pixels with ``local_label``, numbered per orbit by first pixel in row-major order.
 
     Small components are dropped after numbering. A component with a pixel of unknown area
-    has no known area and is dropped as well. Needs ``pixel_area``.
+    has no known area and is dropped as well. ``pixel_area`` comes from ``areas`` (keyed by
+    pixel) or else from the swath.
     """
     runs = materialize(scan_runs(rain_mask(swath, floors)), "runs")
     member = components(run_edges(runs, connectivity))
@@ -139,7 +141,9 @@ def label_features(
         runs.join(numbered, "root")
         .select(*ORBIT, "scan", F.explode(F.sequence("r0", "r1")).alias("ray"), "local_label")
     )
-    areas = swath.select(*ORBIT, "scan", "ray", F.col("pixel_area").cast("double").alias("area"))
+    areas = (swath if areas is None else areas).select(
+        *ORBIT, "scan", "ray", F.col("pixel_area").cast("double").alias("area")
+    )
     sized = materialize(pixels.join(areas, [*ORBIT, "scan", "ray"]), "labels")
     kept = (
         sized.groupBy(*ORBIT, "local_label")

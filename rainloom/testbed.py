@@ -24,13 +24,16 @@ def cents(col: str) -> F.Column:
     return F.round(F.col(col) * 100).cast("long")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A small source file is one task; the formulas below deserve all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def swath_pixels(events: DataFrame) -> DataFrame:
     """One radar pixel per event: 50 scans x 49 rays per orbit."""
     v = F.col("v")
     ray, scan, orbit = F.col("ray"), F.col("scan"), F.col("orbit")
-    # a small file is one task otherwise, and the vertical profiles below are long
-    spread = events.repartition(events.sparkSession.sparkContext.defaultParallelism)
-    df = spread.select(
+    df = _spread(events).select(
         F.col("event_id").alias("e"),
         cents("value").alias("v"),
         "user_id",
@@ -257,17 +260,22 @@ class Inputs:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
-    def events_swath(self) -> DataFrame:
-        """Swath with footprint areas and co-located temperatures."""
-        from rainloom.operators.colocate import attach_pct
-        from rainloom.operators.geometry import footprint_area
+    def swath(self) -> DataFrame:
+        raw = schemas.conform(swath_pixels(self.table("events")), schemas.SWATH)
+        # area and temperatures live in the narrow side table
+        return materialize(raw.drop("pixel_area", "pct_85_89", "pct_37"), "swath")
 
-        full = attach_pct(footprint_area(self.raw_swath), self.imager)
-        return materialize(schemas.conform(full, schemas.SWATH), "swath")
+    @cached_property
+    def geolocation(self) -> DataFrame:
+        """Full-precision positions with the columns of the parallax gate."""
+        cols = ["mission", "orbit", "scan", "ray", "lat", "lon", "storm_top", "pia"]
+        return materialize(swath_pixels(self.table("events")).select(*cols), "geolocation")
 
     @cached_property
-    def raw_swath(self) -> DataFrame:
-        return materialize(swath_pixels(self.table("events")), "raw-swath")
+    def side(self) -> DataFrame:
+        from rainloom.operators.colocate import pixel_context
+
+        return materialize(pixel_context(self.geolocation, self.imager), "side")
 
     @cached_property
     def imager(self) -> DataFrame:
@@ -279,27 +287,27 @@ class Inputs:
     def labels(self) -> DataFrame:
         from rainloom.operators.labels import label_features
 
-        return materialize(label_features(self.events_swath), "labelled")
+        return materialize(label_features(self.swath, areas=self.side), "labelled")
 
     @cached_property
     def members(self) -> DataFrame:
         from rainloom.operators.features import join_members
 
-        return materialize(join_members(self.events_swath, self.labels), "members")
+        return materialize(join_members(self.swath, self.labels, self.side), "members")
 
     @cached_property
     def swath_features(self) -> DataFrame:
         from rainloom.operators.features import build_features
 
-        return materialize(build_features(self.events_swath, self.labels, self.members), "features")
+        return materialize(build_features(self.swath, self.labels, self.members), "features")
 
-    @property
+    @cached_property
     def features(self) -> DataFrame:
-        return catalogue_features(self.table("orders"))
+        return materialize(catalogue_features(_spread(self.table("orders"))), "catalogue")
 
-    @property
+    @cached_property
     def pixels(self) -> DataFrame:
-        return catalogue_pixels(self.table("lineitem"))
+        return materialize(catalogue_pixels(_spread(self.table("lineitem"))), "catalogue-pixels")
 
 
 _inputs: dict[tuple[str, str], Inputs] = {}
