@@ -123,7 +123,7 @@ register(
         100.0 * sum(volrain_conv) / {_RAIN} AS conv_rain_pct FROM cat WHERE mission = 'TRMM' GROUP BY 1) AS g""",
     doubles="rain mean_area_km2 mean_min_pct conv_rain_pct pct_feat pct_rain",
     longs="n_feat",
-    rain=3,
+    rain=5,
 )
 register(
     "F1_order_status_contribution",
@@ -141,7 +141,7 @@ register(
         FROM (SELECT {_OL.format('land/coast')} AS surf, {floor_div('log10(area_km2)', 0.2)} AS b, {_RAIN} AS rain FROM cat WHERE mission = 'GPM' AND area_km2 > 0 GROUP BY 1, 2) AS g""",
     doubles="rain share cumulative",
     longs="b",
-    rain=3,
+    rain=5,
 )
 register(
     "F3_rain_by_intensity",
@@ -151,7 +151,7 @@ register(
         UNION ALL SELECT 'pct85', {floor_div('min_pct_85_89', 10)} * 10, {_RAIN} FROM cat WHERE mission = 'TRMM' AND min_pct_85_89 IS NOT NULL GROUP BY 2) AS g""",
     doubles="rain share",
     longs="b",
-    rain=3,
+    rain=5,
 )
 register(
     "F4_share_by_surface",
@@ -186,9 +186,9 @@ def _diurnal_sql(group, where):
 
 
 register("F6_diurnal_by_surface", lambda t: ct.diurnal_features(t.features, "TRMM"), _diurnal_sql(_OL.format("land"), "mission = 'TRMM'"),
-         doubles="rain normalised", longs="lst", rain=3)
+         doubles="rain normalised", longs="lst", rain=5)
 register("F6_diurnal_by_mcs", lambda t: ct.diurnal_features(t.features, "GPM", "mcs"),
-         _diurnal_sql("CASE WHEN is_mcs THEN 'MCS' ELSE 'non-MCS' END", "mission = 'GPM'"), doubles="rain normalised", longs="lst", rain=3)
+         _diurnal_sql("CASE WHEN is_mcs THEN 'MCS' ELSE 'non-MCS' END", "mission = 'GPM'"), doubles="rain normalised", longs="lst", rain=5)
 register(
     "F7_size_rate_histogram",
     lambda t: ct.size_rate_histogram(t.features),
@@ -196,7 +196,7 @@ register(
         count(*) AS n, {_RAIN} AS rain FROM cat WHERE area_km2 > 0 AND volrain_total > 0 GROUP BY 1, 2""",
     doubles="rain",
     longs="area_bin rate_bin n",
-    digits=4,
+    digits=5,
 )
 CTES["reg_cat"] = " UNION ALL ".join(
     f"SELECT '{n}' AS region, * FROM cat WHERE centroid_lat BETWEEN {a} AND {b} AND centroid_lon BETWEEN {c} AND {d}"
@@ -266,7 +266,7 @@ register(
     f"SELECT mission, count(*) AS n, {_RAIN} AS rain, min(centroid_lat) AS lat_lo, max(centroid_lat) AS lat_hi FROM cat GROUP BY 1",
     doubles="rain lat_lo lat_hi",
     longs="n",
-    rain=2,
+    rain=5,
 )
 
 # --- environment-conditioned ----------------------------------------------

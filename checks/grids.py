@@ -442,7 +442,7 @@ for _name, _cols in _QGROUP.items():
         f"SELECT member, lat_bin, lon_bin, {', '.join(_cols)} FROM sw_fields",
         doubles=" ".join(_cols),
         longs="lat_bin lon_bin",
-        digits=3 if _name.startswith(("Q2", "Q8")) else 7,
+        digits=6 if _name.startswith(("Q2", "Q8")) else 8,
     )
 _WIDE = [(m, q) for m in cl.MEMBERS for q in cl.QUANTITIES]
 register(
