@@ -105,7 +105,7 @@ def _env_round_trip(t):
 
     root = new_root(t, "env")
     env = env_for_features(t.swath_features.where("orbit < 2"), reanalysis(t))
-    lake.write_env(env, root)
+    lake.write_env(env, root, t.swath_features.where("orbit < 2"))
     back = lake.read_table(t.spark, root, "era5")
     return back.groupBy("mission", "orbit").agg(F.count("*").alias("n"), F.count("max_skt_5deg").alias("with_values"))
 

@@ -498,8 +498,8 @@ _VARS = C.ENV_VARS
 def reanalysis(t):
     """Analysis fields over the cells around the features, as formulas of hour and cell."""
     spots = environment.box_cells(environment.locate(t.swath_features), 11).select("hour", "iy", "ix").distinct()
-    n = F.unix_seconds("hour") / 3600
-    n = n.cast("long")
+    spots = spots.repartition(t.spark.sparkContext.defaultParallelism)
+    n = (F.unix_seconds("hour") / 3600).cast("long")
     a = F.pmod(n * 7 + F.col("iy") * 13 + F.col("ix") * 29, F.lit(1009)).cast("double")
     levels = F.transform(
         F.sequence(F.lit(1), F.lit(8)),

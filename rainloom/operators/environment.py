@@ -16,12 +16,19 @@ N_LON = round(360 / C.ENV_DEG)
 MAX_IY = round(90 / C.ENV_DEG)
 
 
-def _wind_at(profile: Column, target: float) -> Column:
-    """Linear interpolation in height; outside the profile or under two levels gives null."""
-    t = F.lit(float(target))
-    lower = F.array_max(F.filter(profile, lambda p: p["h"] <= t))
-    upper = F.array_min(F.filter(profile, lambda p: p["h"] >= t))
-    inside = (F.size(profile) >= 2) & lower.isNotNull() & upper.isNotNull()
+def _not_above(height: int):
+    return lambda level: level["h"] <= float(height)
+
+
+def _not_below(height: int):
+    return lambda level: level["h"] >= float(height)
+
+
+def _wind_at(component: str, height: int) -> Column:
+    """Linear interpolation between the bracketing levels; outside the profile or under two levels gives null."""
+    t = F.lit(float(height))
+    lower, upper = F.col(f"_{component}_lo_{height}"), F.col(f"_{component}_hi_{height}")
+    inside = (F.size(f"_{component}") >= 2) & lower.isNotNull() & upper.isNotNull()
     slope = (upper["w"] - lower["w"]) / F.when(upper["h"] > lower["h"], upper["h"] - lower["h"])
     return F.when(inside, F.coalesce(lower["w"] + (t - lower["h"]) * slope, lower["w"]))
 
@@ -36,11 +43,18 @@ def _profile(component: str) -> Column:
 
 def shear(reanalysis: DataFrame, heights=C.SHEAR_HEIGHTS_M) -> DataFrame:
     """Bulk shear of the 10 m wind to each height, once per analysis cell."""
-    df = reanalysis.withColumns({"pu": _profile("u"), "pv": _profile("v")})
+    df = reanalysis.withColumns({"_u": _profile("u"), "_v": _profile("v")})
+    # The brackets get columns of their own, so that each is searched once.
+    brackets = {}
+    for h in heights:
+        for c in ("u", "v"):
+            brackets[f"_{c}_lo_{h}"] = F.array_max(F.filter(f"_{c}", _not_above(h)))
+            brackets[f"_{c}_hi_{h}"] = F.array_min(F.filter(f"_{c}", _not_below(h)))
+    df = df.withColumns(brackets)
     cols = {}
     for h in heights:
-        du = _wind_at(F.col("pu"), h) - F.col("u10")
-        dv = _wind_at(F.col("pv"), h) - F.col("v10")
+        du = _wind_at("u", h) - F.col("u10")
+        dv = _wind_at("v", h) - F.col("v10")
         cols[f"shear_{h}m"] = F.sqrt(du * du + dv * dv)
     keep = [*CELL, *[v for v in C.ENV_VARS if not v.startswith("shear_")]]
     return df.select(*keep, *[c.alias(n) for n, c in cols.items()])
@@ -96,8 +110,8 @@ def box_cells(centres: DataFrame, radius: int = max(C.ENV_BOXES.values())) -> Da
 def box_stats(features: DataFrame, cells: DataFrame, variables=C.ENV_VARS) -> DataFrame:
     """Statistics of every variable over the three boxes around each feature.
 
-    Centres shared by several features are computed once. A box holds at most 441 cells,
-    which bounds the exact percentiles.
+    Centres shared by several features are computed once. A box holds at most 441 cells, so
+    its values fit in one sorted array, from which the percentiles are read by position.
     """
     located = locate(features)
     around = box_cells(located).join(cells.select(*CELL, *variables), CELL)
@@ -106,22 +120,26 @@ def box_stats(features: DataFrame, cells: DataFrame, variables=C.ENV_VARS) -> Da
         for box, radius in C.ENV_BOXES.items():
             x = F.when((F.col("ring") <= radius) & is_number(v), F.col(v).cast("double"))
             aggs += [
-                F.min(x).alias(f"min_{v}_{box}"),
-                F.max(x).alias(f"max_{v}_{box}"),
                 F.avg(x).alias(f"mean_{v}_{box}"),
                 F.stddev_pop(x).alias(f"std_{v}_{box}"),
-                F.percentile(x, F.array(*[F.lit(p / 100.0) for p in C.ENV_PERCENTILES])).alias(f"_p_{v}_{box}"),
+                F.sort_array(F.collect_list(x)).alias(f"_sorted_{v}_{box}"),
             ]
     # The cells of a box come from many partitions, so a map-side pre-aggregate would ship
-    # over a hundred buffers per cell; moving the plain values once is far less.
+    # dozens of buffers per cell; moving the plain values once is far less.
     stats = around.repartition("hour", "iy0", "ix0").groupBy("hour", "iy0", "ix0").agg(*aggs)
+
+    def percentile(values: Column, p: int) -> Column:
+        spot = (F.size(values) - 1) * F.lit(p / 100.0)
+        low, high = F.get(values, F.floor(spot).cast("int")), F.get(values, F.ceil(spot).cast("int"))
+        return low + (high - low) * (spot - F.floor(spot))
+
     cols = []
     for v in variables:
         for box in C.ENV_BOXES:
-            cols += [F.col(f"{s}_{v}_{box}") for s in ("min", "max", "mean", "std")]
-            cols += [
-                F.get(F.col(f"_p_{v}_{box}"), F.lit(i)).alias(f"p{p}_{v}_{box}") for i, p in enumerate(C.ENV_PERCENTILES)
-            ]
+            values = F.col(f"_sorted_{v}_{box}")
+            cols += [F.get(values, F.lit(0)).alias(f"min_{v}_{box}"), F.get(values, F.size(values) - 1).alias(f"max_{v}_{box}")]
+            cols += [F.col(f"mean_{v}_{box}"), F.col(f"std_{v}_{box}")]
+            cols += [percentile(values, p).alias(f"p{p}_{v}_{box}") for p in C.ENV_PERCENTILES]
     stats = stats.select("hour", F.col("iy0").alias("iy"), F.col("ix0").alias("ix"), *cols)
     return located.join(stats, CELL, "left").drop(*CELL)
 

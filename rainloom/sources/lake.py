@@ -140,8 +140,9 @@ def write_views(df: DataFrame, root: str) -> None:
     _write_orbits(df, root, "views")
 
 
-def write_env(df: DataFrame, root: str) -> None:
-    _write_orbits(df, root, "era5")
+def write_env(df: DataFrame, root: str, features: DataFrame | None = None) -> None:
+    """Environment rows go to the month of their orbit; ``features`` spares a second run over ``df`` for it."""
+    _write_orbits(df, root, "era5", None if features is None else features.select("mission", "orbit", "time"))
 
 
 def write_grid(df: DataFrame, root: str, table: str) -> None:
