@@ -178,16 +178,21 @@ def n_lon(deg: float) -> int:
     return round(360 / deg)
 
 
+def _clip_bin(raw: Column, count: int) -> Column:
+    """Into 0 .. count - 1; a missing position has no bin."""
+    return F.when(raw.isNotNull(), F.greatest(F.lit(0), F.least(raw, F.lit(count - 1)))).cast("short")
+
+
 def lat_bin(lat, deg: float = C.GRID_DEG) -> Column:
     raw = F.floor((_c(lat).cast("double") - F.lit(C.GRID_LAT_MIN)) / F.lit(deg))
-    return F.greatest(F.lit(0), F.least(raw, F.lit(n_lat(deg) - 1))).cast("short")
+    return _clip_bin(raw, n_lat(deg))
 
 
 def lon_bin(lon, deg: float = C.GRID_DEG) -> Column:
     lon0 = F.lit(C.GRID_LON_MIN)
     wrapped = F.pmod(_c(lon).cast("double") - lon0, F.lit(360.0)) + lon0
     raw = F.floor((wrapped - lon0) / F.lit(deg))
-    return F.greatest(F.lit(0), F.least(raw, F.lit(n_lon(deg) - 1))).cast("short")
+    return _clip_bin(raw, n_lon(deg))
 
 
 def cell_lat(bin_col, deg: float = C.GRID_DEG) -> Column:
@@ -260,7 +265,9 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     half_dlat = F.radians(lat2 - lat1) / 2.0
     half_dlon = F.radians(lon2 - lon1) / 2.0
     a = F.pow(F.sin(half_dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_dlon), 2)
-    return F.lit(2.0 * C.EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0))))
+    # greatest and least skip nulls, so a missing position has to be kept missing here
+    clipped = F.when(a.isNotNull(), F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0)))
+    return F.lit(2.0 * C.EARTH_RADIUS_KM) * F.asin(F.sqrt(clipped))
 
 
 def wrap_lon(lon) -> Column:

@@ -101,3 +101,9 @@ def test_gate_value_out_of_range(spark):
 def test_population_of_missing_fraction_is_coast(spark):
     null = F.lit(None).cast("double")
     assert one(spark, S.population(null, null).alias("p")).p == "coast"
+
+
+def test_missing_position_stays_missing(spark):
+    null = F.lit(None).cast("double")
+    row = one(spark, S.haversine_km(null, F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("d"), S.lat_bin(null).alias("y"), S.lon_bin(null).alias("x"))
+    assert tuple(row) == (None, None, None)
