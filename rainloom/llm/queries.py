@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainloom.llm import ogg, packing, pieces, sharding, tokens
+from rainloom.llm import licenses, ogg, packing, pieces, quality, sharding, tokens
 from rainloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,7 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_shards": lambda spark, sf_dir: sharding.shard(documents(spark, sf_dir)),
     "op5_piece_encoding": lambda spark, sf_dir: pieces.encode(documents(spark, sf_dir)),
     "op6_bin_slack_packing": lambda spark, sf_dir: packing.pack(documents(spark, sf_dir)),
+    "op7_license_scan": lambda spark, sf_dir: licenses.scan(documents(spark, sf_dir)),
     "op8_token_counts": lambda spark, sf_dir: tokens.count_tokens(documents(spark, sf_dir)),
+    "op9_quality_ledger": lambda spark, sf_dir: quality.judge(documents(spark, sf_dir)),
 }
 
 ORACLE_SQL: dict[str, str] = {}
