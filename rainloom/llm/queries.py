@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainloom.llm import licenses, ogg, packing, pieces, quality, sharding, tokens
+from rainloom.llm import licenses, ogg, packing, pieces, quality, sharding, shingles, tokens
 from rainloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scan": lambda spark, sf_dir: licenses.scan(documents(spark, sf_dir)),
     "op8_token_counts": lambda spark, sf_dir: tokens.count_tokens(documents(spark, sf_dir)),
     "op9_quality_ledger": lambda spark, sf_dir: quality.judge(documents(spark, sf_dir)),
+    "op10_circulant_minhash": lambda spark, sf_dir: shingles.near_duplicates(documents(spark, sf_dir)),
 }
 
 ORACLE_SQL: dict[str, str] = {}
