@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainloom.llm import licenses, ogg, packing, pieces, quality, sharding, shingles, tokens
+from rainloom.llm import licenses, ogg, packing, pages, pieces, quality, sharding, shingles, substrings, tokens
 from rainloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": lambda spark, sf_dir: ogg.load(ogg.store(documents(spark, sf_dir))),
+    "op2_host_consensus": lambda spark, sf_dir: pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")),
+    "op3_super_kmers": lambda spark, sf_dir: substrings.remove(documents(spark, sf_dir)),
     "op4_best_fit_shards": lambda spark, sf_dir: sharding.shard(documents(spark, sf_dir)),
     "op5_piece_encoding": lambda spark, sf_dir: pieces.encode(documents(spark, sf_dir)),
     "op6_bin_slack_packing": lambda spark, sf_dir: packing.pack(documents(spark, sf_dir)),
