@@ -111,8 +111,9 @@ def parse(page: str) -> Node:
     """The tree of a page; unclosed and misplaced tags are mended as browsers do."""
     root = Node("html", None, "")
     stack, at, n, low, unopened = [root], 0, len(page), None, {}
+    last = page.rfind(">")
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at < last or page.startswith("<!--", at) else None
         if m is None:
             stack[-1].inside.append(page[at:])
             break

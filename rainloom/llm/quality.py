@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,9 +88,10 @@ def _repeated(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def failures() -> Column:
-    """The failure bits of a row that has the measures."""
-    bits = [F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()]
+def failures(book: str = "") -> Column:
+    """The failure bits of a row that has the measures, as columns or in the struct ``book``."""
+    named = lambda rule: re.sub(r"\b(\w*_\w+)\b", rf"`{book}`.\1", rule) if book else rule
+    bits = [F.when(F.expr(named(rule)), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()]
     out = bits[0]
     for b in bits[1:]:
         out = out.bitwiseOR(b)
@@ -108,6 +110,19 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured.withColumn("failed", failures())
 
 
+def passed(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that neither the base rules nor the policy reject, with all their columns."""
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in MEASURES))
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(t.encode()) for t in texts], columns=MEASURES)
+
+    book = next(f"_ledger{k}" for k in range(len(docs.columns) + 1) if f"_ledger{k}" not in docs.columns)
+    judged = docs.withColumn(book, measured(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    mask_ = F.lit(mask(policy) | mask("base@1"))
+    return judged.where(failures(book).bitwiseAND(mask_) == 0).drop(book)
+
+
 def apply_policy(book: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The ledger with ``kept`` under a policy."""
     return book.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(policy))) == 0)

@@ -230,3 +230,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     out = signed.join(named, F.col("class") == F.col("_class"), "left")
     own = F.when(F.col("class").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for the documents whose component has a smaller id; all columns stay.
+
+    Rows of the same id are one document and stay together; rows without an id all stay.
+    """
+    lost = near_duplicates(docs, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct()
+    return docs.join(materialize(lost, "lost"), F.col(id_col) == F.col("_lost"), "left_anti")

@@ -18,6 +18,7 @@ import hashlib
 from itertools import compress
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -225,29 +226,50 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return narrow(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def remove(docs: DataFrame, keep: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256; with ``keep`` also the kept words themselves."""
-    gone = passages(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))
+def _kept(raw: bytes, starts: np.ndarray | None, sizes: np.ndarray | None) -> tuple[int, int, bytes]:
+    """Words, words removed, and the others joined by spaces."""
+    words = raw.split()
+    n = len(words)
+    if starts is None or not len(starts):
+        return n, 0, b" ".join(words)
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, np.minimum(starts, n), 1)
+    np.add.at(edges, np.minimum(starts + sizes, n), -1)
+    stay = np.cumsum(edges)[:-1] == 0
+    return n, int(n - stay.sum()), b" ".join(compress(words, stay.tolist()))
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, starts, sizes: the spans of each document that has any; as many as its windows at most."""
+    gone = passages(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_id"))
+    return gone.agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))
+
+
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256."""
 
     def run(batch):
-        out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": []}
+        out = {"n_words": [], "n_removed": [], "kept_sha256": []}
         for raw, starts, sizes in zip(batch.column("text"), batch.column("starts"), batch.column("sizes")):
-            words = raw.as_buffer().to_pybytes().split()
-            kept, lost = words, 0
-            if starts.is_valid:
-                edges = np.zeros(len(words) + 1, np.int64)
-                s, z = (np.asarray(x.values) for x in (starts, sizes))
-                s, e = np.minimum(s, len(words)), np.minimum(s + z, len(words))
-                np.add.at(edges, s, 1)
-                np.add.at(edges, e, -1)
-                stay = np.cumsum(edges)[:-1] == 0
-                kept, lost = list(compress(words, stay.tolist())), int(len(words) - stay.sum())
-            text = b" ".join(kept)
-            for c, x in zip(out, (len(words), lost, hashlib.sha256(text).hexdigest(), text.decode() if keep else None)):
-                out[c].append(x)
+            spans = [np.asarray(x.values) if x.is_valid else None for x in (starts, sizes)]
+            n, lost, text = _kept(raw.as_buffer().to_pybytes(), *spans)
+            for c, x in zip(out.values(), (n, lost, hashlib.sha256(text).hexdigest())):
+                c.append(x)
         return {"doc_id": batch.column("doc_id")} | out
 
-    joined = _keyed(docs, id_col, text_col).join(gone, "doc_id", "left")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    cut = map_texts(joined, run, schema + ", kept_text string" * keep)
+    joined = _keyed(docs, id_col, text_col).join(_spans(docs, id_col, text_col), F.col("doc_id") == F.col("_id"), "left")
+    cut = map_texts(joined.drop("_id"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the kept words joined by one space as text; all columns stay, a null text stays null."""
+
+    @F.pandas_udf("string")
+    def text(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _kept(t.encode(), s, z)[2].decode() for t, s, z in zip(texts, starts, sizes)], dtype=object)
+
+    spans = _spans(docs, id_col, text_col)
+    own = docs.alias("docs").join(spans.alias("spans"), F.coalesce(F.col(f"docs.{id_col}").cast("long"), F.lit(NO_ID)) == F.col("spans._id"), "left")
+    new = text(F.col(f"docs.{text_col}"), F.col("spans.starts"), F.col("spans.sizes")).alias(text_col)
+    return own.select(*[new if c == text_col else F.col(f"docs.`{c}`") for c in docs.columns])
