@@ -64,10 +64,10 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "inside", "drop", "good", "all", "path")
+    __slots__ = ("tag", "names", "parent", "inside", "drop", "good", "all", "boxed", "path")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
-        self.tag, self.parent, self.inside, self.good, self.all, self.path = tag, parent, [], 0, 0, None
+        self.tag, self.parent, self.inside, self.good, self.all, self.boxed, self.path = tag, parent, [], 0, 0, 0, None
         found = {}
         if attributes:
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -180,7 +180,10 @@ def _close(stack: list[Node], tag: str):
 
 
 def measure(node: Node, link: bool = False) -> int:
-    """Sets, for each element, its characters of running text and of any text; returns the characters of links."""
+    """Sets, for each element, its characters of running text, of those the ones in inner containers, and of any text.
+
+    Returns the characters of links.
+    """
     links = 0
     link = link or node.tag == "a"
     for x in node.inside:
@@ -195,11 +198,15 @@ def measure(node: Node, link: bool = False) -> int:
             links += measure(x, link)
             node.all += x.all
             node.good += x.good
+            node.boxed += x.good if x.tag in CONTAINERS else x.boxed
     return links
 
 
 def containers(root: Node):
-    """(score in thousandths, depth, node) of each container that may hold the article."""
+    """(score in thousandths, depth, node) of each container that may hold the article.
+
+    A mere wrapper, with hardly any text beside its inner containers, counts less than one that has text of its own.
+    """
     total = root.good
     if not total:
         return
@@ -207,7 +214,8 @@ def containers(root: Node):
     while todo:
         node, depth = todo.pop()
         if node.tag in CONTAINERS and not node.drop and node.good:
-            yield round(1000 * node.good / total - 1000 * (1 - node.good / node.all)), depth, node
+            wraps = node.tag not in ("article", "main") and 100 * (node.good - node.boxed) < node.good
+            yield round((750 if wraps else 1000) * node.good / total - 1000 * (1 - node.good / node.all)), depth, node
         todo += [(x, depth + 1) for x in reversed(node.inside) if not isinstance(x, str) and x.good * 5 > total]
 
 
