@@ -68,19 +68,14 @@ class Cache:
 
     def all(self, words: list, make: Callable[[list], list]) -> list:
         """A result for each word; ``make`` gets those not met lately, each once."""
-        found = list(map(self.new.get, words))
+        get = self.new.get
+        found = list(map(get, words))
         if None in found:
-            old, missing = self.old, {}
-            for w, r in zip(words, found):
-                if r is None:
-                    missing[w] = None
+            old, missing = self.old, dict.fromkeys(w for w, r in zip(words, found) if r is None)
             fresh = [w for w in missing if w not in old]
             made = dict(zip(fresh, make(fresh))) if fresh else {}
-            for w in missing:
-                missing[w] = made[w] if w in made else old[w]
-            self.new |= missing
-            get = self.new.get
-            found = [get(w) if r is None else r for w, r in zip(words, found)]
+            self.new |= {w: made[w] if w in made else old[w] for w in missing}
+            found = list(map(get, words))
             if len(self.new) > self.limit:
                 self.old, self.new = self.new, {}
         return found

@@ -85,7 +85,7 @@ def cut(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col:
     def run(batch):
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            data = ids(path).of(text) + END.to_bytes(4, "little")
+            data = ids(path).text(text) + END.to_bytes(4, "little")
             n = len(data) // 4
             rows += [(doc, s, min(window, n - s), zlib.crc32(data[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
         return dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens"), zip(*rows)))

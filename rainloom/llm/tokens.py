@@ -1,7 +1,7 @@
 """Token counts and ids under the word-end byte-pair vocabulary.
 
 A text falls into chunks at ASCII white space; no token spans two chunks, so results are kept by chunk.
-``count_tokens`` merges pairs itself and gives counts only; ``token_ids`` asks the tokenizers library.
+``count_tokens`` merges pairs itself and gives counts only; ``ids`` takes the tokenizers library's merges.
 Null and empty texts have no tokens; rows are independent, so repeated rows give repeated results.
 """
 
@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import heapq
 import json
-import os
 import unicodedata
 from functools import lru_cache
+from itertools import islice
 
 import regex
 from pyspark.sql import DataFrame
@@ -30,22 +30,56 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class PairCounter:
-    """Tokens of a chunk: symbols at first minus merges, by a heap over a linked list of symbols."""
+class Words:
+    """Results by chunk and by word of a chunk (``word`` gives the latter) under one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
+            self.spec = json.load(f)
+        self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        found = sorted(self.special, key=len, reverse=True)
+        self.marks = regex.compile(f"({'|'.join(map(regex.escape, found))})") if found else None
+        pattern = next(p["pattern"]["Regex"] for p in self.spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.pieces = regex.compile(pattern.replace(r"\s", _SPACE))
+        self.symbol = _byte_symbols()
+        self.chunks, self.words = Cache(), Cache(200_000)
+
+    def word(self, word: str):
+        raise NotImplementedError
+
+    def symbols(self, word: str) -> str:
+        return "".join(map(self.symbol.__getitem__, word.encode()))
+
+    def split(self, chunk: str) -> list[str]:
+        """Words of a chunk, special strings among them."""
+        if self.marks is None or "<" not in chunk:
+            return self._plain(chunk)
+        return [w for k, part in enumerate(self.marks.split(chunk)) for w in ([part] if k % 2 else self._plain(part))]
+
+    def _plain(self, text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter
+        return self.pieces.findall(text.lower())
+
+    def by_chunk(self, chunks: list[str]) -> list[list]:
+        """The words' results of each chunk."""
+        split = list(map(self.split, chunks))
+        found = iter(self.words.all([w for ws in split for w in ws], lambda new: list(map(self.word, new))))
+        return [list(islice(found, len(ws))) for ws in split]
+
+    def of(self, text: str, join) -> list:
+        return self.chunks.all([c.decode() for c in text.encode().split()], lambda new: list(map(join, self.by_chunk(new))))
+
+
+class PairCounter(Words):
+    """Tokens of a word: symbols at first minus merges, by a heap over a linked list of symbols."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        model = self.spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {p: k for k, p in enumerate(pairs)}
-        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(pattern.replace(r"\s", _SPACE))
-        self.symbol = _byte_symbols()
-        self.seen = Cache()
 
     def merges(self, symbols: list[str]) -> int:
         """How many merges ``symbols`` undergo: the lowest-rank adjacent pair first, the leftmost among equals."""
@@ -70,23 +104,15 @@ class PairCounter:
                 heapq.heappush(heap, (r, h, symbols[h], a + b))
         return done
 
-    def word(self, piece: str) -> int:
-        symbols = [self.symbol[b] for b in piece.encode()]
+    def word(self, word: str) -> int:
+        if word in self.special:
+            return 1
+        symbols = list(self.symbols(word))
         symbols[-1] += self.end
         return len(symbols) - self.merges(symbols)
 
-    def plain(self, text: str) -> int:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter
-        return sum(map(self.word, self.pieces.findall(text.lower())))
-
-    def chunk(self, text: str) -> int:
-        if self.special is None or "<" not in text:
-            return self.plain(text)
-        return sum(map(self.plain, self.special.split(text))) + len(self.special.findall(text))
-
     def count(self, text: str) -> int:
-        return sum(self.seen.all([c.decode() for c in text.encode().split()], lambda new: list(map(self.chunk, new))))
+        return sum(self.of(text, sum))
 
 
 def _byte_symbols() -> list[str]:
@@ -114,21 +140,21 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, i
     return map_texts(df, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
-class Ids:
+class Ids(Words):
     """The library's ids of a text as little-endian 32-bit integers."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        super().__init__(path)
         from tokenizers import Tokenizer
 
-        self.library, self.seen = Tokenizer.from_file(path), Cache()
+        self.model = Tokenizer.from_file(path).model
 
-    def make(self, chunks: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in found]
+    def word(self, word: str) -> bytes:
+        found = [self.special[word]] if word in self.special else [t.id for t in self.model.tokenize(self.symbols(word))]
+        return b"".join(i.to_bytes(4, "little") for i in found)
 
-    def of(self, text: str) -> bytes:
-        return b"".join(self.seen.all([c.decode() for c in text.encode().split()], self.make))
+    def text(self, text: str) -> bytes:
+        return b"".join(self.of(text, b"".join))
 
 
 @lru_cache(maxsize=2)

@@ -41,7 +41,7 @@ def test_counts_agree_with_the_library(library):
     for t in random_texts(4000):
         expected = library.encode(t, add_special_tokens=False).ids
         assert counter.count(t) == len(expected), t
-        assert np.frombuffer(ids.of(t), "<u4").tolist() == expected, t
+        assert np.frombuffer(ids.text(t), "<u4").tolist() == expected, t
 
 
 def test_heap_takes_lowest_rank_then_leftmost():
