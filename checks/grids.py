@@ -54,6 +54,8 @@ CTES["obs_views"] = f"SELECT mission, month, {CH}, count(*) AS n_views FROM obs
 CTES["obs_size"] = f"""
 SELECT mission, month, {CH}, size_class AS class, sum(rain_sum) AS rain_sum, sum(raining_count) AS raining_count FROM obs_rain GROUP BY ALL"""
 
+CTES["size_classes"] = "SELECT DISTINCT class FROM obs_size"
+
 
 def month_grids(t):
     return gridding.grid_months(t.swath, t.labels, t.swath_features, deg=DEG)
@@ -478,20 +480,14 @@ register(
 
 def _storm_class_rates(t):
     """Rate, frequency and intensity by storm size class and cell, months and hours pooled."""
-    rain, views = by_size(t)
-    wet = rain.groupBy("lat_bin", "lon_bin", "class").agg(F.sum("rain_sum").alias("rain_sum"), F.sum("raining_count").alias("raining_count"))
-    out = wet.join(gridding.reduce_views(views), ["lat_bin", "lon_bin"])
-    return out.select(
-        "lat_bin", "lon_bin", "class", F.try_divide("rain_sum", "n_views").alias("rate"), F.try_divide("raining_count", "n_views").alias("freq"),
-        F.try_divide("rain_sum", "raining_count").alias("intensity"),
-    )
+    return gv.class_rates(*by_size(t))
 
 
 register(
     "Q14_rate_by_storm_class",
     _storm_class_rates,
-    """SELECT lat_bin, lon_bin, class, r / v AS rate, c / v AS freq, r / c AS intensity FROM (SELECT lat_bin, lon_bin, class, sum(rain_sum) AS r, sum(raining_count) AS c FROM obs_size GROUP BY ALL) AS w
-       JOIN (SELECT lat_bin, lon_bin, sum(n_views) AS v FROM obs_views GROUP BY ALL) n USING (lat_bin, lon_bin)""",
+    """SELECT lat_bin, lon_bin, class, coalesce(r, 0) / v AS rate, coalesce(c, 0) / v AS freq, r / c AS intensity FROM (SELECT lat_bin, lon_bin, sum(n_views) AS v FROM obs_views GROUP BY ALL) AS n
+       CROSS JOIN size_classes LEFT JOIN (SELECT lat_bin, lon_bin, class, sum(rain_sum) AS r, sum(raining_count) AS c FROM obs_size GROUP BY ALL) w USING (lat_bin, lon_bin, class)""",
     doubles="rate freq intensity",
     longs="lat_bin lon_bin class",
     digits=9,
@@ -534,8 +530,8 @@ register(
 register(
     "R3_seasonal_cycle",
     lambda t: gv.seasonal_cycle(*by_size(t), deg=BIG, by=("mission",)),
-    f"""SELECT mission, month, class, r / v AS rate, c / v AS freq FROM (SELECT mission, month, class, sum({_W} * rain_sum) AS r, sum({_W} * raining_count) AS c FROM obs_size WHERE lat_bin BETWEEN 12 AND 24 GROUP BY ALL) AS a
-        JOIN (SELECT mission, month, sum({_W} * n_views) AS v FROM obs_views WHERE lat_bin BETWEEN 12 AND 24 GROUP BY ALL) b USING (mission, month)""",
+    f"""SELECT mission, month, class, coalesce(r, 0) / v AS rate, coalesce(c, 0) / v AS freq FROM (SELECT mission, month, sum({_W} * n_views) AS v FROM obs_views WHERE lat_bin BETWEEN 12 AND 24 GROUP BY ALL) AS b CROSS JOIN size_classes
+        LEFT JOIN (SELECT mission, month, class, sum({_W} * rain_sum) AS r, sum({_W} * raining_count) AS c FROM obs_size WHERE lat_bin BETWEEN 12 AND 24 GROUP BY ALL) a USING (mission, month, class)""",
     doubles="rate freq",
     longs="month class",
     digits=9,
@@ -543,8 +539,8 @@ register(
 register(
     "R4_diurnal_cycle",
     lambda t: gv.diurnal_cycle_lst(*by_size(t), deg=BIG),
-    f"""SELECT lst, class, wr / w AS rate FROM (SELECT {_LST} AS lst, class, sum({_W} * r / v) AS wr FROM (SELECT {CH}, class, sum(rain_sum) AS r FROM obs_size GROUP BY ALL) AS x JOIN vh USING ({CH}) GROUP BY 1, 2) AS a
-        JOIN (SELECT {_LST} AS lst, sum({_W}) AS w FROM vh GROUP BY 1) b USING (lst)""",
+    f"""SELECT lst, class, coalesce(wr, 0) / w AS rate FROM (SELECT {_LST} AS lst, sum({_W}) AS w FROM vh GROUP BY 1) AS b CROSS JOIN size_classes
+        LEFT JOIN (SELECT {_LST} AS lst, class, sum({_W} * r / v) AS wr FROM (SELECT {CH}, class, sum(rain_sum) AS r FROM obs_size GROUP BY ALL) AS x JOIN vh USING ({CH}) GROUP BY 1, 2) a USING (lst, class)""",
     doubles="rate",
     longs="lst class",
     digits=9,
@@ -562,8 +558,8 @@ register(
 register(
     "R6_zonal_mean",
     lambda t: gv.zonal_mean(*by_size(t), by=("mission",)),
-    """SELECT mission, lat_bin, class, r / v AS rate FROM (SELECT mission, lat_bin, class, sum(rain_sum) AS r FROM obs_size GROUP BY ALL) AS a
-       JOIN (SELECT mission, lat_bin, sum(n_views) AS v FROM obs_views GROUP BY ALL) b USING (mission, lat_bin)""",
+    """SELECT mission, lat_bin, class, coalesce(r, 0) / v AS rate FROM (SELECT mission, lat_bin, sum(n_views) AS v FROM obs_views GROUP BY ALL) AS b CROSS JOIN size_classes
+       LEFT JOIN (SELECT mission, lat_bin, class, sum(rain_sum) AS r FROM obs_size GROUP BY ALL) a USING (mission, lat_bin, class)""",
     doubles="rate",
     longs="lat_bin class",
     digits=9,

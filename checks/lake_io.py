@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 
 from checks.base import CTES, latbin, lonbin, register
 from checks.grids import DEG, month_grids, obs_grids, staged_grids
+from checks.pixels import env_sql
 from rainloom import schemas
 from rainloom.functions import scalars as S
 from rainloom.operators import validate
 from rainloom.operators.gridding import orbit_views
-from rainloom.session import shared_folder
+from rainloom.session import materialize, shared_folder
 from rainloom.sources import granules as gr
 from rainloom.sources import lake
-from rainloom.streaming.hourly import hourly_grid, stream_hourly_grid
+from rainloom.streaming.hourly import hourly_grid, open_hours, stream_hourly_grid
 
 FK = "mission, orbit, local_label"
+JOINT = ["lat_bin", "lon_bin", "hour", "size_class", "echotop_class", "raintype"]
 
 
 def new_root(t, label: str) -> str:
@@ -73,29 +75,28 @@ def _rewrite(t):
     root = new_root(t, "rewrite")
     lake.write_features(t.swath_features, root)
     lake.write_features(t.swath_features.where("orbit = 1"), root)
-    return lake.read_table(t.spark, root, "features").groupBy("mission", "orbit").agg(
-        F.count("*").alias("n"), F.sum("npixels").alias("px"), F.max("time").alias("latest")
-    )
+    return lake.read_table(t.spark, root, "features").select("mission", "orbit", "local_label", "feature_id", "npixels", "time", "year", "month")
 
 
 register(
     "IO4_write_features_twice",
     _rewrite,
-    "SELECT mission, orbit, count(*) AS n, sum(npixels) AS px, epoch_us(max(time)) AS latest FROM feat GROUP BY 1, 2",
-    longs="orbit n px latest",
+    "SELECT mission, orbit, local_label, feature_id, npixels, epoch_us(time) AS time, year, month FROM feat JOIN orbit_month USING (mission, orbit)",
+    longs="orbit local_label feature_id npixels time year month",
 )
 register(
     "IO4_write_pixels",
-    lambda t: lake.read_table(t.spark, lake_root(t), "pixels").groupBy("mission", "orbit", "year", "month").agg(F.count("*").alias("n"), F.sum("scan").alias("scans")),
-    """SELECT l.mission, l.orbit, year, month, count(*) AS n, sum(scan) AS scans FROM lab l JOIN orbit_month o ON o.mission = l.mission AND o.orbit = l.orbit GROUP BY ALL""",
-    longs="orbit year month n scans",
+    lambda t: lake.read_table(t.spark, lake_root(t), "pixels").select("mission", "orbit", "year", "month", "scan", "ray", "lat", "near_sfc_rain", "near_sfc_dbz", "rain_type"),
+    """SELECT mission, orbit, year, month, scan, ray, lat, near_sfc_rain, near_sfc_dbz, rain_type FROM mem JOIN orbit_month USING (mission, orbit)""",
+    doubles="lat near_sfc_rain near_sfc_dbz",
+    longs="orbit year month scan ray rain_type",
 )
 register(
     "IO5_write_views",
-    lambda t: lake.read_table(t.spark, lake_root(t), "views").groupBy("mission", "orbit").agg(F.count("*").alias("cells"), F.sum("n_views").alias("views")),
-    f"""SELECT mission, orbit, count(*) AS cells, sum(n) AS views FROM (SELECT mission, orbit, {latbin('lat', 0.05)} AS y, {lonbin('lon', 0.05)} AS x, count(*) AS n
-        FROM px WHERE near_sfc_rain IS NOT NULL GROUP BY ALL) AS c GROUP BY 1, 2""",
-    longs="orbit cells views",
+    lambda t: lake.read_table(t.spark, lake_root(t), "views").select("mission", "orbit", "lat_bin", "lon_bin", "n_views"),
+    f"""SELECT mission, orbit, {latbin('lat', 0.05)} AS lat_bin, {lonbin('lon', 0.05)} AS lon_bin, count(*) AS n_views
+        FROM px WHERE near_sfc_rain IS NOT NULL GROUP BY ALL""",
+    longs="orbit lat_bin lon_bin n_views",
 )
 
 
@@ -104,17 +105,18 @@ def _env_round_trip(t):
     from rainloom.operators.environment import env_for_features
 
     root = new_root(t, "env")
-    env = env_for_features(t.swath_features.where("orbit < 2"), reanalysis(t))
-    lake.write_env(env, root, t.swath_features.where("orbit < 2"))
-    back = lake.read_table(t.spark, root, "era5")
-    return back.groupBy("mission", "orbit").agg(F.count("*").alias("n"), F.count("max_skt_5deg").alias("with_values"))
+    lake.write_env(env_for_features(t.swath_features, reanalysis(t)), root, t.swath_features)
+    return lake.read_table(t.spark, root, "era5").select("mission", "orbit", "feature_id", *schemas.env_columns())
 
 
 register(
     "IO6_write_environment",
     _env_round_trip,
-    "SELECT mission, orbit, count(*) AS n, count(*) AS with_values FROM feat WHERE orbit < 2 GROUP BY 1, 2",
-    longs="orbit n with_values",
+    env_sql("mission, orbit"),
+    doubles=" ".join(schemas.env_columns()),
+    longs="orbit feature_id",
+    digits=1,
+    single=True,
 )
 
 
@@ -142,15 +144,17 @@ register(
 
 def _joint(t):
     path = new_root(t, "joint")
-    lake.write_joint(obs_grids(t)[0], path)
-    return t.spark.read.parquet(path).groupBy("mission", "month", "hour").agg(F.count("*").alias("rows"), F.sum("raining_count").alias("raining_count"))
+    for months in ("month <= 6", "month > 6"):  # the second half leaves the first as it is
+        lake.write_joint(obs_grids(t)[0].where(months), path)
+    return t.spark.read.parquet(path).select("mission", "month", *JOINT, "rain_sum", "raining_count")
 
 
 register(
     "IO8_sparse_joint",
     _joint,
-    "SELECT mission, month, hour, count(*) AS rows, sum(raining_count) AS raining_count FROM obs_rain GROUP BY 1, 2, 3",
-    longs="month hour rows raining_count",
+    f"SELECT mission, month, {', '.join(JOINT)}, rain_sum, raining_count FROM obs_rain",
+    doubles="rain_sum",
+    longs="month " + " ".join(JOINT) + " raining_count",
 )
 
 
@@ -170,9 +174,9 @@ register(
 )
 register(
     "IO10_missing_table",
-    lambda t: t.table("region").select(F.lit(len(lake.read_table(t.spark, new_root(t, "nowhere"), "features").columns)).alias("n_columns"), "r_name"),
-    "SELECT 61 AS n_columns, r_name FROM region",
-    longs="n_columns",
+    lambda t: lake.read_table(t.spark, new_root(t, "nowhere"), "features").unionByName(lake.read_table(t.spark, lake_root(t), "features")).select("mission", "orbit", "local_label", "npixels", "granule"),
+    "SELECT mission, orbit, local_label, npixels, lpad(CAST(orbit AS VARCHAR), 6, '0') AS granule FROM feat",
+    longs="orbit local_label npixels",
 )
 
 # --- granules -------------------------------------------------------------
@@ -220,7 +224,10 @@ SELECT seq, mission, product, name, CASE WHEN seq % 50 <> 7 THEN seq % 7000 END
 
 
 def parsed(t):
-    return gr.parse_granules(names(t))
+    """Names are stored first, as an archive's listing is."""
+    if not hasattr(t, "_names"):
+        t._names = materialize(names(t), "names")
+    return gr.parse_granules(t._names)
 
 
 register(
@@ -233,9 +240,16 @@ register(
 )
 register(
     "IO12_prefer_version",
-    lambda t: gr.prefer_version(parsed(t).where("product <> 'GPM_1CGPMGMI' OR version = '07A'")).groupBy("product", "version").agg(F.count("*").alias("n")),
-    """SELECT product, version, count(*) AS n FROM gran WHERE (product <> 'GPM_1CGPMGMI' AND version = '07A') OR (product = 'GPM_1CGPMGMI' AND version = '07A') GROUP BY 1, 2""",
-    longs="n",
+    lambda t: gr.prefer_version(parsed(t)).select("seq"),
+    """SELECT seq FROM (SELECT seq, hit, bool_or(hit) OVER (PARTITION BY product, mission, orbit) AS any_hit FROM (
+       SELECT *, contains(name, CASE product WHEN 'GPM_1CGPMGMI' THEN '.V08' ELSE '.V07' END) AS hit FROM gran) AS h) AS g WHERE hit OR NOT any_hit""",
+    longs="seq",
+)
+register(
+    "IO12_prefer_version_of_run",
+    lambda t: gr.prefer_version(parsed(t).where("product <> 'GPM_1CGPMGMI' OR version = '07A'"), by=()).select("seq", "product", "version"),
+    "SELECT seq, product, version FROM gran WHERE version = '07A'",
+    longs="seq",
 )
 register(
     "IO13_one_per_orbit",
@@ -262,7 +276,8 @@ register(
     "J9_granule_months",
     lambda t: gr.granule_months(parsed(t)).select("seq", F.col("year").cast("double").alias("year"), F.col("month").cast("double").alias("month")),
     """SELECT seq, year(m) AS year, month(m) AS month FROM (SELECT seq, unnest(generate_series(date_trunc('month', obs_start), date_trunc('month', obs_end - INTERVAL 1 MICROSECOND), INTERVAL 1 MONTH)) AS m
-       FROM gran WHERE obs_start IS NOT NULL) AS g UNION ALL SELECT seq, NULL, NULL FROM gran WHERE obs_start IS NULL""",
+       FROM gran WHERE obs_start IS NOT NULL) AS g
+       UNION ALL SELECT seq, year(m), month(m) FROM (SELECT seq FROM gran WHERE obs_start IS NULL) AS u, (SELECT unnest(generate_series(date_trunc('month', min(obs_start)), date_trunc('month', max(obs_end - INTERVAL 1 MICROSECOND)), INTERVAL 1 MONTH)) AS m FROM gran) AS r""",
     doubles="year month",
     longs="seq",
 )
@@ -308,7 +323,9 @@ register(
 )
 register(
     "V1_schema",
-    lambda t: validate.check_schema(t.swath_features.withColumnRenamed("edge", "at_edge").withColumn("orbit", F.col("orbit").cast("long")), schemas.FEATURES),
+    # a table of the lake under its own footer's schema, with one column renamed and one widened
+    lambda t: validate.check_schema(
+        lake.read_table(t.spark, lake_root(t), "features").drop("year", "month", "granule").withColumnRenamed("edge", "at_edge").withColumn("orbit", F.col("orbit").cast("long")), schemas.FEATURES),
     """SELECT * FROM (VALUES (2, 'orbit', 'bigint', 'unexpected'), (43, 'at_edge', 'boolean', 'unexpected'), (2, 'orbit', 'int', 'missing'), (43, 'edge', 'boolean', 'missing')) AS v(position, name, type, problem)
        WHERE (SELECT count(*) FROM events) > 0""",
     longs="position",
@@ -351,10 +368,13 @@ register(
 
 
 def _streamed(t):
+    """Every orbit arrives, then one arrives again in another file; open hours are added from the input."""
     root = new_root(t, "stream")
     t.swath.write.parquet(f"{root}/in")
+    t.swath.where("orbit = 1").write.mode("append").parquet(f"{root}/in")
     stream_hourly_grid(t.spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", "1 day", DEG, True).awaitTermination()
-    return t.spark.read.schema(hourly_grid(t.swath, deg=DEG).schema).parquet(f"{root}/out")
+    written = t.spark.read.schema(hourly_grid(t.swath, deg=DEG).schema).parquet(f"{root}/out")
+    return written.unionByName(open_hours(t.spark, f"{root}/in", f"{root}/out", DEG))
 
 
 CTES["hourly"] = f"""
@@ -365,8 +385,7 @@ SELECT date_trunc('hour', time) AS hour_start, mission, {latbin('lat', DEG)} AS
 register(
     "T1_hourly_stream",
     _streamed,
-    """SELECT * REPLACE (epoch_us(hour_start) AS hour_start) FROM hourly
-       WHERE hour_start + INTERVAL 1 HOUR <= (SELECT max(time) - INTERVAL 1 DAY FROM px WHERE near_sfc_rain IS NOT NULL)""",
+    "SELECT * REPLACE (epoch_us(hour_start) AS hour_start) FROM hourly",
     doubles="stratiform_sum convective_sum other_sum",
     longs="hour_start lat_bin lon_bin n_views stratiform_count convective_count other_count",
 )

@@ -608,3 +608,14 @@ register(
     longs="orbit n n_cin",
     digits=1,
 )
+
+
+def env_sql(keys: str) -> str:
+    """All value columns of the environment table by feature."""
+    from rainloom import constants as C
+
+    centre = ", ".join(f"f.{v} AS {v}_centroid" for v in C.ENV_VARS)
+    return f"""SELECT {keys}, CASE mission WHEN 'GPM' THEN 2 ELSE 1 END * 10000000000000 + orbit * 100000 + local_label AS feature_id, {centre}, {", ".join(f"b.{c}" for c in _BOXCOLS)}
+        FROM loc l LEFT JOIN fields f ON f.hour = l.hour AND f.iy = l.iy AND f.ix = l.ix
+        LEFT JOIN (SELECT hour, iy0, ix0, {', '.join(_BOXSQL)} FROM around JOIN fields USING (hour, iy, ix) GROUP BY 1, 2, 3) b
+        ON b.hour = l.hour AND b.iy0 = l.iy AND b.ix0 = l.ix"""

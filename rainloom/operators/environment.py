@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainloom import constants as C
 from rainloom.functions.scalars import is_number, nearest_hour
-from rainloom.schemas import ENV, conform, env_columns
+from rainloom.schemas import ENV, conform
+from rainloom.session import materialize
 
 CELL = ["hour", "iy", "ix"]
 N_LON = round(360 / C.ENV_DEG)
 MAX_IY = round(90 / C.ENV_DEG)
+HALO = max(C.ENV_BOXES.values())
+TILE = 32  # divides the number of longitudes
+_STATS = ("min", "max", "mean", "std", *[f"p{p}" for p in C.ENV_PERCENTILES])
 
 
 def _not_above(height: int):
@@ -107,46 +109,118 @@ def box_cells(centres: DataFrame, radius: int = max(C.ENV_BOXES.values())) -> Da
     )
 
 
+def _tile_of(centres: DataFrame) -> DataFrame:
+    """Tile of each distinct centre, and its place there (the halo comes first)."""
+    ty, tx = F.floor(F.col("iy") / TILE), F.floor(F.col("ix") / TILE)
+    return centres.select(*CELL).distinct().withColumns(
+        {
+            "ty": ty.cast("int"),
+            "tx": tx.cast("int"),
+            "cy": (F.col("iy") - ty * TILE + HALO).cast("int"),
+            "cx": (F.col("ix") - tx * TILE + HALO).cast("int"),
+        }
+    )
+
+
+def near_cells(features: DataFrame, reanalysis: DataFrame) -> DataFrame:
+    """Cells of the tiles around any feature's centre, and no other hours or places."""
+    steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    tiles = (
+        _tile_of(locate(features))
+        .select("hour", "ty", "tx")
+        .distinct()
+        .withColumn("dy", F.explode(steps))
+        .withColumn("dx", F.explode(steps))
+        .select(F.col("hour"), (F.col("ty") + F.col("dy")).alias("_ty"), F.pmod(F.col("tx") + F.col("dx"), F.lit(N_LON // TILE)).alias("_tx"))
+        .distinct()
+    )
+    own = reanalysis.withColumns({"_ty": F.floor(F.col("iy") / TILE).cast("int"), "_tx": F.floor(F.col("ix") / TILE).cast("int")})
+    return own.join(tiles, ["hour", "_ty", "_tx"], "left_semi").drop("_ty", "_tx")
+
+
+def _packed(cells: DataFrame, tiles: DataFrame, variables) -> DataFrame:
+    """One row per tile that has a centre: its cells and those of its halo in one bounded array.
+
+    A cell goes to its own tile and to those whose halo it lies in, fewer than three on average.
+    """
+    ends = F.array(F.lit(-HALO), F.lit(HALO))
+    copies = (
+        cells.where(F.abs("iy") <= MAX_IY)
+        .withColumn("ty", F.explode(F.array_distinct(F.transform(ends, lambda d: F.floor((F.col("iy") + d) / TILE).cast("int")))))
+        .withColumn("tx", F.explode(F.array_distinct(F.transform(ends, lambda d: F.pmod(F.floor((F.col("ix") + d) / TILE), F.lit(N_LON // TILE)).cast("int")))))
+        .join(tiles.select("hour", "ty", "tx").distinct(), ["hour", "ty", "tx"], "left_semi")
+    )
+    values = F.array(*[F.when(is_number(v), F.col(v).cast("double")) for v in variables]).alias("values")
+    y = (F.col("iy") - F.col("ty") * TILE + HALO).cast("int").alias("y")
+    x = F.pmod(F.col("ix") - F.col("tx") * TILE + HALO, F.lit(N_LON)).cast("int").alias("x")
+    return copies.groupBy("hour", "ty", "tx").agg(F.collect_list(F.struct(y, x, values)).alias("cells"))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _statistics(values: Column) -> Column:
+    """Extremes, mean, deviation and percentiles of a sorted array."""
+    n = F.size(values)
+    total = lambda f: F.aggregate(values, F.lit(0.0), lambda a, x: a + f(x))
+    mean = F.when(n > 0, total(lambda x: x) / n)
+
+    def percentile(p: int) -> Column:
+        spot = (n - 1) * F.lit(p / 100.0)
+        low, high = F.get(values, F.floor(spot).cast("int")), F.get(values, F.ceil(spot).cast("int"))
+        return low + (high - low) * (spot - F.floor(spot))
+
+    return _bound(
+        mean,
+        lambda m: F.struct(
+            F.get(values, F.lit(0)).alias("min"),
+            F.get(values, n - 1).alias("max"),
+            m.alias("mean"),
+            F.sqrt(total(lambda x: (x - m) * (x - m)) / F.when(n > 0, n)).alias("std"),
+            *[percentile(p).alias(f"p{p}") for p in C.ENV_PERCENTILES],
+        ),
+    )
+
+
 def box_stats(features: DataFrame, cells: DataFrame, variables=C.ENV_VARS) -> DataFrame:
     """Statistics of every variable over the three boxes around each feature.
 
-    Centres shared by several features are computed once. A box holds at most 441 cells, so
-    its values fit in one sorted array, from which the percentiles are read by position.
+    Cells travel to tiles with a halo and are packed there; each distinct centre joins its tile as
+    one row and takes its boxes (441 cells at most) from the array. Longitude wraps; rows beyond
+    a pole do not exist.
     """
     located = locate(features)
-    around = box_cells(located).join(cells.select(*CELL, *variables), CELL)
-    aggs: list[Column] = []
-    for v in variables:
-        for box, radius in C.ENV_BOXES.items():
-            x = F.when((F.col("ring") <= radius) & is_number(v), F.col(v).cast("double"))
-            aggs += [
-                F.avg(x).alias(f"mean_{v}_{box}"),
-                F.stddev_pop(x).alias(f"std_{v}_{box}"),
-                F.sort_array(F.collect_list(x)).alias(f"_sorted_{v}_{box}"),
-            ]
-    # The cells of a box come from many partitions, so a map-side pre-aggregate would ship
-    # dozens of buffers per cell; moving the plain values once is far less.
-    stats = around.repartition("hour", "iy0", "ix0").groupBy("hour", "iy0", "ix0").agg(*aggs)
-
-    def percentile(values: Column, p: int) -> Column:
-        spot = (F.size(values) - 1) * F.lit(p / 100.0)
-        low, high = F.get(values, F.floor(spot).cast("int")), F.get(values, F.ceil(spot).cast("int"))
-        return low + (high - low) * (spot - F.floor(spot))
+    centres = _tile_of(located)
+    joined = centres.join(_packed(cells, centres, variables), ["hour", "ty", "tx"])
+
+    def ring(s: Column) -> Column:
+        return F.greatest(F.abs(s["y"] - F.col("cy")), F.abs(s["x"] - F.col("cx")))
 
-    cols = []
-    for v in variables:
-        for box in C.ENV_BOXES:
-            values = F.col(f"_sorted_{v}_{box}")
-            cols += [F.get(values, F.lit(0)).alias(f"min_{v}_{box}"), F.get(values, F.size(values) - 1).alias(f"max_{v}_{box}")]
-            cols += [F.col(f"mean_{v}_{box}"), F.col(f"std_{v}_{box}")]
-            cols += [percentile(values, p).alias(f"p{p}_{v}_{box}") for p in C.ENV_PERCENTILES]
-    stats = stats.select("hour", F.col("iy0").alias("iy"), F.col("ix0").alias("ix"), *cols)
-    return located.join(stats, CELL, "left").drop(*CELL)
+    def all_boxes(box: Column) -> Column:
+        def one(spec: Column) -> Column:
+            mine = F.filter(box, lambda s: (ring(s) <= spec["radius"]) & F.get(s["values"], spec["variable"]).isNotNull())
+            return _bound(F.array_sort(F.transform(mine, lambda s: F.get(s["values"], spec["variable"]))), _statistics)
+
+        return F.transform(specs, one)
+
+    # one expression for all variables and boxes, which keeps the plan small
+    wanted = [(i, v, name, radius) for i, v in enumerate(variables) for name, radius in C.ENV_BOXES.items()]
+    specs = F.array(*[F.struct(F.lit(i).alias("variable"), F.lit(radius).alias("radius")) for i, _, _, radius in wanted])
+    box = F.filter("cells", lambda s: ring(s) <= HALO)
+    stats = joined.select(*CELL, _bound(box, all_boxes).alias("s"))
+    cols = [F.get("s", F.lit(k))[stat].alias(f"{stat}_{v}_{name}") for k, (_, v, name, _) in enumerate(wanted) for stat in _STATS]
+    return located.join(stats, CELL, "left").select("feature_id", "mission", "orbit", "time", *cols)
 
 
 def env_for_features(features: DataFrame, reanalysis: DataFrame) -> DataFrame:
-    """The 252-column environment table; features without analysis data keep null values."""
-    cells = shear(reanalysis)
+    """The 252-column environment table; features without analysis data keep null values.
+
+    The analysis is read once, for the tiles around the features only, and its shear is computed and
+    stored once for both joins.
+    """
+    cells = materialize(shear(near_cells(features, reanalysis)), "analysis")
     boxes = box_stats(features, cells).drop("mission", "orbit", "time")
     return conform(centroid_values(features, cells).join(boxes, "feature_id"), ENV)
 

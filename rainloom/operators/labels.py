@@ -4,7 +4,7 @@ Raining pixels are first compressed to runs along each scan; only runs take part
 the component search, which alternates two contractions of the run graph (every node
 points its larger neighbours, then its smaller ones, at the smallest node it sees)
 until nothing changes. All steps are joins and min-aggregates keyed by run, so a
-component of any size is spread over the cluster.
+component of any size is bounded by its orbit and spread over the cluster by run.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rainloom import constants as C
 from rainloom.functions.scalars import int_div, is_number, mission_code
-from rainloom.session import materialize
+from rainloom.session import discard, materialize
 
 ORBIT = ["mission", "orbit"]
 # A run is named by its orbit, scan and first ray; the order of names within an orbit is
@@ -38,7 +38,10 @@ def rain_mask(swath: DataFrame, floors: dict[str, float] | None = None) -> DataF
 
 
 def scan_runs(mask: DataFrame) -> DataFrame:
-    """Unbroken stretches of raining rays: run, mission, orbit, scan, r0, r1."""
+    """Unbroken stretches of raining rays: run, mission, orbit, scan, r0, r1.
+
+    An unknown mission, or a scan or ray beyond what the key of a run has room for, fails the job.
+    """
     w = Window.partitionBy(*ORBIT, "scan").orderBy("ray")
     runs = (
         mask.select(*ORBIT, "scan", "ray")
@@ -47,8 +50,11 @@ def scan_runs(mask: DataFrame) -> DataFrame:
         .agg(F.min("ray").alias("r0"), F.max("ray").alias("r1"))
         .drop("island")
     )
-    orbit_key = F.coalesce(mission_code("mission"), F.lit(0)).cast("long") * C.ID_ORBIT_MULT + F.col("orbit")
-    return runs.withColumn("run", (orbit_key * _SCAN_SPAN + F.col("scan")) * _RAY_SPAN + F.col("r0"))
+    code = mission_code("mission")
+    in_range = F.col("scan").between(0, _SCAN_SPAN - 1) & (F.col("r0") >= 0) & (F.col("r1") < _RAY_SPAN)
+    which = F.concat_ws(" ", F.lit("no run key for"), "mission", *[F.col(c).cast("string") for c in ("orbit", "scan", "r1")])
+    key = ((code.cast("long") * C.ID_ORBIT_MULT + F.col("orbit")) * _SCAN_SPAN + F.col("scan")) * _RAY_SPAN + F.col("r0")
+    return runs.withColumn("run", F.when(code.isNotNull() & in_range, key).otherwise(F.raise_error(which).cast("long")))
 
 
 def run_edges(runs: DataFrame, connectivity: int = 2) -> DataFrame:
@@ -100,12 +106,17 @@ def _settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame, max_rounds: int = 40, steps: int = 1) -> DataFrame:
     """(node, root) for every node with an edge that is not itself the root.
 
-    Lineage is cut once per round of ``steps`` contractions.
+    Lineage is cut once per round of ``steps`` contractions, and the table of the round before is
+    deleted. The rounds grow with the logarithm of the longest chain; more than ``max_rounds`` raise.
     """
+    stored = None
     for _ in range(max_rounds):
         for _ in range(steps):
             edges = _point_smaller(_point_larger(edges))
-        edges = materialize(edges, "edges")
+        before, edges = stored, materialize(edges, "edges")
+        stored = edges
+        if before is not None:
+            discard(before)
         if _settled(edges):
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
     raise RuntimeError("component search did not settle")
@@ -144,7 +155,7 @@ def label_features(
     areas = (swath if areas is None else areas).select(
         *ORBIT, "scan", "ray", F.col("pixel_area").cast("double").alias("area")
     )
-    sized = materialize(pixels.join(areas, [*ORBIT, "scan", "ray"]), "labels")
+    sized = materialize(pixels.join(areas, [*ORBIT, "scan", "ray"], "left"), "labels")
     kept = (
         sized.groupBy(*ORBIT, "local_label")
         .agg(F.count("*").alias("npixels"), F.sum("area").alias("area_km2"), F.count("area").alias("known"))

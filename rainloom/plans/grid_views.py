@@ -37,6 +37,12 @@ def _rate(min_views: int) -> Column:
     return F.when(F.col("n_views") >= min_views, F.try_divide("rain_sum", "n_views"))
 
 
+def _with_classes(seen: DataFrame, rain: DataFrame) -> DataFrame:
+    """Every viewed key with each class of the breakdown, of which there are a handful."""
+    classes = sorted(r[0] for r in rain.select("class").where("class IS NOT NULL").distinct().collect())
+    return seen.withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes]).cast(f"array<{dict(rain.dtypes)['class']}>")))
+
+
 def coarsen(
     grid: DataFrame, factor: int, values: list[str], band=C.SHARED_LAT_CLIP, deg: float = C.GRID_DEG, keys: tuple = ()
 ) -> DataFrame:
@@ -86,14 +92,18 @@ def pyramid(
 
 
 def seasonal_cycle(rain: DataFrame, views: DataFrame, band=(-30.0, 30.0), deg: float = C.GRID_DEG, by: tuple = ()) -> DataFrame:
-    """Area-mean rate and frequency per month and class: weighted sums over weighted views."""
+    """Area-mean rate and frequency per month and class: weighted sums over weighted views.
+
+    A viewed month without rain of a class has the rate zero.
+    """
     w = _area_weight(deg)
     top = clip_band(rain, band=band, deg=deg).groupBy(*by, "month", "class").agg(
         F.sum(w * F.col("rain_sum")).alias("r"), F.sum(w * F.col("raining_count")).alias("c")
     )
     bottom = clip_band(views, band=band, deg=deg).groupBy(*by, "month").agg(F.sum(w * F.col("n_views")).alias("v"))
-    return top.join(F.broadcast(bottom), [*by, "month"]).select(
-        *by, "month", "class", F.try_divide("r", "v").alias("rate"), F.try_divide("c", "v").alias("freq")
+    zero = F.lit(0.0)
+    return _with_classes(bottom, rain).join(top, [*by, "month", "class"], "left").select(
+        *by, "month", "class", F.try_divide(F.coalesce("r", zero), "v").alias("rate"), F.try_divide(F.coalesce("c", zero), "v").alias("freq")
     )
 
 
@@ -102,7 +112,7 @@ def diurnal_cycle_lst(
 ) -> DataFrame:
     """Weighted mean of the cell rates per local solar hour and class.
 
-    A well-viewed cell without rain of the class counts with rate zero.
+    A well-viewed cell without rain of the class counts with rate zero, and so does an hour without any.
     """
     keys = [*CELL, "hour"]
     seen = (
@@ -115,7 +125,10 @@ def diurnal_cycle_lst(
     rates = wet.join(seen, keys).groupBy(lst.alias("lst"), "class").agg(
         F.sum(w * F.col("rain_sum") / F.col("n_views")).alias("wr")
     )
-    return rates.join(F.broadcast(weights), "lst").select("lst", "class", F.try_divide("wr", "w").alias("rate"))
+    # at most 24 hours by a handful of classes
+    return _with_classes(weights, rain).join(F.broadcast(rates), ["lst", "class"], "left").select(
+        "lst", "class", F.try_divide(F.coalesce("wr", F.lit(0.0)), "w").alias("rate")
+    )
 
 
 def peak_hour_map(
@@ -133,10 +146,26 @@ def peak_hour_map(
 
 
 def zonal_mean(rain: DataFrame, views: DataFrame, by: tuple = ()) -> DataFrame:
-    """Rain of each class over all views of its latitude."""
+    """Rain of each class over all views of its latitude; zero where a viewed latitude has none."""
     wet = rain.groupBy(*by, "lat_bin", "class").agg(F.sum("rain_sum").alias("rain_sum"))
     seen = views.groupBy(*by, "lat_bin").agg(F.sum("n_views").alias("n_views"))
-    return wet.join(seen, [*by, "lat_bin"]).select(*by, "lat_bin", "class", F.try_divide("rain_sum", "n_views").alias("rate"))
+    return _with_classes(seen, rain).join(wet, [*by, "lat_bin", "class"], "left").select(
+        *by, "lat_bin", "class", F.try_divide(F.coalesce("rain_sum", F.lit(0.0)), "n_views").alias("rate")
+    )
+
+
+def class_rates(rain: DataFrame, views: DataFrame) -> DataFrame:
+    """Rate, frequency and intensity of each class per viewed cell, months and hours pooled; zero without rain."""
+    wet = rain.groupBy(*CELL, "class").agg(F.sum("rain_sum").alias("rain_sum"), F.sum("raining_count").alias("raining_count"))
+    seen = views.groupBy(*CELL).agg(F.sum("n_views").alias("n_views"))
+    both = _with_classes(seen, rain).join(wet, [*CELL, "class"], "left").fillna(0, ["rain_sum", "raining_count"])
+    return both.select(
+        *CELL,
+        "class",
+        F.try_divide("rain_sum", "n_views").alias("rate"),
+        F.try_divide("raining_count", "n_views").alias("freq"),
+        F.try_divide("rain_sum", "raining_count").alias("intensity"),
+    )
 
 
 def class_fraction_by_lat(rain: DataFrame, by: tuple = ()) -> DataFrame:

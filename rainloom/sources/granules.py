@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainloom import constants as C
@@ -21,10 +23,9 @@ def parse_granules(names: DataFrame, col: str = "name") -> DataFrame:
         return F.when(found != "", found)
 
     orbit = part(r"\.(\d{5,6})\.V\d+")
-    start_text = F.concat(part(r"\.(\d{8})-S(\d{6})", 1), part(r"\.(\d{8})-S(\d{6})", 2))
-    start = F.try_to_timestamp(start_text, F.lit("yyyyMMddHHmmss"))
-    end_text = F.concat(part(r"\.(\d{8})-S(\d{6})", 1), part(r"-E(\d{6})"))
-    end_same_day = F.try_to_timestamp(end_text, F.lit("yyyyMMddHHmmss"))
+    day, form = part(r"\.(\d{8})-S\d{6}"), F.lit("yyyyMMddHHmmss")
+    start = F.try_to_timestamp(F.concat(day, part(r"\.\d{8}-S(\d{6})")), form)
+    end_same_day = F.try_to_timestamp(F.concat(day, part(r"-E(\d{6})")), form)
     end = F.when(end_same_day < start, end_same_day + F.expr("INTERVAL 1 DAY")).otherwise(end_same_day)
     return names.withColumns(
         {
@@ -36,27 +37,29 @@ def parse_granules(names: DataFrame, col: str = "name") -> DataFrame:
     )
 
 
-def prefer_version(granules: DataFrame, versions: dict[str, str] | None = None, name: str = "name") -> DataFrame:
-    """Keep the preferred version of each product, or everything when none has it."""
+def prefer_version(
+    granules: DataFrame, versions: dict[str, str] | None = None, name: str = "name", by: tuple = ("mission", "orbit")
+) -> DataFrame:
+    """Keep the preferred version of each product, or everything where none has it.
+
+    ``by`` says within what: each orbit for itself, or a search window, or () for the whole inventory.
+    """
     versions = versions or C.PRODUCT_VERSION
     want = F.lit(C.PRODUCT_VERSION_DEFAULT)
     for product, version in versions.items():
         want = F.when(F.col("product") == product, F.lit(version)).otherwise(want)
     tagged = granules.withColumn("_hit", F.contains(F.col(name), F.concat(F.lit(".V"), want)))
-    any_hit = tagged.groupBy("product").agg(F.bool_or("_hit").alias("_any"))
-    # one row per product name
-    return tagged.join(F.broadcast(any_hit), "product").where(F.col("_hit") | ~F.col("_any")).drop("_hit", "_any")
+    keys = ["product", *by]
+    any_hit = tagged.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.bool_or("_hit").alias("_any"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return tagged.join(any_hit, same).where(F.col("_hit") | ~F.col("_any")).select(*granules.columns)
 
 
 def one_per_orbit(granules: DataFrame, seq: str = "seq", by: tuple = ("mission", "orbit")) -> DataFrame:
     """Last granule of each orbit in input order; names without an orbit are dropped."""
-    w = Window.partitionBy(*by).orderBy(F.col(seq).desc())
-    return (
-        granules.where(F.col("orbit").isNotNull())
-        .withColumn("_rn", F.row_number().over(w))
-        .where("_rn = 1")
-        .drop("_rn")
-    )
+    rest = [c for c in granules.columns if c not in (seq, *by)]
+    last = granules.where(F.col("orbit").isNotNull()).groupBy(*by).agg(F.max(F.struct(seq, *rest)).alias("_last"))
+    return last.select(*[F.col(c) if c in by else F.col(f"_last.{c}").alias(c) for c in granules.columns])
 
 
 def pair_granules(radar: DataFrame, imager: DataFrame) -> DataFrame:
@@ -72,12 +75,20 @@ def orbits_starting_in(granules: DataFrame, first_day, last_day) -> DataFrame:
     return granules.where(day.isNull() | day.between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
 
 
-def granule_months(granules: DataFrame) -> DataFrame:
-    """One row per month a granule overlaps: start < month end and end > month start."""
+def granule_months(granules: DataFrame, run: tuple | None = None) -> DataFrame:
+    """One row per month a granule overlaps: start < month end and end > month start.
+
+    A granule without a known span may belong to any month and gets all of ``run`` (first and last
+    day), by default from the first start to the last end in the inventory.
+    """
     # an end on the very first instant of a month does not overlap it
     last = F.greatest("obs_start", F.col("obs_end") - F.expr("INTERVAL 1 MICROSECOND"))
     months = F.sequence(F.trunc("obs_start", "MM"), F.trunc(last, "MM"), F.expr("INTERVAL 1 MONTH"))
     known = granules.where("obs_start IS NOT NULL").withColumn("month_start", F.explode(months))
-    unbounded = granules.where("obs_start IS NULL").withColumn("month_start", F.lit(None).cast("date"))
+    if run is None:
+        run = granules.agg(F.min("obs_start"), F.max(last)).first()
+    first_month, last_month = (F.trunc(F.lit(x).cast("timestamp"), "MM") for x in run)
+    anywhere = F.when(first_month.isNotNull(), F.sequence(first_month, last_month, F.expr("INTERVAL 1 MONTH")))
+    unbounded = granules.where("obs_start IS NULL").withColumn("month_start", F.explode_outer(anywhere))
     both = known.unionByName(unbounded)
     return both.withColumns({"year": F.year("month_start"), "month": F.month("month_start")})

@@ -85,17 +85,16 @@ def features_for_orbits_starting(features: DataFrame, start, end, slack=timedelt
 
 
 def partition_columns(df: DataFrame) -> DataFrame:
-    """Year and month of the mean time of the orbit, and the zero-padded orbit."""
+    """Year and month of the mean time of the orbit (null without any time), and the zero-padded orbit."""
     us = F.unix_micros("time")
     sec = F.floor(us / F.lit(1_000_000)).cast("long")
     mean = (
         df.groupBy("mission", "orbit")
         .agg(F.sum(sec).alias("s"), F.count("time").alias("n"))
-        .where("n > 0")
-        .select("mission", "orbit", F.timestamp_seconds(int_div("s", F.col("n"))).alias("mean_time"))
+        .select("mission", "orbit", F.when(F.col("n") > 0, F.timestamp_seconds(int_div("s", F.greatest("n", F.lit(1))))).alias("mean_time"))
     )
     return (
-        df.join(mean, ["mission", "orbit"])
+        df.join(mean, ["mission", "orbit"], "left")
         .withColumns(
             {
                 "year": F.year("mean_time"),
@@ -107,14 +106,24 @@ def partition_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def _write_orbits(df: DataFrame, root: str, table: str, time_by: DataFrame | None = None) -> None:
+def _dated(df: DataFrame, time_by: DataFrame | None = None) -> DataFrame:
+    upper = df.withColumn("mission", F.upper("mission"))
+    if time_by is None:
+        return partition_columns(upper)
+    places = partition_columns(time_by.withColumn("mission", F.upper("mission"))).select("mission", "orbit", "year", "month", "granule").distinct()
+    return upper.join(places, ["mission", "orbit"], "left")
+
+
+def _write_orbits(df: DataFrame, root: str, table: str, time_by: DataFrame | None = None, skip_undated: bool = False) -> None:
+    """Writes whole orbits; rows of an orbit without any time fail the job unless they are to be skipped."""
     schema = TABLES[table]
     cols = [f.name for f in schema.fields]
-    if time_by is None:
-        dated = partition_columns(df.withColumn("mission", F.upper("mission")))
+    dated = _dated(df, time_by)
+    if skip_undated:
+        dated = dated.where("year IS NOT NULL")
     else:
-        places = partition_columns(time_by).select("mission", "orbit", "year", "month", "granule").distinct()
-        dated = df.join(places, ["mission", "orbit"])
+        which = F.concat_ws(" ", F.lit(f"{table}: no time is known for orbit"), "mission", F.col("orbit").cast("string"))
+        dated = dated.withColumn("year", F.when(F.col("year").isNull(), F.raise_error(which).cast("int")).otherwise(F.col("year")))
     out = schemas.conform(dated, schema, ("year", "month", "granule")).select(*cols, "year", "month", "granule")
     (
         out.hint("rebalance", "mission", "year", "month", "granule")
@@ -135,9 +144,10 @@ def write_pixels(df: DataFrame, features: DataFrame, root: str) -> None:
     _write_orbits(df, root, "pixels", features.select("mission", "orbit", "time"))
 
 
-def write_views(df: DataFrame, root: str) -> None:
-    """Orbits without a view write nothing."""
-    _write_orbits(df, root, "views")
+def write_views(df: DataFrame, root: str) -> DataFrame:
+    """Orbits without a view write nothing; those without any time are skipped and returned as (mission, orbit)."""
+    _write_orbits(df, root, "views", skip_undated=True)
+    return _dated(df).where("year IS NULL").select("mission", "orbit").distinct()
 
 
 def write_env(df: DataFrame, root: str, features: DataFrame | None = None) -> None:
@@ -161,11 +171,17 @@ def write_grid(df: DataFrame, root: str, table: str) -> None:
 
 
 def write_joint(df: DataFrame, path: str) -> None:
-    """The lossless sparse joint with mission and month first, with or without hour."""
+    """The lossless sparse joint with mission and month first, with or without hour; other months stay as they are."""
     order = ["mission", "month", "lat_bin", "lon_bin", "hour", "size_class", "echotop_class", "raintype"]
     cols = [c for c in order if c in df.columns]
     out = df.select(*cols, "rain_sum", "raining_count").withColumn("month", F.col("month").cast("short"))
-    out.write.mode("overwrite").option("compression", "zstd").partitionBy("mission", "month").parquet(path)
+    (
+        out.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
+        .partitionBy("mission", "month")
+        .parquet(path)
+    )
 
 
 def compact(

@@ -11,10 +11,14 @@ from rainloom.functions import scalars as S
 from rainloom.schemas import SWATH
 
 
-def hourly_grid(pixels: DataFrame, watermark: str = "1 day", deg: float = C.GRID_DEG) -> DataFrame:
+PIXEL = ["mission", "orbit", "scan", "ray"]
+
+
+def hourly_grid(pixels: DataFrame, watermark: str | None = "1 day", deg: float = C.GRID_DEG) -> DataFrame:
     """Views and rain per hour, mission and cell.
 
-    Works on a stream (late orbits are accepted up to the watermark) and on a batch alike.
+    Works on a stream (late orbits are accepted up to the watermark) and on a batch alike;
+    without ``watermark`` the stream must bring its own.
     Sums by rain type sit side by side, so one state row per cell and hour is enough.
     """
     views = pixels.where(S.is_view(ts="time")).withColumns(
@@ -25,14 +29,41 @@ def hourly_grid(pixels: DataFrame, watermark: str = "1 day", deg: float = C.GRID
         mine = (F.col("near_sfc_rain") > 0) & (F.col("kind") == i)
         aggs.append(F.sum(F.when(mine, F.col("near_sfc_rain").cast("double")).otherwise(0.0)).alias(f"{name}_sum"))
         aggs.append(F.count_if(mine).alias(f"{name}_count"))
+    timed = views if watermark is None else views.withWatermark("time", watermark)
     return (
-        views.withWatermark("time", watermark)
+        timed
         .groupBy(F.window("time", "1 hour").alias("w"), "mission", "lat_bin", "lon_bin")
         .agg(*aggs)
         .select(F.col("w.start").alias("hour_start"), F.col("mission"), "lat_bin", "lon_bin", *_value_columns())
     )
 
 
+_NARROW = [*PIXEL, "lat", "lon", "time", "near_sfc_rain", "rain_type"]
+
+
+def _delivered(spark: SparkSession, path: str, deg: float) -> DataFrame:
+    """The hourly grid of all that has arrived so far, each pixel once."""
+    pixels = spark.read.schema(SWATH).parquet(path).select(*_NARROW).dropDuplicates(PIXEL)
+    return hourly_grid(pixels, deg=deg)
+
+
+def open_hours(spark: SparkSession, path: str, out: str, deg: float = C.GRID_DEG) -> DataFrame:
+    """Rows of the hours after the last one that the stream has written, computed from its input."""
+    whole = _delivered(spark, path, deg)
+    last = spark.read.schema(whole.schema).parquet(out).agg(F.max("hour_start")).first()[0]
+    return whole if last is None else whole.where(F.col("hour_start") > F.lit(last).cast("timestamp"))
+
+
+def late_views(spark: SparkSession, path: str, out: str, deg: float = C.GRID_DEG) -> DataFrame:
+    """Hours of the written range for which views have arrived that the stream no longer took."""
+    whole = _delivered(spark, path, deg)
+    done = spark.read.schema(whole.schema).parquet(out)
+    last = done.agg(F.max("hour_start")).first()[0]
+    seen = whole.where(F.col("hour_start") <= F.lit(last).cast("timestamp")).groupBy("hour_start").agg(F.sum("n_views").alias("arrived"))
+    kept = done.groupBy("hour_start").agg(F.sum("n_views").alias("written"))
+    return seen.join(kept, "hour_start", "left").fillna(0, ["written"]).withColumn("late", F.col("arrived") - F.col("written")).where("late <> 0")
+
+
 def _value_columns() -> list[str]:
     return ["n_views"] + [f"{n}_{k}" for n in C.RAINTYPE_LABELS for k in ("sum", "count")]
 
@@ -46,11 +77,15 @@ def stream_hourly_grid(
     deg: float = C.GRID_DEG,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Start the job: file source on ``path``, append to Parquet under ``out``."""
-    narrow = ["mission", "lat", "lon", "time", "near_sfc_rain", "rain_type"]
-    source = spark.readStream.schema(SWATH).parquet(path).select(*narrow)
+    """Start the job: file source on ``path``, append to Parquet under ``out``.
+
+    A pixel that is delivered again within the watermark counts once. Hours are written when the
+    watermark has passed them; ``open_hours`` gives the others, ``late_views`` what came too late.
+    """
+    source = spark.readStream.schema(SWATH).parquet(path).select(*_NARROW)
+    once = source.withWatermark("time", watermark).dropDuplicatesWithinWatermark(PIXEL)
     writer = (
-        hourly_grid(source, watermark, deg)
+        hourly_grid(once, None, deg)
         .writeStream.outputMode("append")
         .format("parquet")
         .option("path", out)

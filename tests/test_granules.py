@@ -32,13 +32,23 @@ def test_months_of_an_orbit(spark):
         "seq int, s string, e string",
     ).select("seq", F.col("s").cast("timestamp").alias("obs_start"), F.col("e").cast("timestamp").alias("obs_end"))
     got = sorted((r.seq, r.month or 0) for r in gr.granule_months(df).collect())
-    assert got == [(1, 5), (1, 6), (2, 5), (3, 0)]
+    assert got == [(1, 5), (1, 6), (2, 5), (3, 5), (3, 6)]
+    got = sorted((r.seq, r.month) for r in gr.granule_months(df.where("seq = 3"), ("2019-12-15", "2020-01-02")).collect())
+    assert got == [(3, 1), (3, 12)]
+    assert [r.month for r in gr.granule_months(df.where("seq = 3")).collect()] == [None]
 
 
 def test_version_preference_falls_back(spark):
     rows = [("GPM_2ADPR", "a.V07A.h5"), ("GPM_2ADPR", "b.V08A.h5"), ("GPM_1CGPMGMI", "c.V07A.h5"), ("other", "d.V07B.h5"), ("other", "e.V06B.h5")]
     df = spark.createDataFrame(rows, "product string, name string")
-    assert sorted(r.name for r in gr.prefer_version(df).collect()) == ["a.V07A.h5", "c.V07A.h5", "d.V07B.h5"]
+    assert sorted(r.name for r in gr.prefer_version(df, by=()).collect()) == ["a.V07A.h5", "c.V07A.h5", "d.V07B.h5"]
+
+
+def test_version_preference_is_per_orbit(spark):
+    """An orbit that exists in another version only stays, whatever other orbits have."""
+    rows = [(1, "x.V07A.h5"), (1, "x.V08A.h5"), (2, "y.V08A.h5"), (None, "z.V08A.h5")]
+    df = spark.createDataFrame(rows, "orbit int, name string").selectExpr("'GPM_2ADPR' AS product", "'GPM' AS mission", "*")
+    assert sorted(r.name for r in gr.prefer_version(df).collect()) == ["x.V07A.h5", "y.V08A.h5", "z.V08A.h5"]
 
 
 def test_last_granule_of_an_orbit(spark):
