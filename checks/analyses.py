@@ -379,7 +379,13 @@ register(
     longs="n",
     digits=3,
 )
-register("H9_sample", lambda t: cd.sample_rows(fe(t), ["feature_id", "ht40_km"], 500))
+register(
+    "H9_sample",
+    lambda t: cd.sample_rows(fe(t), ["feature_id", "ht20_km"], 500, mission="gpm", conv_only=True, where=F.col("ht20_km").isNotNull()),
+    "SELECT feature_id, ht20_km FROM fe WHERE mission = 'GPM' AND is_conv AND ht20_km IS NOT NULL ORDER BY md5(CAST(feature_id AS VARCHAR) || ':0'), feature_id LIMIT 500",
+    doubles="ht20_km",
+    longs="feature_id",
+)
 register(
     "H10_prepared_predictors",
     lambda t: models.prepare_predictors(fe(t), "ht40_km").agg(
@@ -398,7 +404,23 @@ register(
     doubles="coefficient",
 )
 register("H12_boosted_trees", lambda t: models.fit_gbt(fe(t), "ht40_km", rounds=5, depth=3)[1])
-register("H13_local_effects", lambda t: models.ale(models.fit_gbt(fe(t), "ht40_km", rounds=5, depth=3)[0], fe(t), C.SHEAR_COL))
+register(
+    "H13_local_effects",
+    lambda t: models.ale(models.fit_gbt(fe(t), "ht40_km", rounds=5, depth=3)[0], models.held_out(fe(t), "ht40_km"), C.SHEAR_COL),
+)
+register(
+    "H14_partial_effect_linear",
+    lambda t: models.partial_effect(fe(t), "ht40_km", C.SHEAR_COL, ["abs_lat"], nuisance="linear"),
+    f"""SELECT ty / tt AS effect, sqrt((yy - ty / tt * ty) / (n - 1) / tt) AS std_error, n FROM (
+        SELECT sum(rt * ry) AS ty, sum(rt * rt) AS tt, sum(ry * ry) AS yy, count(*) AS n FROM (
+          SELECT y - (y_at + y_by * x) AS ry, t - (t_at + t_by * x) AS rt FROM folded JOIN (
+            SELECT 1 - fold AS fold, regr_slope(y, x) AS y_by, regr_intercept(y, x) AS y_at, regr_slope(t, x) AS t_by, regr_intercept(t, x) AS t_at FROM folded GROUP BY 1) AS fits USING (fold)) AS r) AS m""",
+    doubles="effect std_error",
+    longs="n",
+)
+CTES["folded"] = f"""
+SELECT ht40_km AS y, {C.SHEAR_COL} AS t, abs_lat AS x, CAST('0x' || substr(md5(CAST(feature_id AS VARCHAR)), 1, 8) AS BIGINT) % 2 AS fold
+FROM fe WHERE ht40_km IS NOT NULL AND {C.SHEAR_COL} IS NOT NULL AND abs_lat IS NOT NULL"""
 register(
     "H14_partial_effect",
     lambda t: models.partial_effect(fe(t), "ht40_km", C.SHEAR_COL, ["p90_cape_2p50deg", "mean_cin_2p50deg", "mean_tpr_2p50deg", "mean_skt_2p50deg", "abs_lat"]),

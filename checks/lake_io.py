@@ -351,16 +351,21 @@ register(
 
 def _fields(t):
     from checks.grids import fields
-    from rainloom.plans.climatology import long_fields
+    from rainloom.plans.climatology import MEMBERS, QUANTITIES, long_fields
 
+    """Frequencies with the wrong sign, and one field that has no value left."""
     bad = long_fields(fields(t)).withColumn("value", F.when(F.col("quantity") == "freq", -F.col("value")).otherwise(F.col("value")))
-    return validate.check_fields(bad, ("member", "quantity"), "value").select("member", "quantity", "problem", "n_values")
+    bad = bad.where("quantity <> 'intensity'")
+    expected = [(m, q) for m in MEMBERS for q in QUANTITIES]
+    found = validate.check_fields(bad, ("member", "quantity"), "value", expected).select("member", "quantity", "problem", "n_values")
+    return found.where("problem <> 'empty' OR quantity = 'intensity'")
 
 
 register(
     "V4_published_fields",
     _fields,
-    "SELECT member, quantity, 'negative' AS problem, count(*) AS n_values FROM sw_long WHERE quantity = 'freq' GROUP BY 1, 2 HAVING max(value) > 0",
+    """SELECT member, quantity, 'negative' AS problem, count(*) AS n_values FROM sw_long WHERE quantity = 'freq' GROUP BY 1, 2 HAVING max(value) > 0
+       UNION ALL SELECT DISTINCT member, 'intensity', 'empty', 0 FROM sw_fields""",
     longs="n_values",
 )
 

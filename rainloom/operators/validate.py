@@ -76,13 +76,25 @@ def check_ranges(features: DataFrame, min_area: float = C.MIN_AREA_KM2) -> DataF
     return features.select("feature_id", F.explode(failed).alias("problem"))
 
 
-def check_fields(fields: DataFrame, by: tuple, value: str) -> DataFrame:
-    """Published fields that are empty, negative, or whose quantiles leave the data range."""
+def check_ranges_of_fields(ranges: DataFrame) -> DataFrame:
+    """Colour ranges that leave their slider's domain, or that are upside down."""
+    ok = (F.col("dlo") <= F.col("vmin")) & (F.col("vmin") <= F.col("vmax")) & (F.col("vmax") <= F.col("dhi"))
+    return ranges.where(~F.coalesce(ok, F.lit(False))).withColumn("problem", F.lit("range outside domain"))
+
+
+def check_fields(fields: DataFrame, by: tuple, value: str, expected: list[tuple] | None = None) -> DataFrame:
+    """Published fields that are empty, negative, or whose quantiles leave the data range.
+
+    ``expected`` lists the fields that must be there; one without any value is empty.
+    """
     from rainloom.functions.ranking import exact_percentiles
 
     base = fields.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n_values"))
     q = exact_percentiles(fields, by, value, {"q001": 0.001, "q999": 0.999}).drop("n")
     joined = base.join(q, list(by), "left")
+    if expected is not None:
+        known = fields.select(*by).schema
+        joined = fields.sparkSession.createDataFrame(expected, known).join(joined, list(by), "left").fillna(0, ["n_values"])
     problem = (
         F.when(F.col("n_values") == 0, F.lit("empty"))
         .when(F.col("lo") < -1e-6, F.lit("negative"))

@@ -6,11 +6,13 @@ The analysis table has one row per feature with its environment columns, ``surf`
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainloom import constants as C
-from rainloom.functions.ranking import bin_floor, exact_percentiles, quantile_group
+from rainloom.functions.ranking import bin_floor, exact_percentiles, quantile_group, row_numbers
 from rainloom.functions.scalars import convective, is_extreme_abs
 from rainloom.plans.catalogue import in_regions
 
@@ -28,6 +30,8 @@ def _statistic(df: DataFrame, by: tuple, response: str, stat: str) -> DataFrame:
     """(by, val, n) of one statistic of the non-null response."""
     if stat in QUANTILE_STATS:
         return exact_percentiles(df, by, response, {"val": QUANTILE_STATS[stat]})
+    if stat != "mean":
+        raise ValueError(f"unknown statistic {stat!r}")
     return df.groupBy(*by).agg(F.avg(F.col(response).cast("double")).alias("val"), F.count("*").alias("n"))
 
 
@@ -163,12 +167,29 @@ def regional_slope(
     )
 
 
-def sample_rows(fe: DataFrame, cols: list[str], n: int, seed: int = 0, key: str = "feature_id") -> DataFrame:
-    """A fixed-size random sample; the same rows for the same seed.
+def sample_rows(
+    fe: DataFrame, cols: list[str], n: int, seed: int = 0, key: str = "feature_id", mission: str | None = None, conv_only: bool = False, where: Column | None = None
+) -> DataFrame:
+    """A fixed-size random sample of the rows that pass the filters; the same rows for the same seed.
 
-    Keeps the n smallest hashes: each task passes on its own best n only.
+    The rows with the n smallest hashes of the key. A bound on the hash, which leaves somewhat more than
+    n rows, is applied before the sort, and the sort is spread over ranges of the hash, so neither the
+    input nor a large sample goes through one task.
     """
-    return fe.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n).select(*cols)
+    rows = fe
+    if mission is not None:
+        rows = rows.where(F.col("mission") == mission.upper())
+    if conv_only:
+        rows = rows.where(convective())
+    if where is not None:
+        rows = rows.where(where)
+    hashed = rows.withColumn("_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
+    share = (n + 10 * math.sqrt(n) + 10) / max(1, rows.count())
+    if share < 1:
+        near = hashed.where(F.col("_hash") < f"{int(share * (1 << 32)):08x}")
+        if near.count() >= n:
+            hashed = near
+    return row_numbers(hashed, ["_hash", key], name="_rank").where(F.col("_rank") <= n).select(*cols)
 
 
 def label_extremes(fe: DataFrame, prob: float = 0.99) -> DataFrame:

@@ -64,11 +64,17 @@ def fit_gbt(
     return model, df.sparkSession.createDataFrame(rows, "predictor string, importance double, test_r2 double")
 
 
+def held_out(df: DataFrame, response: str, predictors=C.PREDICTORS, test: float = 0.25) -> DataFrame:
+    """The rows on which ``fit_gbt`` with the same ``test`` has not been fitted."""
+    return hash_split(prepare_predictors(df, response, predictors), test)[1]
+
+
 def ale(model: Model, df: DataFrame, feature: str, predictors=C.PREDICTORS, bins: int = 20) -> DataFrame:
     """Accumulated local effect of one predictor over quantile bins.
 
     Each row is scored at both edges of its bin; the mean differences are added up along the
-    bins and centred on their weighted mean.
+    bins and centred on their weighted mean. ``df`` should be rows of the population the model was
+    fitted on, best those held out (``held_out``).
     """
     data = prepare_predictors(df, None, predictors)
     probs = {f"e{i}": i / bins for i in range(bins + 1)}
@@ -101,7 +107,7 @@ def partial_effect(
 ) -> DataFrame:
     """Debiased average effect of ``t`` on ``y``: residual on residual, nuisances cross-fitted."""
     data = _assembled(prepare_predictors(df, y, [t, *controls]), controls).withColumn(
-        "_fold", F.pmod(F.xxhash64(F.col(key)), F.lit(folds))
+        "_fold", F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(folds))
     )
     parts = []
     for k in range(folds):

@@ -51,10 +51,10 @@ def test_agrees_with_sql(spark, duck, data_dir, name):
 def test_names_and_oracles_line_up():
     queries, oracles = entry_points.queries(), entry_points.oracle_sql()
     assert set(oracles) <= set(queries)
-    # rows-only: the random sample and the fitted models
+    # rows-only: the fitted models
     own = {q for q in set(queries) - set(oracles) if not (q == "pipeline" or q.startswith("op"))}
     assert sorted(own) == [
-        "H12_boosted_trees", "H13_local_effects", "H14_partial_effect", "H17_extreme_classifier", "H9_sample",
+        "H12_boosted_trees", "H13_local_effects", "H14_partial_effect", "H17_extreme_classifier",
     ]
 
 
