@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainloom.session import materialize
+from rainloom.session import discard, materialize
 
-__all__ = ["ASCII_LOWER", "Cache", "bounded", "documents", "map_texts", "materialize", "narrow", "parts", "utf8"]
+__all__ = ["ASCII_LOWER", "Cache", "bounded", "discard", "documents", "map_texts", "materialize", "narrow", "parts", "utf8"]
 
 #: What ``str.translate`` needs to lower A-Z and nothing else.
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainloom.llm.common import materialize
+from rainloom.llm.common import discard, materialize
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
     Each round replaces every edge by one from either end to the least of the neighbours: first from the
     larger neighbours, then from the smaller ones. The number of edges never grows, and the rounds are
-    about the logarithm of the longest chain. Every round is a table in the shared folder.
+    about the logarithm of the longest chain. Every round is a table in the shared folder that is deleted
+    when the next one is there.
     """
     now = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{label}-edges")
     while True:
@@ -30,6 +31,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             return after.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("id"), "component").unionByName(
                 after.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
             )
+        discard(now)
         now = after
 
 
