@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.base import CTES, RT, echo_case, latbin, lonbin, register, size_case
@@ -70,6 +72,19 @@ def staged_grids(t):
     return t._grids
 
 
+def month_job(t):
+    """Stored rain of the month job, and its report of months."""
+    from rainloom.plans import jobs
+    from rainloom.session import shared_folder
+    from rainloom.sources import lake
+
+    if not hasattr(t, "_month_job"):
+        root = f"{shared_folder(t.spark)}/rainloom/months-{uuid.uuid4().hex}"
+        jobs.run_grids(t.swath, t.labels, t.swath_features, root, deg=DEG)
+        t._month_job = (lake.read_table(t.spark, root, "grid_rain", granule=False), t.spark.read.parquet(f"{root}/processed_months"))
+    return t._month_job
+
+
 def obs(t):
     return gridding.join_pixels_features(t.pixels, t.features).withColumns(
         {
@@ -247,6 +262,36 @@ register(
     doubles="lat lon",
     longs="month lat_bin lon_bin n_views",
 )
+register(
+    "G18_climatology_joint",
+    lambda t: gridding.climatology(staged_grids(t)["rain"], staged_grids(t)["views"], staged_grids(t)["metrics"], deg=DEG)["joint"].select("mission", "month", "lat_bin", "lon_bin", "hour", "size_class", "echotop_class", "raintype", "rain_sum", "raining_count"),
+    f"""SELECT mission, month, {CH}, {CLS}, sum(rain_sum) AS rain_sum, sum(raining_count) AS raining_count FROM swath_rain
+        WHERE lat_bin BETWEEN 44 AND 316 GROUP BY mission, month, {CH}, {CLS}""",
+    doubles="rain_sum",
+    longs="month lat_bin lon_bin hour size_class echotop_class raintype raining_count",
+)
+register(
+    "G18_climatology_views",
+    lambda t: gridding.climatology(staged_grids(t)["rain"], staged_grids(t)["views"], staged_grids(t)["metrics"], deg=DEG)["views"].select("mission", "month", "lat_bin", "lon_bin", "hour", "n_views"),
+    f"SELECT mission, month, {CH}, sum(n_views) AS n_views FROM swath_views WHERE lat_bin BETWEEN 44 AND 316 GROUP BY mission, month, {CH}",
+    longs="month lat_bin lon_bin hour n_views",
+)
+register(
+    "G18_month_job",
+    lambda t: month_job(t)[0],
+    f"SELECT mission, year, month, {CH}, {CLS}, rain_sum, raining_count FROM swath_rain",
+    doubles="rain_sum",
+    longs="year month lat_bin lon_bin hour size_class echotop_class raintype raining_count",
+)
+register(
+    "IO7_processed_months",
+    lambda t: month_job(t)[1],
+    """SELECT * FROM (SELECT mission, year(time) AS year, month(time) AS month FROM px GROUP BY ALL) AS m
+       LEFT JOIN (SELECT mission, year, month, count(*) AS n_views FROM swath_views GROUP BY ALL) AS v USING (mission, year, month)
+       LEFT JOIN (SELECT mission, year, month, count(*) AS n_rain FROM swath_rain GROUP BY ALL) AS r USING (mission, year, month)
+       LEFT JOIN (SELECT mission, year, month, count(*) AS n_metrics FROM swath_metrics GROUP BY ALL) AS k USING (mission, year, month)""",
+    longs="year month n_views n_rain n_metrics",
+)
 register(
     "G18_climatology",
     lambda t: gridding.climatology(staged_grids(t)["rain"], staged_grids(t)["views"], staged_grids(t)["metrics"], deg=DEG)["rain"],

@@ -71,9 +71,10 @@ register(
 
 
 def _rewrite(t):
-    """Write all orbits, then one of them again: the others stay, the rewritten one is not doubled."""
+    """Write all orbits, one of them 40 days late, then this one again: it is found once, in its own month."""
     root = new_root(t, "rewrite")
-    lake.write_features(t.swath_features, root)
+    late = F.when(F.col("orbit") == 1, F.col("time") + F.expr("INTERVAL 40 DAY")).otherwise(F.col("time"))
+    lake.write_features(t.swath_features.withColumn("time", late), root)
     lake.write_features(t.swath_features.where("orbit = 1"), root)
     return lake.read_table(t.spark, root, "features").select("mission", "orbit", "local_label", "feature_id", "npixels", "time", "year", "month")
 
@@ -120,6 +121,31 @@ register(
 )
 
 
+def _env_job(t):
+    """Environment of the orbits that start in a window, from a root with stored features."""
+    from checks.pixels import reanalysis
+    from rainloom.plans.jobs import run_env
+
+    root = new_root(t, "env-job")
+    lake.write_features(t.swath_features, root)
+    run_env(t.spark, root, reanalysis(t), "2024-01-11", "2024-01-21")
+    return lake.read_table(t.spark, root, "era5").select("mission", "orbit", "feature_id", "cape_centroid", "mean_cape_5deg", "p90_cape_2p50deg")
+
+
+register(
+    "E6_environment_job",
+    _env_job,
+    f"""SELECT mission, orbit, feature_id, cape_centroid, mean_cape_5deg, p90_cape_2p50deg FROM ({env_sql("mission, orbit")}) AS e WHERE feature_id IN (
+       SELECT feature_id FROM (SELECT *, min(time) OVER (PARTITION BY mission, orbit) AS start FROM feat
+       WHERE time >= TIMESTAMP '2024-01-11' - INTERVAL 2 HOUR AND time < TIMESTAMP '2024-01-21' + INTERVAL 2 HOUR) AS s
+       WHERE start >= TIMESTAMP '2024-01-11' AND start < TIMESTAMP '2024-01-21')""",
+    doubles="cape_centroid mean_cape_5deg p90_cape_2p50deg",
+    longs="orbit feature_id",
+    digits=1,
+    single=True,
+)
+
+
 def _grid_round_trip(t):
     root = new_root(t, "grids")
     for name, df in staged_grids(t).items():

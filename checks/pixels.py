@@ -244,32 +244,30 @@ SELECT {FK}, n, vlon * k * k AS cxx, vlat * {_K} * {_K} AS cyy, clon * k * {_K}
 CTES["axes"] = f"""
 SELECT *, 4 * sqrt(greatest(0, m + r)) AS major, 4 * sqrt(greatest(0, m - r)) AS minor FROM (
   SELECT *, (cxx + cyy) / 2 AS m, sqrt(power((cxx - cyy) / 2, 2) + power(cxy, 2)) AS r FROM cov) AS e"""
-# The angle of a nearly round feature and the minor axis of a collinear one hang on rounding errors, so both are coarsened.
-_AXES = """round(CASE WHEN n < 2 THEN 0 ELSE major END, 3) AS major_axis_km, round(CASE WHEN n < 2 THEN 0 ELSE minor END, 1) AS minor_axis_km"""
-
-
-def _axes(t):
-    df = features.feature_axes(t.members)
-    firm = (F.col("major_axis_km") > 0) & (F.col("minor_axis_km") < 0.9 * F.col("major_axis_km"))
-    return df.select(
-        "mission",
-        "orbit",
-        "local_label",
-        F.round("major_axis_km", 3).alias("major_axis_km"),
-        F.round("minor_axis_km", 1).alias("minor_axis_km"),
-        F.when(firm, F.round(F.abs("orientation_deg"), 2)).alias("orientation_deg"),
-        F.when(F.col("minor_axis_km") > 0.5, F.round("aspect_ratio", 4)).alias("aspect_ratio"),
-    )
+# The angle of a nearly round feature hangs on rounding errors, and so does the minor axis of a collinear one.
+# What is compared instead changes smoothly everywhere and keeps the sign of the angle: the elongation along
+# both diagonals of the double angle, and the squares of the minor axis and of the inverse aspect ratio.
+_AXES = """CASE WHEN n < 2 THEN 0 ELSE major END AS major_axis_km, CASE WHEN n < 2 THEN 0 ELSE minor * minor END AS minor2,
+        CASE WHEN n < 2 OR major <= 0 THEN 0 ELSE (1 - minor / major) * cos(atan2(2 * cxy, cxx - cyy)) END AS elongation_cos,
+        CASE WHEN n < 2 OR major <= 0 THEN 0 ELSE (1 - minor / major) * sin(atan2(2 * cxy, cxx - cyy)) END AS elongation_sin,
+        CASE WHEN n < 2 OR major <= 0 THEN 1 ELSE greatest(power(greatest(minor, 0.001) / major, 2), 1e-8) END AS thinness"""
+
+
+def smooth_axes(df):
+    major, minor, twice = F.col("major_axis_km"), F.col("minor_axis_km"), F.radians("orientation_deg") * 2
+    stretch = F.when(major > 0, 1 - minor / major).otherwise(0.0)
+    return df.withColumns(
+        {"minor2": minor * minor, "elongation_cos": stretch * F.cos(twice), "elongation_sin": stretch * F.sin(twice), "thinness": 1 / (F.col("aspect_ratio") * F.col("aspect_ratio"))}
+    ).drop("minor_axis_km", "orientation_deg", "aspect_ratio")
 
 
 register(
     "A8_axes",
-    _axes,
-    f"""SELECT {FK}, {_AXES}, CASE WHEN n >= 2 AND minor < 0.9 * major THEN round(abs(degrees(0.5 * atan2(2 * cxy, cxx - cyy))), 2) END AS orientation_deg,
-        CASE WHEN n >= 2 AND minor > 0.5 THEN round(major / minor, 4) END AS aspect_ratio FROM axes""",
-    doubles="major_axis_km minor_axis_km orientation_deg aspect_ratio",
+    lambda t: smooth_axes(features.feature_axes(t.members)).select("mission", "orbit", "local_label", "major_axis_km", "minor2", "elongation_cos", "elongation_sin", "thinness"),
+    f"SELECT {FK}, {_AXES} FROM axes",
+    doubles="major_axis_km minor2 elongation_cos elongation_sin thinness",
     longs="orbit local_label",
-    digits=4,
+    digits=3,
 )
 register(
     "A9_eccentricity",
@@ -434,9 +432,9 @@ register(
 
 register(
     "A17_feature_table",
-    lambda t: t.swath_features.drop("minor_axis_km", "orientation_deg", "aspect_ratio", "is_thin"),
+    lambda t: smooth_axes(t.swath_features.drop("is_thin")),
     f"""SELECT CASE f.mission WHEN 'GPM' THEN 2 ELSE 1 END * 10000000000000 + f.orbit * 100000 + f.local_label AS feature_id,
-        f.*, q.* EXCLUDE ({FK}), CASE WHEN x.n < 2 THEN 0 ELSE x.major END AS major_axis_km, ec.eccentricity, ed.edge
+        f.*, q.* EXCLUDE ({FK}), x.* EXCLUDE ({FK}), ec.eccentricity, ed.edge
         FROM (
           SELECT {FK}, sum(CAST(epoch_us(time) AS HUGEINT)) // count(*) AS time, count(*) AS npixels, sum(pixel_area) AS area_km2, {_CEN},
             min(scan) AS bbox_scan_min, max(scan) AS bbox_scan_max, min(ray) AS bbox_ray_min, max(ray) AS bbox_ray_max,
@@ -461,7 +459,7 @@ register(
             CASE WHEN sum(pixel_area) >= 2000 THEN 'MCS' WHEN coalesce(sum(pixel_area) FILTER (WHERE rain_type = 2), 0) > 0 THEN 'sub_MCS_conv'
                  WHEN coalesce(sum(pixel_area) FILTER (WHERE rain_type = 1), 0) > 0 THEN 'stratiform_only' ELSE 'weak' END AS feature_class
           FROM mem_c LEFT JOIN near_pct USING (mission, orbit, scan, ray) GROUP BY {FK}) f
-        JOIN qc_out q USING ({FK}) JOIN axes x USING ({FK})
+        JOIN qc_out q USING ({FK}) JOIN (SELECT {FK}, {_AXES} FROM axes) x USING ({FK})
         JOIN (SELECT {FK}, CASE WHEN m + r > 0 THEN sqrt(1 - greatest(0, m - r) / (m + r)) ELSE 0 END AS eccentricity FROM (
               SELECT {FK}, (vs + vr) / 2 AS m, sqrt(power((vs - vr) / 2, 2) + power(c, 2)) AS r FROM (
               SELECT {FK}, var_pop(scan) AS vs, var_pop(ray) AS vr, covar_pop(scan, ray) AS c FROM mem GROUP BY ALL) AS a) AS b) ec USING ({FK})
@@ -471,7 +469,7 @@ register(
     doubles=" ".join(
         f.name for f in schemas.FEATURES.fields
         if f.dataType.simpleString() == "float" and f.name not in ("minor_axis_km", "orientation_deg", "aspect_ratio")
-    ),
+    ) + " minor2 elongation_cos elongation_sin thinness",
     longs=" ".join(
         f.name for f in schemas.FEATURES.fields if f.dataType.simpleString() in ("int", "bigint", "tinyint", "smallint", "timestamp")
     ),

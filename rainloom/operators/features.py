@@ -12,6 +12,7 @@ from rainloom.functions.scalars import encode_feature_id, int_div, is_number, su
 from rainloom.operators import echotops
 from rainloom.operators.labels import rain_mask, swath_extent
 from rainloom.schemas import FEATURES, PIXELS, conform
+from rainloom.session import materialize
 
 PIXEL = ["mission", "orbit", "scan", "ray"]
 FEATURE = ["mission", "orbit", "local_label"]
@@ -352,7 +353,7 @@ def feature_class(members: DataFrame) -> DataFrame:
 def build_features(swath: DataFrame, labels: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """The 58-column feature table: one aggregation over the members, plus the peeled tops."""
     if members is None:
-        members = join_members(swath, labels)
+        members = materialize(join_members(swath, labels), "members")  # read by three aggregates
     aggs = (
         extent_aggs() + time_aggs() + centroid_aggs() + bbox_aggs() + surface_aggs() + rain_aggs()
         + axes_aggs() + eccentricity_aggs() + pct_aggs() + conv_strat_aggs() + height_aggs()

@@ -15,6 +15,7 @@ from rainloom import constants as C
 from rainloom.functions import scalars as S
 from rainloom.operators.echotops import pixel_echo_tops
 from rainloom.schemas import VIEWS, conform
+from rainloom.session import materialize
 
 PIXEL = ["mission", "orbit", "scan", "ray"]
 FEATURE = ["mission", "orbit", "local_label"]
@@ -320,10 +321,11 @@ def densify(
 def climatology(
     rain: DataFrame, views: DataFrame, metrics: DataFrame, band=C.SHARED_LAT_CLIP, deg: float = C.GRID_DEG
 ) -> dict[str, DataFrame]:
-    """All missions, months and hours on the shared grid in one pass per table."""
+    """All missions, months and hours on the shared grid in one pass per table; the rain is reduced once and stored."""
+    joint = materialize(clip_band(reduce_rain_hour(rain, deg=deg), band=band, deg=deg), "joint")
     return {
-        "rain": marginals(clip_band(reduce_rain_hour(rain, deg=deg), band=band, deg=deg)),
-        "joint": clip_band(reduce_rain_hour(rain, deg=deg), band=band, deg=deg),
+        "rain": marginals(joint),
+        "joint": joint,
         "views": clip_band(reduce_views_hour(views, deg=deg), band=band, deg=deg),
         "metrics": clip_band(reduce_metrics_hour(metrics, deg=deg), band=band, deg=deg),
     }

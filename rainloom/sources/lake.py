@@ -133,6 +133,21 @@ def _write_orbits(df: DataFrame, root: str, table: str, time_by: DataFrame | Non
         .partitionBy("mission", "year", "month", "granule")
         .parquet(f"{root}/{table}")
     )
+    _drop_moved(dated, root, table)
+
+
+def _drop_moved(dated: DataFrame, root: str, table: str) -> None:
+    """Delete what an earlier write has left of the written orbits in other months."""
+    spark = dated.sparkSession
+    places = ["mission", "year", "month", "granule"]
+    new = dated.select("mission", "granule", F.col("year").alias("_y"), F.col("month").alias("_m")).distinct()
+    old = read_table(spark, root, table).select(*places).distinct()
+    moved = old.join(new, ["mission", "granule"]).where("year <> _y OR month <> _m").select(*places)
+    # an orbit whose mean time has crossed the end of a month: a few of those just written at most
+    for p in moved.collect():
+        folder = "/".join(f"{c}={p[c]}" for c in places)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/{folder}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_features(df: DataFrame, root: str) -> None:
