@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rainloom.session import discard, materialize
 
-__all__ = ["ASCII_LOWER", "Cache", "bounded", "discard", "documents", "map_texts", "materialize", "narrow", "parts", "utf8"]
+__all__ = ["ASCII_LOWER", "Cache", "add_column", "bounded", "discard", "documents", "free_name", "give_back", "map_texts", "materialize", "narrow", "parts", "utf8"]
 
 #: What ``str.translate`` needs to lower A-Z and nothing else.
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -31,7 +32,7 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most ``limit`` bytes of ``column``; a longer row comes alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -43,23 +44,49 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, column: str = "text") -> DataFrame:
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and other stages share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, column: str = "text", limit: int = 2 << 20) -> DataFrame:
     """``fn`` over slices of bounded size; it returns columns by name."""
-    from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        for batch in bounded(batches, column):
+        for batch in bounded(batches, column, limit):
             out = fn(batch)
             yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def add_column(df: DataFrame, name: str, kind: str, fn: Callable[[pa.RecordBatch], pa.Array], column: str = "text", limit: int = 2 << 20) -> DataFrame:
+    """``df`` with a further column that ``fn`` computes from slices of bounded size; all others pass through."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    def run(batches):
+        for batch in bounded(batches, column, limit):
+            yield pa.RecordBatch.from_arrays([*batch.columns, fn(batch)], names=[*batch.schema.names, name])
+
+    added = _parse_datatype_string(f"`{name}` {kind}").fields
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added]))
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    return next(n for k in range(len(df.columns) + 1) if (n := f"_{stem}{k}") not in df.columns)
+
+
 class Cache:
     """Results by word, in two generations: the older one is dropped when the younger is full."""
 

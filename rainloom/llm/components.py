@@ -17,25 +17,29 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     when the next one is there.
     """
     now = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{label}-edges")
+    shape = _shape(now)
     while True:
-        # large star: neighbours above u point to the least neighbour of u (or u itself)
+        # each minimum is stored before it is joined, so that both sides of the join come from a scan:
+        # only then can Spark split a node with very many edges
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{label}-low")
+        # large star: neighbours above u point to the least neighbour of u (or u itself)
+        large = materialize(both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a < b"), f"{label}-large")
+        least = materialize(large.groupBy("b").agg(F.min("a").alias("m")), f"{label}-least")
         # small star: u and its neighbours below point to the least of them
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
         spread = large.join(least, "b")
         small = spread.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(spread.select(F.col("m").alias("a"), "b"))
         after = materialize(small.where("a < b").distinct(), f"{label}-edges")
-        if _same(now, after):
+        for done in (now, low, large, least):
+            discard(done)
+        before, shape = shape, _shape(after)
+        if shape == before:
             return after.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("id"), "component").unionByName(
                 after.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
             )
-        discard(now)
         now = after
 
 
-def _same(x: DataFrame, y: DataFrame) -> bool:
-    """Whether two tables of distinct edges agree, by counts and a sum of hashes."""
-    shape = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return shape(x) == shape(y)
+def _shape(edges: DataFrame) -> tuple:
+    """Number of distinct edges and a sum of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -13,12 +13,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainloom.llm.common import map_texts, narrow
+from rainloom.llm.common import add_column, free_name, map_texts, narrow
 
 MEASURES = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_upper n_letters n_marked".split()
 
@@ -112,13 +111,13 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def passed(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that neither the base rules nor the policy reject, with all their columns."""
+    book = free_name(docs, "ledger")
 
-    @F.pandas_udf(", ".join(f"{c} long" for c in MEASURES))
-    def measured(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t.encode()) for t in texts], columns=MEASURES)
+    def measured(batch):
+        rows = [measure((t.as_py() or "").encode()) for t in batch.column(text_col)]
+        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], MEASURES)
 
-    book = next(f"_ledger{k}" for k in range(len(docs.columns) + 1) if f"_ledger{k}" not in docs.columns)
-    judged = docs.withColumn(book, measured(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    judged = add_column(docs, book, f"struct<{', '.join(f'{c}: long' for c in MEASURES)}>", measured, text_col)
     mask_ = F.lit(mask(policy) | mask("base@1"))
     return judged.where(failures(book).bitwiseAND(mask_) == 0).drop(book)
 

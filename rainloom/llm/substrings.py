@@ -18,17 +18,17 @@ import hashlib
 from itertools import compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainloom.llm.common import map_texts, narrow, parts
+from rainloom.llm.common import add_column, free_name, give_back, map_texts, narrow, parts
 from rainloom.llm.shingles import mixed, word_hash
 
 WINDOW = 20
 GRAM = 4
+BUCKET = 1 << 20  # bytes of text whose windows share a bucket, and of a slice of the input
 NO_ID = (1 << 63) - 1
 _LOW = np.uint64((1 << 24) - 1)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -209,6 +209,7 @@ def _count(batches, schema):
         pending.append(done())
     if pending:
         yield emit(pending)
+    give_back()
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,8 +217,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = _keyed(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = parts(docs, 32, 3 * size / 1e6)
-    buckets = max(tasks, size // (2 << 20) + 1)
-    blocks = map_texts(texts, lambda b: _blocks(b, buckets), "bucket long, block binary")
+    buckets = max(tasks, size // BUCKET + 1)
+    blocks = map_texts(texts, lambda b: _blocks(b, buckets), "bucket long, block binary", limit=BUCKET)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
     return blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: _count(x, schema), "doc_id long, start long, n long")
 
@@ -264,12 +265,16 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the kept words joined by one space as text; all columns stay, a null text stays null."""
-
-    @F.pandas_udf("string")
-    def text(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _kept(t.encode(), s, z)[2].decode() for t, s, z in zip(texts, starts, sizes)], dtype=object)
-
-    spans = _spans(docs, id_col, text_col)
-    own = docs.alias("docs").join(spans.alias("spans"), F.coalesce(F.col(f"docs.{id_col}").cast("long"), F.lit(NO_ID)) == F.col("spans._id"), "left")
-    new = text(F.col(f"docs.{text_col}"), F.col("spans.starts"), F.col("spans.sizes")).alias(text_col)
-    return own.select(*[new if c == text_col else F.col(f"docs.`{c}`") for c in docs.columns])
+    spans, new = free_name(docs, "spans"), free_name(docs, "kept")
+
+    def text(batch):
+        out = []
+        for t, s in zip(batch.column(text_col), batch.column(spans)):
+            own = [np.asarray(s[c].values) if s.is_valid else None for c in ("starts", "sizes")]
+            out.append(_kept(t.as_py().encode(), *own)[2].decode() if t.is_valid else None)
+        return pa.array(out, pa.string())
+
+    found = _spans(docs, id_col, text_col).select("_id", F.struct("starts", "sizes").alias(spans))
+    own = docs.alias("docs").join(found, F.coalesce(F.col(f"docs.{id_col}").cast("long"), F.lit(NO_ID)) == found["_id"], "left")
+    cut = add_column(own.select("docs.*", spans), new, "string", text, text_col)
+    return cut.select(*[F.col(new).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
