@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from rainloom.operators.sets import same_rows
-from rainloom.streaming.hourly import hourly_grid, stream_hourly_grid
+from rainloom.streaming.hourly import hourly_grid, late_views, open_hours, stream_hourly_grid
 
 
 def test_stream_equals_batch_on_closed_hours(spark, make_swath, tmp_path):
@@ -25,3 +25,21 @@ def test_stream_equals_batch_on_closed_hours(spark, make_swath, tmp_path):
     done = spark.read.schema(batch.schema).parquet(out)
     assert closed.count() > 0
     assert same_rows(done, closed).isEmpty()
+
+
+def test_second_delivery_and_open_hours(spark, make_swath, tmp_path):
+    """An orbit that arrives twice counts once; open hours complete the grid; late rows are told."""
+    t0 = dt.datetime(2020, 6, 1)
+
+    def orbit(number, day):
+        times = {s: {"time": t0 + dt.timedelta(days=day, minutes=20 * s), "rain_type": 1} for s in range(6)}
+        return make_swath(6, 8, orbit=number, per_scan=times)
+
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for df in (orbit(1, 1), orbit(1, 1), orbit(2, 5), orbit(3, 0)):  # again, far ahead, too late
+        df.write.mode("append").parquet(src)
+        stream_hourly_grid(spark, src, out, state, available_now=True).awaitTermination()
+    batch = hourly_grid(orbit(1, 1).unionByName(orbit(2, 5)))
+    done = spark.read.schema(batch.schema).parquet(out).unionByName(open_hours(spark, src, out))
+    assert same_rows(done, batch).isEmpty()
+    assert sum(r.late for r in late_views(spark, src, out).collect()) == orbit(3, 0).where("near_sfc_rain IS NOT NULL").count()
