@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.base import CTES, POP, floor_div, register
@@ -87,6 +88,29 @@ register(
     doubles="qty normalised",
     longs="l_linenumber",
 )
+def _order_in_files(t):
+    """Whether each row of a sorted write comes after the one before it in its file."""
+    from rainloom.session import materialize
+
+    df = t.features.repartition(7, "npixels").select("feature_id", "npixels")
+    back = rk.with_ordinal(materialize(rk.sort_within(df, "feature_id"), "sorted")).withColumn("file", F.input_file_name())
+    before = F.lag("feature_id").over(Window.partitionBy("file").orderBy("ordinal"))
+    return back.select("feature_id", F.coalesce(before <= F.col("feature_id"), F.lit(True)).alias("in_order"))
+
+
+register(
+    "W8_ordinal_of_rows",
+    # the source is one file, so its rows are numbered in file order
+    lambda t: rk.row_numbers(rk.with_ordinal(t.table("orders").select("o_orderkey")), ["ordinal"]).select("o_orderkey", "rn"),
+    "SELECT o_orderkey, row_number() OVER () AS rn FROM orders",
+    longs="o_orderkey rn",
+)
+register(
+    "W9_order_in_files",
+    _order_in_files,
+    "SELECT feature_id, true AS in_order FROM cat",
+    longs="feature_id",
+)
 register(
     "W8_W9_input_order_kept",
     lambda t: rk.sort_within(rk.with_ordinal(t.features.select("feature_id", "area_km2")), "feature_id").select("feature_id", "area_km2"),

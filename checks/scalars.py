@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import POP, echo_case, hav, latbin, lonbin, register, size_case
 from rainloom import constants as C
 from rainloom.functions import scalars as S
+from rainloom.operators import validate
 from rainloom.plans.catalogue import in_regions
 from rainloom.testbed import cents
 
@@ -164,15 +165,18 @@ register(
 )
 
 
-def _sane(t):
+def _grid_rows(t):
     df = t.pixels.select(
         S.lat_bin("lat", 0.25).alias("lat_bin"), S.lon_bin("lon", 0.25).alias("lon_bin"), (F.hour("time") + F.when(F.col("ray") == 0, 20).otherwise(0)).alias("hour"),
         (F.col("scan") % 5).alias("size_class"), (F.col("scan") % 6).alias("echotop_class"), (F.col("scan") % 3).alias("raintype"),
         F.when(F.col("scan") % 11 == 0, F.lit(float("nan"))).when(F.col("scan") % 13 == 0, -1.0).otherwise(F.col("near_sfc_rain")).alias("rain_sum"),
         (F.col("ray") * F.when(F.col("scan") % 17 == 0, 10_000_000).otherwise(1)).cast("long").alias("raining_count"),
     )
-    df = df.withColumn("n_views", F.col("raining_count"))
-    return df.groupBy("raintype").agg(
+    return df.withColumn("n_views", F.col("raining_count"))
+
+
+def _sane(t):
+    return _grid_rows(t).groupBy("raintype").agg(
         F.count_if(S.sane_rain(0.25)).alias("rain_ok"), F.count_if(S.sane_views(0.25)).alias("views_ok"),
         F.count_if(S.sane_metrics(0.25)).alias("metrics_ok"), F.count("*").alias("n"),
     )
@@ -189,6 +193,15 @@ register(
              CASE WHEN scan % 11 = 0 THEN CAST('nan' AS DOUBLE) WHEN scan % 13 = 0 THEN -1.0 ELSE near_sfc_rain END AS rain_sum FROM pix) AS s GROUP BY 1""",
     longs="raintype rain_ok views_ok metrics_ok n",
 )
+register(
+    "P19_implausible_rows",
+    lambda t: validate.implausible(_grid_rows(t), S.sane_rain(0.25)).groupBy("raintype", "echotop_class").agg(F.count("*").alias("n"), F.max("raining_count").alias("most")),
+    """SELECT raintype, echo AS echotop_class, count(*) AS n, max(cnt) AS most FROM (
+         SELECT scan % 3 AS raintype, scan % 6 AS echo, hour(time) + CASE WHEN ray = 0 THEN 20 ELSE 0 END AS hr, ray * CASE WHEN scan % 17 = 0 THEN 10000000 ELSE 1 END AS cnt,
+                CASE WHEN scan % 11 = 0 THEN CAST('nan' AS DOUBLE) WHEN scan % 13 = 0 THEN -1.0 ELSE near_sfc_rain END AS rain_sum FROM pix) AS s
+       WHERE (hr BETWEEN 0 AND 23 AND cnt > 0 AND cnt < 100000000 AND rain_sum >= 0 AND NOT isnan(rain_sum) AND echo <= 4) IS NOT TRUE GROUP BY 1, 2""",
+    longs="raintype echotop_class n most",
+)
 register(
     "P20_great_circle",
     lambda t: t.features.select("feature_id", S.haversine_km("centroid_lat", "centroid_lon", F.lit(12.5), F.lit(-45.25)).alias("km")),

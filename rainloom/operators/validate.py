@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,11 @@ def check_ranges(features: DataFrame, min_area: float = C.MIN_AREA_KM2) -> DataF
     return features.select("feature_id", F.explode(failed).alias("problem"))
 
 
+def implausible(df: DataFrame, rule: Column) -> DataFrame:
+    """The rows that a sanity rule (``sane_views``, ``sane_rain``, ``sane_metrics``) keeps out of the reductions."""
+    return df.where(~F.coalesce(rule, F.lit(False)))
+
+
 def check_ranges_of_fields(ranges: DataFrame) -> DataFrame:
     """Colour ranges that leave their slider's domain, or that are upside down."""
     ok = (F.col("dlo") <= F.col("vmin")) & (F.col("vmin") <= F.col("vmax")) & (F.col("vmax") <= F.col("dhi"))
