@@ -22,4 +22,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_circulant_minhash": lambda spark, sf_dir: shingles.near_duplicates(documents(spark, sf_dir)),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_RULES = " + ".join(f"CASE WHEN {rule} THEN {quality.BIT[name]} ELSE 0 END" for name, rule in quality.RULES.items())
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_super_kmers": f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20) AS u),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM p) AS o WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM g) AS c),
+single AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS txt FROM single ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""",
+    "op9_quality_ledger": rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+single AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+three AS (SELECT doc_id, j, word, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c FROM single WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+twice AS (SELECT doc_id, j FROM (SELECT doc_id, j, count(*) OVER (PARTITION BY doc_id, word, b, c) AS n FROM three WHERE c IS NOT NULL) AS k WHERE n > 1),
+again AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest([j, j + 1, j + 2]) AS i FROM twice) AS k GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) AS k
+          WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+      coalesce(again.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines, length(regexp_replace(array_to_string(ws, ''), '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_upper,
+      length(regexp_replace(array_to_string(ws, ''), '[^\p{{L}}]', '', 'g')) AS n_letters,
+      len(list_filter(ws, lambda x: regexp_matches(x, '(?:!!|\?\?|[#*$%&|<>]{{2,}})[.,;:]?$'))) AS n_marked
+      FROM w LEFT JOIN again USING (doc_id) LEFT JOIN lines USING (doc_id)),
+f AS (SELECT *, {_RULES} AS failed FROM m)
+SELECT doc_id, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in quality.MEASURES)}, CAST(failed AS INTEGER) AS failed,
+  failed & {quality.mask("base@1")} <> 0 AS base_failed, failed & {quality.mask(quality.CURRENT) | quality.mask("base@1")} = 0 AS kept FROM f""",
+}
