@@ -61,14 +61,14 @@ class Words:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter
         return self.pieces.findall(text.lower())
 
-    def by_chunk(self, chunks: list[str]) -> list[list]:
+    def by_chunk(self, chunks: list[bytes]) -> list[list]:
         """The words' results of each chunk."""
-        split = list(map(self.split, chunks))
+        split = [self.split(c.decode()) for c in chunks]
         found = iter(self.words.all([w for ws in split for w in ws], lambda new: list(map(self.word, new))))
         return [list(islice(found, len(ws))) for ws in split]
 
     def of(self, text: str, join) -> list:
-        return self.chunks.all([c.decode() for c in text.encode().split()], lambda new: list(map(join, self.by_chunk(new))))
+        return self.chunks.all(text.encode().split(), lambda new: list(map(join, self.by_chunk(new))))
 
 
 class PairCounter(Words):
