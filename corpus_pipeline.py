@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from rainloom.llm import packing, quality, shingles, substrings
 from rainloom.llm.common import documents, materialize
 
+#: Near duplicates of the pipeline share this part of their shingles of 5 words, in percent; op10 has its own limit.
+NEAR = 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
@@ -18,7 +21,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id."""
-    return shingles.deduplicated(docs)
+    return shingles.deduplicated(docs, NEAR)
 
 
 def cut_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ for several texts is one document linked through each of them. Documents without
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,7 @@ from rainloom.llm.components import components
 
 SHINGLE = 5
 PERCENT = 85
-BANDS, ROWS = 36, 7  # a pair at the limit is missed with probability below 1e-6
+BANDS, ROWS = 36, 7  # for PERCENT; see banding
 CELLS = 1 << 20
 CHUNK = 256  # documents
 
@@ -87,6 +88,20 @@ def sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and rows of a band, by which a pair at the limit is missed with a probability below 1e-6.
+
+    As many rows as BANDS bands allow, so that few others become candidates; limits too low for that take more bands.
+    """
+    if percent >= 100:
+        return 1, ROWS
+    for rows in range(ROWS, 0, -1):
+        n = math.ceil(math.log(1e-6) / math.log1p(-((percent / 100) ** rows)))
+        if n <= BANDS:
+            break
+    return n, rows
+
+
 @lru_cache(maxsize=2)
 def _circle(coordinates: int) -> np.ndarray:
     """Row c has the second permutation's values for cell c under every shift."""
@@ -115,8 +130,9 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return x.view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, ``class`` (digest of the set; null if empty) and the bands' hashes."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, ``class`` (digest of the set; null if empty) and the hashes of the bands for ``percent``."""
+    n, rows = banding(percent)
 
     def run(batch):
         found = sets(batch.column("text").to_pylist())
@@ -124,7 +140,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             "doc_id": batch.column("doc_id"),
             "n_shingles": [len(s) for s in found],
             "class": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found],
-            "bands": pa.array([bands(signature(s)) if len(s) else [] for s in found], pa.list_(pa.int64())),
+            "bands": pa.array([bands(signature(s, n * rows), rows) if len(s) else [] for s in found], pa.list_(pa.int64())),
         }
 
     return map_texts(narrow(docs, id_col, text_col), run, "doc_id long, n_shingles long, class binary, bands array<long>")
@@ -216,7 +232,7 @@ def _verify(batches, percent: int):
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable) and whether it is the document's own."""
     texts = narrow(docs, id_col, text_col)
-    signed = materialize(signatures(docs, id_col, text_col), "signed")
+    signed = materialize(signatures(docs, id_col, text_col, percent), "signed")
     classed = signed.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     reps = materialize(classed.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "representatives")
     groups = components(materialize(candidate_edges(reps), "candidates"), "candidates")

@@ -163,6 +163,37 @@ def test_large_group_of_near_copies(make_docs, monkeypatch):
     check_groups(shingles.near_duplicates(make_docs(rows)), rows)
 
 
+def test_bands_follow_the_limit():
+    assert shingles.banding(85) == (shingles.BANDS, shingles.ROWS)
+    for percent in (50, 70, 80, 85, 90, 99):
+        n, rows = shingles.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** n < 1e-6
+
+
+def test_pipeline_takes_near_copies_from_80_percent(spark, make_docs):
+    """Pairs around the limits of 80 and 85 percent, against brute force at 80."""
+    rng = random.Random(12)
+    rows = []
+    for d in range(0, 400, 2):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        cut = text[: 204 - rng.randrange(20, 50)]  # a prefix: similarity is (200 - cut) / 200
+        rows += [(d, " ".join(text)), (d + 1, " ".join(cut))]
+    at_limit = [f"l{k}" for k in range(204)]
+    rows += [(500, " ".join(at_limit)), (501, " ".join(at_limit[:164])), (502, " ".join(["x", *at_limit[41:]]))]
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    got = {r["doc_id"] for r in stage(spark, make_docs(rows), "").collect()}
+    strict, wanted = ({d for d, _, c in reachable(rows, p) if d == c} for p in (85, 80))
+    assert got == wanted and wanted < strict and {500, 501, 502} & got == {500, 502}
+
+
+def test_pipeline_near_copies_on_whole_table(spark, data_dir, texts):
+    """The table has near copies between the limits of the pipeline and of op10."""
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
+    got = Counter(r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, data_dir).collect())
+    strict, wanted = (Counter(d for d, _, c in reachable(texts, p) if d == c) for p in (85, 80))
+    assert got == wanted and wanted < strict
+
+
 def test_links_against_all_pairs():
     rng = np.random.default_rng(9)
     found = [np.unique(rng.integers(0, 60, rng.integers(20, 60)).astype(np.uint64)) for _ in range(60)]
