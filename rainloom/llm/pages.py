@@ -273,14 +273,12 @@ def _best(root: Node) -> Node:
 
 
 def _find(root: Node, wanted: str) -> list[Node]:
-    """Elements at a generalised path, if they have running text; of several, those that come near the best."""
+    """All elements at a generalised path in page order, if any of them has running text."""
     level = [root] if wanted.split(">")[0] == path(root) else []
     steps = wanted.count(">")
     for _ in range(steps):
         level = [y for x in level for y in x.inside if not isinstance(y, str) and not y.drop and (wanted == path(y) or wanted.startswith(path(y) + ">"))]
-    level = [x for x in level if x.good]
-    most = max((x.good for x in level), default=0)
-    return [x for x in level if 2 * x.good >= most]
+    return level if any(x.good for x in level) else []
 
 
 def read(page: str) -> Node:

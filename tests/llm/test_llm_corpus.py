@@ -278,6 +278,16 @@ def test_host_decides(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_all_sections_of_a_split_article(spark):
+    """A page whose article is split over sections of unequal length keeps them all, in order."""
+    page = '<html><body><div class="story">{0}</div></body></html>'
+    part = lambda name, n: f"<section><p>{name} {'word ' * n}</p></section>"
+    rows = [(k, f"http://h.example/{k}", page.format(part("whole", 100))) for k in range(4)]
+    rows += [(9, "http://h.example/9", page.format(part("first", 200) + part("second", 80) + "<section><p><a href=x>all link</a></p></section>" + part("third", 60)))]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "\n\n".join(["first" + " word" * 200, "second" + " word" * 80, "all link", "third" + " word" * 60])
+
+
 def test_pages_on_whole_table(spark, data_dir):
     """Every page of the table has one article element, which is cut out here by hand."""
     import html
