@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from rainloom.llm.common import map_texts, materialize
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math select".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg select".split())
+#: Of these, the ones without an end tag of their own end with their parent.
+MARKUP = RAW - frozenset("script style xmp".split())
+NESTS = frozenset("svg template".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -43,7 +46,8 @@ SIBLINGS = {
     "p": ({"p"}, {"table", "td", "th", "button", "html", "caption"}),
 }
 CONTAINERS = frozenset("article body center div main section td".split())
-DROPPED = frozenset("aside button dialog fieldset footer form head label menu nav object search audio video canvas".split())
+DROPPED = frozenset("aside button dialog fieldset footer form head label menu nav object search audio video canvas annotation annotation-xml".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Class and id words that mean boilerplate wherever they stand in a name ...
 ANYWHERE = frozenset(
@@ -54,20 +58,24 @@ ANYWHERE = frozenset(
 #: ... and those that mean it at its end.
 AT_END = frozenset("alert banner disclaimer discussion footer form header login masthead notice notices pager pagination replies reply respond search share sharing skip topbar widget widgets".split())
 WITHOUT = frozenset("with has no without is js".split())
+#: Words that articles use as well: with others than those of a page's frame beside them, links decide. So they do for a discussion.
+DOUBTFUL = AT_END | {"recommended", "related", "social"}
+FRAME = frozenset("bar bottom box container div global inner left list main outer page right site top web website wrap wrapper".split())
 
 DEPTH = 250  # elements nested deeper are read as if beside one another
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "inside", "drop", "good", "all", "boxed", "path")
+    __slots__ = ("tag", "names", "parent", "inside", "drop", "good", "all", "boxed", "path", "id", "doubt")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent, self.inside, self.good, self.all, self.boxed, self.path = tag, parent, [], 0, 0, 0, None
+        self.id, self.doubt = "", False
         found = {}
         if attributes:
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -75,7 +83,10 @@ class Node:
         self.names = found.get("class", "")
         self.drop = bool(parent and parent.drop) or tag in DROPPED or _hidden(found) or found.get("role", "").lower() in ROLES
         if not self.drop and tag not in ("html", "body", "main", "article"):
-            self.drop = any(map(boilerplate, f"{self.names} {found.get('id', '')}".split()))
+            classes, ids = self.names.split(), [] if tag == "p" or tag in HEADINGS else found.get("id", "").split()
+            bad = [x for x in classes + ids if boilerplate(x)]
+            self.drop = any(not doubtful(x) for x in bad if x in classes or len(_WORD.findall(x)) < 2)
+            self.doubt, self.id = bool(bad) and not self.drop, next((x for x in bad if x not in classes and not doubtful(x)), "")
         if not self.drop and tag == "header":
             up = parent
             while up and up.tag not in ("article", "main"):
@@ -107,10 +118,48 @@ def boilerplate(name: str) -> bool:
     return found
 
 
+def doubtful(name: str) -> bool:
+    """Whether a name that means boilerplate may be an article's as well."""
+    words = [w for x in _WORD.findall(name) if not (w := x.lower()).isdigit()]
+    if any(w in ANYWHERE and w not in DOUBTFUL for w in words):
+        return False
+    return words == ["discussion"] or any(w not in ANYWHERE and w not in AT_END and w not in FRAME for w in words)
+
+
+def _settle(node: Node):
+    """Drops an element of doubtful names if half of its text is links, or if its id is bad and not made from its heading."""
+    sizes, heading = [0, 0], []
+
+    def walk(x: Node, link: bool, title: list | None):
+        for y in x.inside:
+            if isinstance(y, str):
+                sizes[0] += len(y.strip())
+                sizes[1] += len(y.strip()) if link else 0
+                if title is not None:
+                    title.append(y)
+            elif y.tag in HEADINGS and not heading:
+                heading.append([])
+                walk(y, link or y.tag == "a", heading[0])
+            else:
+                walk(y, link or y.tag == "a", title)
+
+    def drop(x: Node):
+        x.drop = True
+        for y in x.inside:
+            if not isinstance(y, str):
+                drop(y)
+
+    walk(node, False, None)
+    title = entities.unescape("".join(heading[0])) if heading else ""
+    made = [w.lower() for w in re.findall(r"\w+", title)] == [w.lower() for w in re.findall(r"[^\W_]+", node.id)]
+    if node.id and not made or 2 * sizes[1] >= sizes[0]:
+        drop(node)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and misplaced tags are mended as browsers do."""
     root = Node("html", None, "")
-    stack, at, n, low, unopened = [root], 0, len(page), None, {}
+    stack, at, n, low, unopened, ends, doubts = [root], 0, len(page), None, {}, {}, []
     last = page.rfind(">")
     while at < n:
         m = _TOKEN.search(page, at) if at < last or page.startswith("<!--", at) else None
@@ -135,8 +184,16 @@ def parse(page: str) -> Node:
             if not attributes.rstrip().endswith("/"):
                 if low is None:
                     low = page.lower()
-                end = low.find(f"</{tag}", at)
-                at = n if end < 0 else (low.find(">", end) + 1 or n)
+                end = ends.get(tag, 0)
+                if 0 <= end < at:
+                    end = ends[tag] = low.find(f"</{tag}", at)
+                if tag in MARKUP and (end < 0 or tag not in NESTS and low.find(f"<{tag}", at, end) >= 0):
+                    node = Node(tag, stack[-1], "hidden")
+                    stack[-1].inside.append(node)
+                    if len(stack) < DEPTH:
+                        stack.append(node)
+                else:
+                    at = n if end < 0 else (low.find(">", end) + 1 or n)
             continue
         if tag in ("html", "body", "head") and any(x.tag == tag for x in stack):
             continue
@@ -144,16 +201,21 @@ def parse(page: str) -> Node:
             _end(stack, *SIBLINGS["p"])
         if tag in SIBLINGS and tag != "p":
             _end(stack, *SIBLINGS[tag])
-        if tag in BLOCK and stack[-1].tag == "head":
-            stack.pop()
+        if tag in BLOCK and "head" in (stack[-1].tag, stack[-2].tag if stack[-1].tag in RAW else ""):
+            del stack[-1 if stack[-1].tag == "head" else -2 :]
         node = Node(tag, stack[-1], attributes)
         stack[-1].inside.append(node)
+        if node.doubt:
+            doubts.append(node)
         if tag in VOID:
             continue
         if len(stack) < DEPTH:
             stack.append(node)
         else:
             unopened[tag] = unopened.get(tag, 0) + 1
+    for node in doubts:
+        if not node.drop:
+            _settle(node)
     return root
 
 

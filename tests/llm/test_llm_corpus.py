@@ -258,6 +258,23 @@ def test_odd_pages(page, text):
     assert pages.text_of(page, None) == text
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<p>see <a href="/the-hidden-cost">kept</a></p>', '<p title="a hidden gem">kept</p>', '<div data-hidden="false"><p>kept</p></div>', '<div data-id="comments" data-class=ads><p>kept</p></div>', "<p title='x class=ad'>kept</p>", '<p title="a hidden gem>kept</p>',
+        '<h2 id="related-work">kept</h2>', '<p id="comments-on-method">kept</p>', '<section id="discussion"><h2>Discussion</h2><p>kept</p></section>', '<h2 id="social-impact">kept</h2>', '<div class="section-header"><h2>kept</h2></div>',
+        '<section id="cookies-in-history"><h2>Cookies in <i>history</i></h2><p>kept</p></section>', "<p>so <math><mi>kept</mi></math></p>", "<div><svg><path></div><p>kept</p>", "<div><select><option>x</div><p>kept</p><div><select><option>y</select></div>",
+    ],
+)
+def test_text_that_is_no_boilerplate(part):
+    assert "kept" in pages.text_of(f"<body><div class=story><p>Some words of the story.</p>{part}<p>More words of the story.</p></div>", None)
+
+
+@pytest.mark.parametrize("part", ['<div class="section-related"><a href=x>lost</a> <a href=y>lost</a></div>', "<div id=cookie-notice>lost</div>", '<div class="site-footer">lost</div>', '<p class=x hidden>lost</p>', "<p hidden>lost</p>", '<p title="x"hidden>lost</p>', "<div class='main-menu'>lost</div>", "<p>x <svg><text>lost</text></svg></p>", '<section id="comments-list"><h2>Opinions</h2>lost</section>'])
+def test_text_that_is_boilerplate(part):
+    assert "lost" not in pages.text_of(f"<body><div class=story><p>Some words of the story.</p>{part}<p>More words of the story.</p></div>", None)
+
+
 def test_deep_page():
     assert pages.text_of("<div>" * 20_000 + "<p>x" + "</div>" * 20_000, None) == "x"
 
