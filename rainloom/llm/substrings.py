@@ -7,9 +7,9 @@ where they arise and again where they arrive, so a passage that many documents s
 string per slice of the input. Within a bucket the windows are sorted, neighbours are compared word by
 word, and all but the earliest of each group are marked.
 
-The earlier window is the one of the smaller id, or at the smaller position of the same id; ids that are
-null come last, and rows with the same id count as one document (a position removed in one of them is
-removed in all). Null and empty texts have no words; texts shorter than a window lose none.
+The earlier window is the one of the smaller id, or at the smaller position of the same document. A document
+is an id with a text: repeated rows are one document, an id that stands for several texts is several (in the
+order of their hashes), and each row without an id is a document of its own, after all others. Null and empty texts have no words; texts shorter than a window lose none.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainloom.llm.common import add_column, free_name, give_back, map_texts, narrow, parts
+from rainloom.llm.common import add_column, free_name, give_back, map_texts, materialize, narrow, parts
 from rainloom.llm.shingles import mixed, word_hash
 
 WINDOW = 20
@@ -96,56 +96,56 @@ def super_kmers(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> t
     return text, first - np.array(bounds)[text], count, mixed(value[cut] >> np.uint64(24)), packed
 
 
-def _wrap(docs, starts, counts, texts: list[bytes], lost: list[tuple[int, int, int]]) -> bytes:
+def _wrap(docs, rows, starts, counts, texts: list[bytes], lost: list[tuple[int, int, int, int]]) -> bytes:
     """One block for a bucket: strings with their places, and places that lost to an equal string already."""
-    lost = np.array(lost, np.int64).reshape(-1, 3)
+    lost = np.array(lost, np.int64).reshape(-1, 4)
     head = np.array([len(texts), len(lost)], np.int64)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    arrays = (head, docs, starts, counts, sizes, lost)
+    arrays = (head, docs, rows, starts, counts, sizes, lost)
     return zstandard.ZstdCompressor(level=3).compress(b"".join([np.ascontiguousarray(a, np.int64).tobytes() for a in arrays] + texts))
 
 
 def _unwrap(block: bytes):
     data = zstandard.ZstdDecompressor().decompress(block)
     n, m = np.frombuffer(data, np.int64, 2)
-    docs, starts, counts, sizes = np.frombuffer(data, np.int64, 4 * n, 16).reshape(4, n)
-    lost = np.frombuffer(data, np.int64, 3 * m, 16 + 32 * n).reshape(m, 3)
-    at, texts = 16 + 32 * int(n) + 24 * int(m), []
+    docs, rows, starts, counts, sizes = np.frombuffer(data, np.int64, 5 * n, 16).reshape(5, n)
+    lost = np.frombuffer(data, np.int64, 4 * m, 16 + 40 * n).reshape(m, 4)
+    at, texts = 16 + 40 * int(n) + 32 * int(m), []
     for s in sizes.tolist():
         texts.append(data[at : at + s])
         at += s
-    return docs, starts, counts, texts, lost
+    return docs, rows, starts, counts, texts, lost
 
 
-def _earliest(docs: list[int], starts: list[int], counts: list[int], texts: list[bytes], best: dict) -> list[tuple[int, int, int]]:
+def _earliest(docs: list[int], rows: list[int], starts: list[int], counts: list[int], texts: list[bytes], best: dict) -> list[tuple[int, int, int, int]]:
     """Keeps the earliest place of each string in ``best``; returns the places that lose."""
     lost = []
-    for d, s, c, t in zip(docs, starts, counts, texts):
+    for d, r, s, c, t in zip(docs, rows, starts, counts, texts):
         other = best.get(t)
         if other is None:
-            best[t] = (d, s, c)
-        elif (d, s) < other[:2]:
-            best[t] = (d, s, c)
+            best[t] = (d, r, s, c)
+        elif (d, r, s) < other[:3]:
+            best[t] = (d, r, s, c)
             lost.append(other)
-        elif (d, s) > other[:2]:
-            lost.append((d, s, c))
+        elif (d, r, s) > other[:3]:
+            lost.append((d, r, s, c))
     return lost
 
 
 def _blocks(batch, buckets: int):
     raw = [t.as_buffer().to_pybytes() for t in batch.column("text")]
     text, starts, counts, minimiser, packed = super_kmers(raw)
-    docs = batch.column("doc_id").to_numpy(zero_copy_only=False)[text] if len(text) else text
+    docs, rows = (batch.column(c).to_numpy(zero_copy_only=False)[text] if len(text) else text for c in ("doc_id", "row"))
     bucket = (minimiser % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else []
     out = {"bucket": [], "block": []}
     for a, b in zip(cuts, [*cuts[1:], len(order)]):
         own, best = order[a:b], {}
-        lost = _earliest(docs[own].tolist(), starts[own].tolist(), counts[own].tolist(), [packed[i] for i in own], best)
-        d, s, c = zip(*best.values())
+        lost = _earliest(docs[own].tolist(), rows[own].tolist(), starts[own].tolist(), counts[own].tolist(), [packed[i] for i in own], best)
+        d, r, s, c = zip(*best.values())
         out["bucket"].append(int(bucket[own[0]]))
-        out["block"].append(_wrap(d, s, c, list(best), lost))
+        out["block"].append(_wrap(d, r, s, c, list(best), lost))
     return out
 
 
@@ -188,12 +188,19 @@ def _count(batches, schema):
     current, best, pending = None, {}, []
 
     def emit(rows):
-        rows = np.concatenate([np.array(r, np.int64).reshape(-1, 3) for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] + WINDOW - 1)], schema=schema)
+        rows = np.concatenate([np.array(r, np.int64).reshape(-1, 4) for r in rows])
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(3)), pa.array(rows[:, 3] + WINDOW - 1)], schema=schema)
 
     def done():
-        d, s, c = (np.array(x, np.int64) for x in zip(*best.values()))
-        return repeated(d, s, c, list(best))
+        d, r, s, c = (np.array(x, np.int64) for x in zip(*best.values()))
+        order = np.lexsort((r, d))  # documents by number, in their order
+        number = np.empty(len(d), np.int64)
+        number[order] = np.cumsum(np.r_[False, (np.diff(d[order]) != 0) | (np.diff(r[order]) != 0)])
+        at = np.empty(number.max() + 1, np.int64)
+        at[number] = np.arange(len(d))
+        gone = repeated(number, s, c, list(best))
+        own = at[gone[:, 0]]
+        return np.column_stack([d[own], r[own], gone[:, 1:]])
 
     for batch in batches:
         for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):
@@ -203,8 +210,8 @@ def _count(batches, schema):
                 if pending:
                     yield emit(pending)
                 current, best, pending = bucket, {}, []
-            d, s, c, texts, lost = _unwrap(block.as_buffer().to_pybytes())
-            pending += [lost, _earliest(d.tolist(), s.tolist(), c.tolist(), texts, best)]
+            d, r, s, c, texts, lost = _unwrap(block.as_buffer().to_pybytes())
+            pending += [lost, _earliest(d.tolist(), r.tolist(), s.tolist(), c.tolist(), texts, best)]
     if best:
         pending.append(done())
     if pending:
@@ -212,19 +219,33 @@ def _count(batches, schema):
     give_back()
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans (doc_id, start, n) of words that a window covers which occurs earlier; spans may overlap."""
-    texts = _keyed(docs, id_col, text_col)
+def passages(texts: DataFrame) -> DataFrame:
+    """Spans (doc_id, row, start, n) of words that a window covers which occurs earlier; spans may overlap. Of _keyed."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = parts(docs, 32, 3 * size / 1e6)
+    tasks = parts(texts, 32, 3 * size / 1e6)
     buckets = max(tasks, size // BUCKET + 1)
     blocks = map_texts(texts, lambda b: _blocks(b, buckets), "bucket long, block binary", limit=BUCKET)
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
-    return blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: _count(x, schema), "doc_id long, start long, n long")
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "row", "start", "n")])
+    return blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: _count(x, schema), "doc_id long, row long, start long, n long")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return narrow(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+def _with_row(docs: DataFrame, row: str, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a number that, together with the id, tells documents apart.
+
+    With an id it is a hash of the text; rows without one are numbered, and stored so that they keep their numbers.
+    """
+    number = F.col(id_col).cast("long")
+    some = docs.where(number.isNotNull()).withColumn(row, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    none = docs.where(number.isNull())
+    if none.select(id_col).isEmpty():
+        return some
+    return some.unionByName(materialize(none.withColumn(row, F.monotonically_increasing_id()), "without_id"))
+
+
+def _keyed(docs: DataFrame, row: str, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row and text (as bytes) of rows that have their number."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(row).alias("row"), text.alias("text"))
 
 
 def _kept(raw: bytes, starts: np.ndarray | None, sizes: np.ndarray | None) -> tuple[int, int, bytes]:
@@ -240,9 +261,9 @@ def _kept(raw: bytes, starts: np.ndarray | None, sizes: np.ndarray | None) -> tu
     return n, int(n - stay.sum()), b" ".join(compress(words, stay.tolist()))
 
 
-def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, starts, sizes: the spans of each document that has any; as many as its windows at most."""
-    gone = passages(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_id"))
+def _spans(texts: DataFrame) -> DataFrame:
+    """_id, _row, starts, sizes: the spans of each document that has any; as many as its windows at most."""
+    gone = passages(texts).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
     return gone.agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))
 
 
@@ -258,14 +279,15 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 c.append(x)
         return {"doc_id": batch.column("doc_id")} | out
 
-    joined = _keyed(docs, id_col, text_col).join(_spans(docs, id_col, text_col), F.col("doc_id") == F.col("_id"), "left")
-    cut = map_texts(joined.drop("_id"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    texts = _keyed(_with_row(narrow(docs, id_col, text_col), "row", "doc_id", "text"), "row", "doc_id", "text")
+    joined = texts.join(_spans(texts), (F.col("doc_id") == F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    cut = map_texts(joined.drop("_id", "_row", "row"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the kept words joined by one space as text; all columns stay, a null text stays null."""
-    spans, new = free_name(docs, "spans"), free_name(docs, "kept")
+    spans, new, row = (free_name(docs, x) for x in ("spans", "kept", "row"))
 
     def text(batch):
         out = []
@@ -274,7 +296,9 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out.append(_kept(t.as_py().encode(), *own)[2].decode() if t.is_valid else None)
         return pa.array(out, pa.string())
 
-    found = _spans(docs, id_col, text_col).select("_id", F.struct("starts", "sizes").alias(spans))
-    own = docs.alias("docs").join(found, F.coalesce(F.col(f"docs.{id_col}").cast("long"), F.lit(NO_ID)) == found["_id"], "left")
+    rows = _with_row(docs, row, id_col, text_col)
+    found = _spans(_keyed(rows, row, id_col, text_col)).select("_id", "_row", F.struct("starts", "sizes").alias(spans))
+    same = (F.coalesce(F.col(f"docs.{id_col}").cast("long"), F.lit(NO_ID)) == found["_id"]) & (F.col(f"docs.{row}") == found["_row"])
+    own = rows.alias("docs").join(found, same, "left")
     cut = add_column(own.select("docs.*", spans), new, "string", text, text_col)
     return cut.select(*[F.col(new).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

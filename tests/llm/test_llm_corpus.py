@@ -69,6 +69,27 @@ def test_shared_passages(make_docs):
     check_removed(substrings.remove(make_docs(rows)), rows)
 
 
+def test_rows_without_id_and_shared_ids(make_docs):
+    """Each row without an id, and each text of an id, is a document; spans of one are not cut out of others."""
+    words = lambda stem, n: " ".join(f"{stem}{k}" for k in range(n))
+    shared, clean = words("s", 30), [words(f"c{k}_", 60) for k in range(6)]
+    rows = [(1, shared), (2, words("q", 40)), (2, words("q", 40))]  # a repeated row is one document
+    rows += [(None, f"{shared} {words('t', 20)}"), *[(None, t) for t in clean]]  # a span of the first place, clean texts there
+    twin = words("u", 30)
+    rows += [(None, f"{twin} {words('v', 5)}"), (None, f"{twin} {words('w', 5)}")]  # shared at the same position: one loses it
+    rows += [(None, words("x", 25)), (None, words("x", 25))]  # copies: one loses all
+    rows += [(7, f"{shared} {words('y', 20)}"), (7, words("z", 60))]  # one id for several texts
+    docs = make_docs(rows)
+    lost = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.remove(docs).collect())
+    wanted = Counter({(1, 30, 0): 1, (2, 40, 0): 2, (None, 50, 30): 1, (None, 60, 0): 6, (None, 35, 30): 1, (None, 35, 0): 1, (None, 25, 25): 1, (None, 25, 0): 1, (7, 50, 30): 1, (7, 60, 0): 1})
+    assert lost == wanted
+    cleaned = substrings.cleaned(docs)
+    assert cleaned.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in cleaned.collect())
+    assert all(got[None, t] == 1 for t in clean) and got[None, words("t", 20)] == got[7, words("y", 20)] == got[7, words("z", 60)] == 1
+    assert got[None, words("x", 25)] == got[None, ""] == 1 and sum(got.values()) == len(rows)
+
+
 def test_super_kmers_hold_every_window_once():
     rng = random.Random(7)
     raw = [" ".join(rng.choice("abcde") * rng.randrange(1, 3) for _ in range(n)).encode() for n in (0, 5, 19, 20, 21, 300)]
