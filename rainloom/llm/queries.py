@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainloom.llm import licenses, ogg, packing, pages, pieces, quality, sharding, shingles, substrings, tokens
+from rainloom.llm import licenses, merkle, ogg, packing, pages, pieces, quality, sharding, shingles, substrings, tokens
 from rainloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,10 +20,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": lambda spark, sf_dir: tokens.count_tokens(documents(spark, sf_dir)),
     "op9_quality_ledger": lambda spark, sf_dir: quality.judge(documents(spark, sf_dir)),
     "op10_circulant_minhash": lambda spark, sf_dir: shingles.near_duplicates(documents(spark, sf_dir)),
+    "op11_merkle_manifest": lambda spark, sf_dir: merkle.manifest(documents(spark, sf_dir)),
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: The check sum of the decimal form of a number: its bytes, each followed by eight shifts.
+_CRC32 = "xor(list_reduce(list_concat([4294967295], flatten([[ascii(ch), -1, -1, -1, -1, -1, -1, -1, -1] for ch in string_split(CAST({0} AS VARCHAR), '')])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str = "n_chars") -> str:
+    return "sha256(" + " || ".join(_field(n_chars if c == "n_chars" else c) for c in merkle.FIELDS) + ")"
+
+
+def _siblings(nodes: str, tree: str) -> str:
+    """What stands beside a node at each level, with its side; L and R carry the sibling, N says that there is none."""
+    return f"""SELECT a.tree, a.pos, b.k, CASE WHEN s.h IS NULL THEN 'N' WHEN s.pos < b.pos THEN 'L' || s.h ELSE 'R' || s.h END AS step
+  FROM {nodes} AS a JOIN {nodes} AS b ON a.tree IS NOT DISTINCT FROM b.tree AND b.pos = a.pos >> b.k AND b.n > 1
+  LEFT JOIN {nodes} AS s ON s.tree IS NOT DISTINCT FROM b.tree AND s.k = b.k AND s.pos = xor(b.pos, 1) WHERE a.k = 0"""
+
+
 _RULES = " + ".join(f"CASE WHEN {rule} THEN {quality.BIT[name]} ELSE 0 END" for name, rule in quality.RULES.items())
 
 ORACLE_SQL: dict[str, str] = {
@@ -52,4 +72,18 @@ m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word
 f AS (SELECT *, {_RULES} AS failed FROM m)
 SELECT doc_id, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in quality.MEASURES)}, CAST(failed AS INTEGER) AS failed,
   failed & {quality.mask("base@1")} <> 0 AS base_failed, failed & {quality.mask(quality.CURRENT) | quality.mask("base@1")} = 0 AS kept FROM f""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM (
+    SELECT doc_id, lang, {_leaf()} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC32.format("doc_id")} % 7 = 0 THEN {_leaf("CAST(n_chars AS HUGEINT) + 1")} END AS tampered FROM documents) AS l),
+nodes AS (SELECT lang AS tree, 0 AS k, pos, leaf AS h, n FROM ranked UNION ALL
+    SELECT tree, k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY tree, k, pos // 2),
+roots AS (SELECT tree AS lang, h AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS tree, 0 AS k, pos, subroot AS h, n FROM roots UNION ALL
+    SELECT tree, k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 1) // 2 FROM tops WHERE n > 1 GROUP BY tree, k, pos // 2),
+low AS (SELECT tree, pos, list(step ORDER BY k) AS steps FROM ({_siblings("nodes", "lang")}) AS x GROUP BY ALL),
+high AS (SELECT pos, list(step ORDER BY k) AS steps FROM ({_siblings("tops", "0")}) AS x GROUP BY ALL),
+way AS (SELECT r.*, o.subroot, (SELECT h FROM tops WHERE n = 1) AS root, list_concat(coalesce(low.steps, []), coalesce(high.steps, [])) AS steps
+    FROM ranked AS r JOIN roots AS o ON r.lang IS NOT DISTINCT FROM o.lang LEFT JOIN low ON low.tree IS NOT DISTINCT FROM r.lang AND low.pos = r.pos LEFT JOIN high ON high.pos = o.pos),
+done AS (SELECT *, list_reduce(list_concat([coalesce(tampered, leaf)], steps), lambda h, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || h WHEN 'R' THEN h || x[2:] ELSE h END)) AS folded_root FROM way)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string([x[2:] for x in steps], '')) AS proof_sha256, folded_root, folded_root = root AS verified, lang FROM done""",
 }
