@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainloom.llm import licenses, merkle, ogg, packing, pages, pieces, quality, sharding, shingles, substrings, tokens
+from rainloom.llm import licenses, merkle, ogg, packing, pages, pieces, quality, sharding, shingles, substrings, tokens, toxicity
 from rainloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_ledger": lambda spark, sf_dir: quality.judge(documents(spark, sf_dir)),
     "op10_circulant_minhash": lambda spark, sf_dir: shingles.near_duplicates(documents(spark, sf_dir)),
     "op11_merkle_manifest": lambda spark, sf_dir: merkle.manifest(documents(spark, sf_dir)),
+    "op13_nnpu_toxicity": lambda spark, sf_dir: toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
