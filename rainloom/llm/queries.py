@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainloom.llm import licenses, merkle, ogg, packing, pages, pieces, quality, sharding, shingles, substrings, tokens, toxicity
+from rainloom.llm import licenses, merkle, ogg, packing, pages, pieces, quality, sharding, shingles, substrings, tokens, toxicity, trie
 from rainloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_ledger": lambda spark, sf_dir: quality.judge(documents(spark, sf_dir)),
     "op10_circulant_minhash": lambda spark, sf_dir: shingles.near_duplicates(documents(spark, sf_dir)),
     "op11_merkle_manifest": lambda spark, sf_dir: merkle.manifest(documents(spark, sf_dir)),
+    "op12_prefix_trie": lambda spark, sf_dir: trie.build(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
     "op13_nnpu_toxicity": lambda spark, sf_dir: toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
 }
 
@@ -87,4 +88,20 @@ way AS (SELECT r.*, o.subroot, (SELECT h FROM tops WHERE n = 1) AS root, list_co
     FROM ranked AS r JOIN roots AS o ON r.lang IS NOT DISTINCT FROM o.lang LEFT JOIN low ON low.tree IS NOT DISTINCT FROM r.lang AND low.pos = r.pos LEFT JOIN high ON high.pos = o.pos),
 done AS (SELECT *, list_reduce(list_concat([coalesce(tampered, leaf)], steps), lambda h, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || h WHEN 'R' THEN h || x[2:] ELSE h END)) AS folded_root FROM way)
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string([x[2:] for x in steps], '')) AS proof_sha256, folded_root, folded_root = root AS verified, lang FROM done""",
+    "op12_prefix_trie": f"""
+WITH o AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS p
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) AS i),
+c AS (SELECT conv_id, {_CRC32.format("conv_id")} % 9 AS h, conv_id - conv_id % 5 AS base FROM (SELECT DISTINCT conv_id FROM o) AS u),
+r AS (SELECT c.conv_id, p, role, text FROM c JOIN o ON o.conv_id = base AND p < h UNION ALL SELECT c.conv_id, p, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND p >= h),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS d, sha256(strlen(role) || ':' || role || text) AS k, strlen(text) AS b FROM r),
+q AS (SELECT conv_id, d, b, sha256(string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d)) AS node FROM t UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+lens AS (SELECT conv_id, max(d) AS d FROM q GROUP BY conv_id),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(b) AS b FROM q GROUP BY node, d),
+ends AS (SELECT node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM q JOIN lens USING (conv_id, d) GROUP BY node),
+pairs AS (SELECT DISTINCT x.node AS up, y.node AS down, y.d - x.d AS gap FROM q AS x JOIN q AS y ON x.conv_id = y.conv_id AND x.d <= y.d),
+kids AS (SELECT up AS node, count(*) AS n_children FROM pairs WHERE gap = 1 GROUP BY up),
+sums AS (SELECT up AS node, count(*) FILTER (kids.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.b) AS saved_tokens FROM pairs JOIN n ON n.node = down LEFT JOIN kids ON kids.node = down GROUP BY up)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM n JOIN sums USING (node) LEFT JOIN kids USING (node) LEFT JOIN ends USING (node) LEFT JOIN (SELECT down, n.conv_id FROM pairs JOIN n ON n.node = up WHERE gap = 1) AS up ON up.down = n.node""",
 }
