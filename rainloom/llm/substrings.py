@@ -28,7 +28,8 @@ from rainloom.llm.shingles import mixed, word_hash
 
 WINDOW = 20
 GRAM = 4
-BUCKET = 1 << 20  # bytes of text whose windows share a bucket, and of a slice of the input
+BUCKET = 1 << 20  # bytes of text whose windows share a bucket
+SLICE = 2 << 20  # bytes of a slice of the input
 NO_ID = (1 << 63) - 1
 _LOW = np.uint64((1 << 24) - 1)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -101,15 +102,17 @@ def _wrap(docs, rows, starts, counts, texts: list[bytes], lost: list[tuple[int,
     lost = np.array(lost, np.int64).reshape(-1, 4)
     head = np.array([len(texts), len(lost)], np.int64)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    arrays = (head, docs, rows, starts, counts, sizes, lost)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.ascontiguousarray(a, np.int64).tobytes() for a in arrays] + texts))
+    places = np.concatenate([*(np.asarray(a, np.int64) for a in (docs, rows, starts, counts, sizes)), lost.reshape(-1)])
+    planes = places.view(np.uint8).reshape(-1, 8).T.tobytes()  # equal bytes of numbers side by side
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), planes, *texts]))
 
 
 def _unwrap(block: bytes):
     data = zstandard.ZstdDecompressor().decompress(block)
     n, m = np.frombuffer(data, np.int64, 2)
-    docs, rows, starts, counts, sizes = np.frombuffer(data, np.int64, 5 * n, 16).reshape(5, n)
-    lost = np.frombuffer(data, np.int64, 4 * m, 16 + 40 * n).reshape(m, 4)
+    places = np.frombuffer(data, np.uint8, 40 * n + 32 * m, 16).reshape(8, -1).T.copy().view(np.int64).reshape(-1)
+    docs, rows, starts, counts, sizes = places[: 5 * n].reshape(5, n)
+    lost = places[5 * n :].reshape(m, 4)
     at, texts = 16 + 40 * int(n) + 32 * int(m), []
     for s in sizes.tolist():
         texts.append(data[at : at + s])
@@ -224,7 +227,7 @@ def passages(texts: DataFrame) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = parts(texts, 32, 3 * size / 1e6)
     buckets = max(tasks, size // BUCKET + 1)
-    blocks = map_texts(texts, lambda b: _blocks(b, buckets), "bucket long, block binary", limit=BUCKET)
+    blocks = map_texts(texts, lambda b: _blocks(b, buckets), "bucket long, block binary", limit=SLICE)
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "row", "start", "n")])
     return blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: _count(x, schema), "doc_id long, row long, start long, n long")
 
@@ -232,11 +235,18 @@ def passages(texts: DataFrame) -> DataFrame:
 def _with_row(docs: DataFrame, row: str, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with a number that, together with the id, tells documents apart.
 
-    With an id it is a hash of the text; rows without one are numbered, and stored so that they keep their numbers.
+    It is a hash of the text where an id stands for several texts, else zero, which costs nothing on the way;
+    rows without an id are numbered, and stored so that they keep their numbers.
     """
-    number = F.col(id_col).cast("long")
-    some = docs.where(number.isNotNull()).withColumn(row, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    none = docs.where(number.isNull())
+    number, digest = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    some, none = docs.where(number.isNotNull()), docs.where(number.isNull())
+    per_id = some.groupBy(number.alias("_id")).agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
+    several = materialize(per_id.where("a <> b").select(F.col("_id").alias(f"{row}_id")), "several")
+    if several.isEmpty():
+        some = some.withColumn(row, F.lit(0).cast("long"))
+    else:
+        marked = some.join(several, number == F.col(f"{row}_id"), "left")
+        some = marked.withColumn(row, F.when(F.col(f"{row}_id").isNotNull(), digest).otherwise(F.lit(0))).drop(f"{row}_id")
     if none.select(id_col).isEmpty():
         return some
     return some.unionByName(materialize(none.withColumn(row, F.monotonically_increasing_id()), "without_id"))

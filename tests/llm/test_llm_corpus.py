@@ -352,7 +352,7 @@ def test_pipeline(spark, data_dir, texts):
         m = dict(zip(quality.MEASURES, quality.measure(t.encode())))
         if not any(eval(rule.replace(" OR ", " or "), {}, m) for rule in quality.RULES.values()):  # noqa: S307
             good.append((d, t))
-    kept = {d for d, _, c in reachable(good) if d == c}
+    kept = {d for d, _, c in reachable(good, corpus_pipeline.NEAR) if d == c}
     single = [(d, t) for d, t in good if d in kept]
     final = [(d, t) for d, _, _, t in removed(single)]
     library = Tokenizer.from_file(tokens.vocabulary())
