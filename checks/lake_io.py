@@ -68,6 +68,22 @@ register(
        WHERE start >= TIMESTAMP '2024-01-11' AND start < TIMESTAMP '2024-01-21'""",
     longs="feature_id",
 )
+register(
+    "IO2_window_of_the_lake",
+    # only the folders of the months around the window are read
+    lambda t: lake.scan_features(lake.read_table(t.spark, lake_root(t), "features"), "gpm", "2024-01-05", "2024-02-20", ["feature_id", "orbit", "npixels"]).unionByName(
+        lake.scan_features(lake.read_months(t.spark, lake_root(t), "features", "trmm", "2024-01-05", "2024-02-20"), "trmm", "2024-01-05", "2024-02-20", ["feature_id", "orbit", "npixels"])),
+    "SELECT feature_id, orbit, npixels FROM feat WHERE time >= TIMESTAMP '2024-01-05' AND time < TIMESTAMP '2024-02-20'",
+    longs="feature_id orbit npixels",
+)
+register(
+    "IO3_orbits_of_the_lake",
+    lambda t: lake.features_for_orbits_starting(lake.read_table(t.spark, lake_root(t), "features"), "2024-01-11", "2024-01-21").select("feature_id", "year", "month"),
+    """SELECT feature_id, year, month FROM (SELECT *, min(time) OVER (PARTITION BY mission, orbit) AS start FROM feat
+       WHERE time >= TIMESTAMP '2024-01-11' - INTERVAL 2 HOUR AND time < TIMESTAMP '2024-01-21' + INTERVAL 2 HOUR) AS s JOIN orbit_month USING (mission, orbit)
+       WHERE start >= TIMESTAMP '2024-01-11' AND start < TIMESTAMP '2024-01-21'""",
+    longs="feature_id year month",
+)
 
 
 def _rewrite(t):
@@ -85,6 +101,12 @@ register(
     "SELECT mission, orbit, local_label, feature_id, npixels, epoch_us(time) AS time, year, month FROM feat JOIN orbit_month USING (mission, orbit)",
     longs="orbit local_label feature_id npixels time year month",
 )
+register(
+    "IO4_orbit_index",
+    lambda t: lake.orbit_index(t.spark, lake_root(t), "pixels").select("mission", "granule", "year", "month", "n_rows"),
+    """SELECT mission, lpad(CAST(orbit AS VARCHAR), 6, '0') AS granule, year, month, count(*) AS n_rows FROM lab JOIN orbit_month USING (mission, orbit) GROUP BY ALL""",
+    longs="year month n_rows",
+)
 register(
     "IO4_write_pixels",
     lambda t: lake.read_table(t.spark, lake_root(t), "pixels").select("mission", "orbit", "year", "month", "scan", "ray", "lat", "near_sfc_rain", "near_sfc_dbz", "rain_type"),
@@ -168,6 +190,29 @@ register(
 )
 
 
+def _twice(t):
+    """Every month is run, then run again with the rain of one mission only: the others are dry now, and the report has each once."""
+    root = new_root(t, "twice")
+    rain = staged_grids(t)["rain"]
+    months = materialize(rain.select(*lake.MONTH).distinct(), "months")
+    for part in (rain, rain.where("mission = 'TRMM'")):
+        lake.write_grid(part, root, "rain", months)
+        stored = lake.read_table(t.spark, root, "grid_rain", granule=False).groupBy(*lake.MONTH).agg(F.count("*").alias("n_rain"), F.sum("rain_sum").alias("rain_sum"))
+        lake.write_report(months.join(stored, lake.MONTH, "left").fillna(0), root)
+    return t.spark.read.parquet(f"{root}/processed_months").select(*lake.MONTH, "n_rain", "rain_sum")
+
+
+register(
+    "IO7_G18_month_run_twice",
+    _twice,
+    """SELECT mission, year, month, CASE mission WHEN 'TRMM' THEN count(*) ELSE 0 END AS n_rain, CASE mission WHEN 'TRMM' THEN sum(rain_sum) ELSE 0 END AS rain_sum
+       FROM swath_rain GROUP BY 1, 2, 3""",
+    doubles="rain_sum",
+    longs="year month n_rain",
+    digits=4,
+)
+
+
 def _joint(t):
     path = new_root(t, "joint")
     for months in ("month <= 6", "month > 6"):  # the second half leaves the first as it is
@@ -198,6 +243,38 @@ register(
        SELECT l.mission, year, month, count(*) AS n FROM lab l JOIN orbit_month o ON o.mission = l.mission AND o.orbit = l.orbit GROUP BY ALL) AS c""",
     longs="year month source_rows target_rows pass",
 )
+
+
+def _changed(t):
+    """An orbit is written again with as many rows, another one moves by 40 days: the second compaction finds both."""
+    src, dst = new_root(t, "changing"), new_root(t, "changed")
+    lake.write_features(t.swath_features, src)
+    lake.compact(t.spark, src, dst, "features")
+    later = F.when(F.col("orbit") == 2, F.col("time") + F.expr("INTERVAL 40 DAY")).otherwise(F.col("time"))
+    again = t.swath_features.where("orbit IN (1, 2)").withColumns({"npixels": F.col("npixels") + F.when(F.col("orbit") == 1, 1000).otherwise(0), "time": later})
+    lake.write_features(again, src)
+    lake.compact(t.spark, src, dst, "features")
+    return lake.read_table(t.spark, dst, "features", granule=False).select("mission", "orbit", "local_label", "npixels", "time", "year", "month")
+
+
+register(
+    "IO9_changed_contents",
+    _changed,
+    """SELECT mission, orbit, local_label, npixels + CASE orbit WHEN 1 THEN 1000 ELSE 0 END AS npixels, epoch_us(moved) AS time, year(m) AS year, month(m) AS month FROM (
+       SELECT *, make_timestamp(CAST(sum(CAST(epoch_us(moved) AS HUGEINT)) OVER (PARTITION BY mission, orbit) // count(*) OVER (PARTITION BY mission, orbit) AS BIGINT)) AS m
+       FROM (SELECT *, CASE orbit WHEN 2 THEN time + INTERVAL 40 DAY ELSE time END AS moved FROM feat) AS f) AS g""",
+    longs="orbit local_label npixels time year month",
+)
+register(
+    "V5_U6_contents",
+    # equal counts everywhere; the values of one ray differ
+    lambda t: validate.reconcile_tables(
+        t.pixels.select("mission", "scan", "ray", "feature_id", "near_sfc_rain"),
+        t.pixels.select("mission", "scan", "ray", "feature_id", F.when(F.col("ray") == 7, -1.0).otherwise(F.col("near_sfc_rain")).cast("double").alias("near_sfc_rain")).repartition(5),
+        ("mission", "ray")).select("mission", "ray", "source_rows", "target_rows", "status"),
+    "SELECT mission, ray, count(*) AS source_rows, count(*) AS target_rows, CASE ray WHEN 7 THEN 'mismatch' ELSE 'ok' END AS status FROM pix GROUP BY 1, 2",
+    longs="ray source_rows target_rows",
+)
 register(
     "IO10_missing_table",
     lambda t: lake.read_table(t.spark, new_root(t, "nowhere"), "features").unionByName(lake.read_table(t.spark, lake_root(t), "features")).select("mission", "orbit", "local_label", "npixels", "granule"),

@@ -111,17 +111,31 @@ def check_fields(fields: DataFrame, by: tuple, value: str, expected: list[tuple]
     return joined.withColumn("problem", problem).where(F.col("problem").isNotNull())
 
 
-def reconcile_counts(source: DataFrame, target: DataFrame, by: tuple = ("mission", "year", "month")) -> DataFrame:
-    """Rows per partition on both sides, with status ok / mismatch / missing / extra."""
-    a = source.groupBy(*by).agg(F.count("*").alias("source_rows"))
-    b = target.groupBy(*by).agg(F.count("*").alias("target_rows"))
+def fingerprints(cols: list[str]) -> list[Column]:
+    """n_rows and digest of a group: the sum of the hashes of its rows, which has no order and adds up over groups."""
+    return [F.count("*").alias("n_rows"), F.sum(F.xxhash64(*cols).cast("decimal(20,0)")).cast("decimal(38,0)").alias("digest")]
+
+
+def reconcile(source: DataFrame, target: DataFrame, by: tuple = ("mission", "year", "month")) -> DataFrame:
+    """Rows and digests (n_rows, digest) of partitions on both sides, with status ok / mismatch / missing / extra.
+
+    Partitions with equal counts and different contents are a mismatch.
+    """
+    side = lambda df, name: df.select(*by, F.col("n_rows").alias(f"{name}_rows"), F.col("digest").alias(f"{name}_digest"))
+    same = (F.col("source_rows") == F.col("target_rows")) & F.col("source_digest").eqNullSafe(F.col("target_digest"))
     status = (
         F.when(F.col("target_rows").isNull(), F.lit("missing"))
         .when(F.col("source_rows").isNull(), F.lit("extra"))
-        .when(F.col("source_rows") == F.col("target_rows"), F.lit("ok"))
+        .when(same, F.lit("ok"))
         .otherwise(F.lit("mismatch"))
     )
-    return a.join(b, list(by), "full_outer").withColumn("status", status)
+    return side(source, "source").join(side(target, "target"), list(by), "full_outer").withColumn("status", status)
+
+
+def reconcile_tables(source: DataFrame, target: DataFrame, by: tuple = ("mission", "year", "month"), cols: list[str] | None = None) -> DataFrame:
+    """The same from the rows themselves; ``cols`` are compared, by default all that the two have in common."""
+    cols = cols or [c for c in source.columns if c in target.columns]
+    return reconcile(*[df.groupBy(*by).agg(*fingerprints(cols)) for df in (source, target)], by)
 
 
 def has_only_numbers(df: DataFrame, *cols: str) -> DataFrame:

@@ -35,19 +35,21 @@ def run_env(spark: SparkSession, root: str, reanalysis: DataFrame, start, end) -
 def run_grids(swath: DataFrame, labels: DataFrame, features: DataFrame, root: str, **options) -> DataFrame:
     """Month grids of a swath; returns every (mission, year, month) that was processed with its rows.
 
-    A month without rain has no directory in the rain table; the report tells it from one never run.
+    A month without rain has no directory in the rain table; the report tells it from one never run. A month
+    that is run again is replaced in every table and in the report, also where it has no rows any more.
     """
     months = swath.where(F.col("time").isNotNull()).select(F.upper("mission").alias("mission"), F.year("time").alias("year"), F.month("time").alias("month")).distinct()
+    months = materialize(months, "job-run")
     report = months
     for name, grid in grid_months(swath, labels, features, **options).items():
         if f"grid_{name}" not in lake.TABLES:
             continue
-        stored = materialize(grid, f"job-{name}")
-        lake.write_grid(stored, root, name)
+        lake.write_grid(grid, root, name, months)
+        stored = lake.read_table(swath.sparkSession, root, f"grid_{name}", granule=False).join(F.broadcast(months), lake.MONTH, "left_semi")
         counts = stored.groupBy("mission", "year", "month").agg(F.count("*").alias(f"n_{name}"))
         report = report.join(counts, ["mission", "year", "month"], "left")
     report = materialize(report.fillna(0), "job-months")
-    report.write.mode("append").parquet(f"{root}/processed_months")
+    lake.write_report(report, root)
     return report
 
 

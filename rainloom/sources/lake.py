@@ -4,6 +4,12 @@ Landing layout: ``<root>/<table>/mission=/year=/month=/granule=``; one directory
 so rewriting an orbit replaces exactly its own directory (dynamic partition overwrite) and
 never has to carry its neighbours. Compacted layout: ``mission=/year=/month=`` with files
 sorted and disjoint in the sort key.
+
+Beside a landing table stands its index, ``<root>/orbit_index/<table>``: the month, rows and
+fingerprint of every orbit, in folders of ``BLOCK`` orbits. A write looks up only the blocks of
+its own orbits to find those that lie in another month so far, and compaction learns from the
+index which months have changed; neither lists nor reads the table. The fingerprint of an orbit
+is the sum of its rows' hashes, so that of a month is the sum over its orbits, in any order.
 """
 
 from __future__ import annotations
@@ -11,14 +17,15 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rainloom import schemas
 from rainloom.functions.ranking import orbit_start
 from rainloom.functions.scalars import int_div
-from rainloom.operators.validate import reconcile_counts
+from rainloom.operators.validate import fingerprints, reconcile
+from rainloom.session import materialize
 
 TABLES = {
     "features": schemas.FEATURES,
@@ -30,6 +37,8 @@ TABLES = {
     "grid_metrics": schemas.GRID_METRICS,
 }
 _PARTITIONS = {"year": T.IntegerType(), "month": T.IntegerType(), "granule": T.StringType()}
+MONTH = ["mission", "year", "month"]
+BLOCK = 1000  # orbits in a folder of the index
 SORT_KEYS = {"features": ("feature_id",), "pixels": ("feature_id",), "views": ("lat_bin", "lon_bin")}
 
 
@@ -64,66 +73,92 @@ def read_table(
     return df.select(*[c for c in order if c in df.columns], *rest)
 
 
+def read_months(spark: SparkSession, root: str, table: str, mission: str, start, end, granule: bool = True) -> DataFrame:
+    """The table as ``read_table`` has it, of the months around [start, end) only.
+
+    Other months are not even listed. An orbit lies in the month of its mean time, so one month more on
+    either side holds every row of the window.
+    """
+    first, last = spark.range(1).select(_month_number(F.lit(start).cast("timestamp")) - 1, _month_number(F.lit(end).cast("timestamp")) + 1).first()
+    base = f"{root}/{table}"
+    folders = [f"{base}/mission={mission.upper()}/year={k // 12}/month={k % 12 + 1}" for k in range(first, last + 1)]
+    there = [f for f in folders if _exists(spark, f)]
+    schema = _read_schema(TABLES[table], granule)
+    df = spark.read.schema(schema).option("basePath", base).parquet(*there) if there else spark.createDataFrame([], schema)
+    order = [f.name for f in TABLES[table].fields]
+    return df.select(*[c for c in order if c in df.columns], *[c for c in df.columns if c not in order])
+
+
+def _month_number(time: Column) -> Column:
+    """Months since the year 0."""
+    return F.year(time) * 12 + F.month(time) - 1
+
+
+def _in_months(df: DataFrame, start: Column, end: Column) -> Column:
+    """Of a stored table, the months in which the orbits of [start, end) can lie: a filter on folders."""
+    if not {"year", "month"} <= set(df.columns):
+        return F.lit(True)
+    number = F.col("year") * 12 + F.col("month") - 1
+    return (number >= _month_number(start) - 1) & (number <= _month_number(end) + 1)
+
+
 def scan_features(features: DataFrame, mission: str, start, end, cols: list[str]) -> DataFrame:
-    """Chosen columns of one mission in [start, end)."""
-    keep = (
-        (F.col("mission") == mission.upper())
-        & (F.col("time") >= F.lit(start).cast("timestamp"))
-        & (F.col("time") < F.lit(end).cast("timestamp"))
-    )
-    return features.where(keep).select(*cols)
+    """Chosen columns of one mission in [start, end); of a stored table only the months around it are read."""
+    lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    keep = (F.col("mission") == mission.upper()) & (F.col("time") >= lo) & (F.col("time") < hi)
+    return features.where(_in_months(features, lo, hi)).where(keep).select(*cols)
 
 
 def features_for_orbits_starting(features: DataFrame, start, end, slack=timedelta(hours=2)) -> DataFrame:
     """All features of the orbits whose first feature lies in [start, end).
 
-    Only a window widened by ``slack`` is read.
+    Only a window widened by ``slack`` is read, and of a stored table only the months around that.
     """
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    wide = features.where((F.col("time") >= lo - F.lit(slack)) & (F.col("time") < hi + F.lit(slack)))
+    low, high = lo - F.lit(slack), hi + F.lit(slack)
+    wide = features.where(_in_months(features, low, high)).where((F.col("time") >= low) & (F.col("time") < high))
     return orbit_start(wide).where((F.col("orbit_start") >= lo) & (F.col("orbit_start") < hi)).drop("orbit_start")
 
 
 def partition_columns(df: DataFrame) -> DataFrame:
     """Year and month of the mean time of the orbit (null without any time), and the zero-padded orbit."""
+    return df.join(orbit_places(df), ["mission", "orbit"], "left")
+
+
+def orbit_places(df: DataFrame) -> DataFrame:
+    """mission, orbit, year, month and granule: one row per orbit."""
     us = F.unix_micros("time")
     sec = F.floor(us / F.lit(1_000_000)).cast("long")
     mean = (
         df.groupBy("mission", "orbit")
         .agg(F.sum(sec).alias("s"), F.count("time").alias("n"))
-        .select("mission", "orbit", F.when(F.col("n") > 0, F.timestamp_seconds(int_div("s", F.greatest("n", F.lit(1))))).alias("mean_time"))
-    )
-    return (
-        df.join(mean, ["mission", "orbit"], "left")
-        .withColumns(
-            {
-                "year": F.year("mean_time"),
-                "month": F.month("mean_time"),
-                "granule": F.lpad(F.col("orbit").cast("string"), 6, "0"),
-            }
-        )
-        .drop("mean_time")
+        .withColumn("mean_time", F.when(F.col("n") > 0, F.timestamp_seconds(int_div("s", F.greatest("n", F.lit(1))))))
     )
+    return mean.select("mission", "orbit", F.year("mean_time").alias("year"), F.month("mean_time").alias("month"), F.lpad(F.col("orbit").cast("string"), 6, "0").alias("granule"))
+
 
+def _upper(df: DataFrame) -> DataFrame:
+    return df.withColumn("mission", F.upper("mission"))
 
-def _dated(df: DataFrame, time_by: DataFrame | None = None) -> DataFrame:
-    upper = df.withColumn("mission", F.upper("mission"))
-    if time_by is None:
-        return partition_columns(upper)
-    places = partition_columns(time_by.withColumn("mission", F.upper("mission"))).select("mission", "orbit", "year", "month", "granule").distinct()
-    return upper.join(places, ["mission", "orbit"], "left")
 
+def _write_orbits(df: DataFrame, root: str, table: str, time_by: DataFrame | None = None, skip_undated: bool = False) -> DataFrame:
+    """Writes whole orbits and returns the place of each; the input is computed once.
 
-def _write_orbits(df: DataFrame, root: str, table: str, time_by: DataFrame | None = None, skip_undated: bool = False) -> None:
-    """Writes whole orbits; rows of an orbit without any time fail the job unless they are to be skipped."""
+    Rows of an orbit without any time fail the job unless they are to be skipped. An orbit that has lain in
+    another month so far is deleted there, then the index takes the new places: a write that stops between
+    these steps is mended by running it again.
+    """
     schema = TABLES[table]
     cols = [f.name for f in schema.fields]
-    dated = _dated(df, time_by)
-    if skip_undated:
-        dated = dated.where("year IS NOT NULL")
-    else:
-        which = F.concat_ws(" ", F.lit(f"{table}: no time is known for orbit"), "mission", F.col("orbit").cast("string"))
-        dated = dated.withColumn("year", F.when(F.col("year").isNull(), F.raise_error(which).cast("int")).otherwise(F.col("year")))
+    needed = [c for c in df.columns if c in {*cols, "mission", "orbit", "time"}]
+    stored = _upper((df if getattr(df, "stored_at", None) else materialize(df.select(*needed), f"write-{table}")).select(*needed))
+    own = stored.select("mission", "orbit").distinct()
+    places = orbit_places(stored) if time_by is None else own.join(orbit_places(_upper(time_by)), ["mission", "orbit"], "left")
+    places = materialize(places.withColumn("granule", F.lpad(F.col("orbit").cast("string"), 6, "0")), f"places-{table}")
+    undated = places.where("year IS NULL")
+    if not skip_undated and (lost := undated.first()) is not None:
+        raise ValueError(f"{table}: no time is known for orbit {lost['mission']} {lost['orbit']}")
+    dated = stored.join(places.where("year IS NOT NULL"), ["mission", "orbit"])
     out = schemas.conform(dated, schema, ("year", "month", "granule")).select(*cols, "year", "month", "granule")
     (
         out.hint("rebalance", "mission", "year", "month", "granule")
@@ -133,21 +168,83 @@ def _write_orbits(df: DataFrame, root: str, table: str, time_by: DataFrame | Non
         .partitionBy("mission", "year", "month", "granule")
         .parquet(f"{root}/{table}")
     )
-    _drop_moved(dated, root, table)
+    marked = out.groupBy("mission", "granule").agg(F.first("year").alias("year"), F.first("month").alias("month"), *fingerprints(cols))
+    _index(materialize(marked, f"marked-{table}"), root, table)
+    return places
+
+
+# --- the index of a landing table -------------------------------------------
+
+_INDEX = "mission string, granule string, year int, month int, n_rows long, digest decimal(38,0), block int"
+
+
+def orbit_index(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """mission, granule, year, month, n_rows and digest of every orbit of a landing table."""
+    path = f"{root}/orbit_index/{table}"
+    if not _exists(spark, path):
+        if not _exists(spark, f"{root}/{table}"):
+            return spark.createDataFrame([], _INDEX)
+        _rebuild_index(spark, root, table)  # a table from before there was an index: read once
+    return spark.read.schema(_INDEX).parquet(path)
+
+
+def _block() -> Column:
+    return F.floor(F.col("granule").cast("long") / BLOCK).cast("int")
+
+
+def _put_index(rows: DataFrame, root: str, table: str) -> None:
+    (
+        rows.select(*[c.split()[0] for c in _INDEX.split(", ")]).hint("rebalance", "mission", "block")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("mission", "block")
+        .parquet(f"{root}/orbit_index/{table}")
+    )
+
+
+def _rebuild_index(spark: SparkSession, root: str, table: str) -> None:
+    df = read_table(spark, root, table)
+    marked = df.groupBy("mission", "granule", "year", "month").agg(*fingerprints([f.name for f in TABLES[table].fields]))
+    _put_index(marked.withColumn("block", _block()), root, table)
+
+
+def _index(new: DataFrame, root: str, table: str) -> None:
+    """Delete what earlier writes have left of the orbits of ``new`` in other months, and take their new places down."""
+    spark = new.sparkSession
+    new = new.withColumn("block", _block())
+    path = f"{root}/orbit_index/{table}"
+    if not _exists(spark, path):
+        if not new.isEmpty():
+            _rebuild_index(spark, root, table)
+        have = orbit_index(spark, root, table)
+        # nothing is known about the time before: the table itself shows orbits that lie in two months
+        double = have.join(new.select("mission", "granule", F.col("year").alias("_y"), F.col("month").alias("_m")), ["mission", "granule"])
+        moved = double.where("year <> _y OR month <> _m")
+    else:
+        have = orbit_index(spark, root, table)
+        touched = new.select("mission", "block").distinct()  # a thousandth of the orbits written
+        have = materialize(have.join(F.broadcast(touched), ["mission", "block"], "left_semi"), f"index-{table}")
+        moved = have.join(new.select("mission", "granule", F.col("year").alias("_y"), F.col("month").alias("_m")), ["mission", "granule"]).where("year <> _y OR month <> _m")
+    # orbits whose mean time has crossed the end of a month: a few of those just written
+    for p in moved.select(*MONTH, "granule").collect():
+        _delete(spark, f"{root}/{table}/" + "/".join(f"{c}={p[c]}" for c in (*MONTH, "granule")))
+    kept = have.join(new.select("mission", "granule"), ["mission", "granule"], "left_anti")
+    _put_index(materialize(kept.select(*new.columns).unionByName(new), f"index-{table}"), root, table)
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, found = _path(spark, path)
+    return system.exists(found)
 
-def _drop_moved(dated: DataFrame, root: str, table: str) -> None:
-    """Delete what an earlier write has left of the written orbits in other months."""
-    spark = dated.sparkSession
-    places = ["mission", "year", "month", "granule"]
-    new = dated.select("mission", "granule", F.col("year").alias("_y"), F.col("month").alias("_m")).distinct()
-    old = read_table(spark, root, table).select(*places).distinct()
-    moved = old.join(new, ["mission", "granule"]).where("year <> _y OR month <> _m").select(*places)
-    # an orbit whose mean time has crossed the end of a month: a few of those just written at most
-    for p in moved.collect():
-        folder = "/".join(f"{c}={p[c]}" for c in places)
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/{folder}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, found = _path(spark, path)
+    system.delete(found, True)
 
 
 def write_features(df: DataFrame, root: str) -> None:
@@ -161,30 +258,49 @@ def write_pixels(df: DataFrame, features: DataFrame, root: str) -> None:
 
 def write_views(df: DataFrame, root: str) -> DataFrame:
     """Orbits without a view write nothing; those without any time are skipped and returned as (mission, orbit)."""
-    _write_orbits(df, root, "views", skip_undated=True)
-    return _dated(df).where("year IS NULL").select("mission", "orbit").distinct()
+    return _write_orbits(df, root, "views", skip_undated=True).where("year IS NULL").select("mission", "orbit")
 
 
 def write_env(df: DataFrame, root: str, features: DataFrame | None = None) -> None:
-    """Environment rows go to the month of their orbit; ``features`` spares a second run over ``df`` for it."""
+    """Environment rows go to the month of their orbit, which the times of ``features`` tell if it is given."""
     _write_orbits(df, root, "era5", None if features is None else features.select("mission", "orbit", "time"))
 
 
-def write_grid(df: DataFrame, root: str, table: str) -> None:
-    """Month grids by (mission, year, month); an empty month still leaves a readable schema."""
+def write_grid(df: DataFrame, root: str, table: str, months: DataFrame | None = None) -> None:
+    """Month grids by (mission, year, month); an empty month still leaves a readable schema.
+
+    ``months`` (mission, year, month) are the ones that were processed: one of them without any row loses
+    what an earlier run has stored for it, so that a run can be repeated.
+    """
     schema = TABLES[f"grid_{table}"]
-    keys = ["mission", "year", "month"]
-    out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], *keys)
+    out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], *MONTH)
+    if months is not None:
+        out = materialize(out, f"write-grid-{table}")
+    _write_months(out, f"{root}/grid_{table}")
+    if months is not None:
+        spark = df.sparkSession
+        empty = months.select(*MONTH).distinct().join(out.select(*MONTH).distinct(), MONTH, "left_anti")
+        for m in empty.collect():  # bounded by the calendar
+            _delete(spark, f"{root}/grid_{table}/" + "/".join(f"{c}={m[c]}" for c in MONTH))
+
+
+def _write_months(df: DataFrame, path: str) -> None:
+    """Replace the months that ``df`` has."""
     (
-        out.hint("rebalance", *keys)
+        df.hint("rebalance", *MONTH)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
-        .partitionBy(*keys)
-        .parquet(f"{root}/grid_{table}")
+        .partitionBy(*MONTH)
+        .parquet(path)
     )
 
 
+def write_report(report: DataFrame, root: str) -> None:
+    """The months that were processed, one row each: a month that is run again replaces its row."""
+    _write_months(report, f"{root}/processed_months")
+
+
 def write_joint(df: DataFrame, path: str) -> None:
     """The lossless sparse joint with mission and month first, with or without hour; other months stay as they are."""
     order = ["mission", "month", "lat_bin", "lon_bin", "hour", "size_class", "echotop_class", "raintype"]
@@ -199,38 +315,64 @@ def write_joint(df: DataFrame, path: str) -> None:
     )
 
 
+_COMPACTED = "n_rows long, digest decimal(38,0), mission string, year int, month int"
+
+
 def compact(
-    spark: SparkSession, src: str, dst: str, table: str, order_by: tuple | None = None, overwrite: bool = False
+    spark: SparkSession, src: str, dst: str, table: str, order_by: tuple | None = None, overwrite: bool = False, verify: bool = False
 ) -> DataFrame:
     """Rewrite one table into few sorted files per month under ``dst``; the source stays.
 
-    Months whose row counts already match are skipped unless ``overwrite``. Returns the
-    reconciliation report with the action taken.
+    A month is written if its fingerprint (rows and sum of row hashes, from the index of the source) is
+    not the one under which it was compacted last, or with ``overwrite``; a month that the source has no
+    more is removed. What was written is read back and compared. ``verify`` also reads the months that
+    would be skipped. Returns mission, year, month, source_rows, target_rows and status: ok (written and
+    equal), skip, removed, or mismatch.
     """
-    keys = ("mission", "year", "month")
-    source = read_table(spark, src, table).drop("granule")
-    before = reconcile_counts(source, read_table(spark, dst, table, granule=False), keys)
-    todo = before if overwrite else before.where(F.col("status") != "ok")
-    todo = todo.where(F.col("source_rows").isNotNull()).select(*keys)
+    cols = [f.name for f in TABLES[table].fields]
+    source = orbit_index(spark, src, table).groupBy(*MONTH).agg(F.sum("n_rows").cast("long").alias("n_rows"), F.sum("digest").cast("decimal(38,0)").alias("digest"))
+    log = f"{dst}/compacted_months/{table}"
+    known = spark.read.schema(_COMPACTED).parquet(log) if _exists(spark, log) else spark.createDataFrame([], _COMPACTED)
+    if verify or (not _exists(spark, log) and _exists(spark, f"{dst}/{table}")):
+        known = read_table(spark, dst, table, granule=False).groupBy(*MONTH).agg(*fingerprints(cols))
+    state = reconcile(source, known)
+    todo = F.col("status") != "ok"
     # one row per month of record: bounded by the calendar
-    done = [tuple(r) for r in todo.collect()]
-    order = list(order_by or SORT_KEYS.get(table, ("feature_id",)))
-    if done:
-        rows = source.join(F.broadcast(spark.createDataFrame(done, todo.schema)), list(keys), "left_semi")
-        (
-            rows.repartitionByRange(*keys, *order)
-            .sortWithinPartitions(*keys, *order)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .option("compression", "zstd")
-            .partitionBy(*keys)
-            .parquet(f"{dst}/{table}")
-        )
-    after = reconcile_counts(source, read_table(spark, dst, table, granule=False), keys)
-    written = spark.createDataFrame(done, todo.schema).withColumn("written", F.lit(True))
-    return after.join(written, list(keys), "left").withColumn(
-        "status", F.when((F.col("status") == "ok") & F.col("written").isNull(), F.lit("skip")).otherwise(F.col("status"))
-    ).drop("written")
+    plan = state.withColumn("write", F.col("source_rows").isNotNull() & (F.lit(True) if overwrite else todo)).collect()
+    months = [tuple(r[c] for c in MONTH) for r in plan if r["write"]]
+    gone = [tuple(r[c] for c in MONTH) for r in plan if r["source_rows"] is None]
+    schema = "mission string, year int, month int"
+    if months:
+        todo_months = F.broadcast(spark.createDataFrame(months, schema))
+        order = list(order_by or SORT_KEYS.get(table, ("feature_id",)))
+        rows = read_table(spark, src, table).drop("granule").join(todo_months, MONTH, "left_semi")
+        _write_sorted(rows, f"{dst}/{table}", order)
+        written = read_table(spark, dst, table, granule=False).join(todo_months, MONTH, "left_semi").groupBy(*MONTH).agg(*fingerprints(cols))
+        after = materialize(reconcile(source.join(todo_months, MONTH, "left_semi"), written), f"compacted-{table}")
+        good = after.where("status = 'ok'").select(F.col("target_rows").alias("n_rows"), F.col("target_digest").alias("digest"), *MONTH)
+        _write_months(good, log)
+    else:
+        after = state.limit(0)
+    for m in gone:
+        for base in (f"{dst}/{table}", log):
+            _delete(spark, f"{base}/" + "/".join(f"{c}={v}" for c, v in zip(MONTH, m)))
+    columns = [*MONTH, "source_rows", "target_rows", "status"]
+    rest = [tuple(r[c] for c in columns[:-1]) + ("removed" if r["source_rows"] is None else "skip",) for r in plan if not r["write"]]
+    kinds = schema + ", source_rows long, target_rows long, status string"
+    return after.select(*columns).unionByName(spark.createDataFrame(rest, kinds))
+
+
+def _write_sorted(rows: DataFrame, path: str, order: list[str]) -> None:
+    """Months in files that are sorted and disjoint in ``order``."""
+    (
+        rows.repartitionByRange(*MONTH, *order)
+        .sortWithinPartitions(*MONTH, *order)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
+        .partitionBy(*MONTH)
+        .parquet(path)
+    )
 
 
 def run_report(granules: DataFrame, features: DataFrame, pixels: DataFrame, views: DataFrame) -> DataFrame:

@@ -84,3 +84,107 @@ def test_viewed_but_dry_is_zero(spark):
     assert zonal == {(17, 0): 0.2, (17, 1): 0.05, (18, 0): 0.0, (18, 1): 0.0}
     cells = {(r.lat_bin, r["class"]): (r.rate, r.freq, r.intensity) for r in gv.class_rates(rain, views).collect()}
     assert cells[17, 0] == (0.2, 0.1, 2.0) and cells[18, 1] == (0.0, 0.0, None)
+
+
+# --- index, windows, fingerprints ---------------------------------------------
+
+
+def index_of(spark, root):
+    return sorted((r.mission, int(r.granule), r.month, r.n_rows) for r in lake.orbit_index(spark, root, "features").collect())
+
+
+def test_index_follows_the_writes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lake, "BLOCK", 2)
+    root = str(tmp_path)
+    lake.write_features(features(spark, ("GPM", 1, 1, T0), ("GPM", 1, 2, T0), ("GPM", 5, 1, T0), ("TRMM", 1, 1, T0)), root)
+    assert index_of(spark, root) == [("GPM", 1, 5, 2), ("GPM", 5, 5, 1), ("TRMM", 1, 5, 1)]
+    lake.write_features(features(spark, ("GPM", 1, 1, T0 + dt.timedelta(days=1))), root)
+    assert index_of(spark, root) == [("GPM", 1, 6, 1), ("GPM", 5, 5, 1), ("TRMM", 1, 5, 1)]
+    lake.write_features(features(spark, ("GPM", 1, 1, T0)).limit(0), root)
+    assert len(index_of(spark, root)) == 3
+
+
+def test_table_without_an_index(spark, tmp_path):
+    """An older table gets its index on the next write, and an orbit that moves then is found once."""
+    import shutil
+
+    root = str(tmp_path)
+    lake.write_features(features(spark, ("GPM", 1, 1, T0), ("GPM", 2, 1, T0)), root)
+    shutil.rmtree(f"{root}/orbit_index")
+    lake.write_features(features(spark, ("GPM", 1, 1, T0 + dt.timedelta(days=1))), root)
+    assert index_of(spark, root) == [("GPM", 1, 6, 1), ("GPM", 2, 5, 1)]
+    assert lake.read_table(spark, root, "features").count() == 2
+
+
+def test_input_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = features(spark, ("GPM", 1, 1, T0), ("GPM", 2, 1, T0))
+    lake.write_features(df.mapInArrow(count, df.schema), str(tmp_path))
+    assert seen.value == 2
+
+
+def test_window_reads_its_months_only(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [("GPM", k, 1, dt.datetime(2019 + k // 12, k % 12 + 1, 28, 23)) for k in range(30)]
+    lake.write_features(features(spark, *rows), root)
+    table = lake.read_table(spark, root, "features")
+    start, end = "2020-02-01", "2020-03-01"
+    for found in (lake.scan_features(table, "gpm", start, end, ["orbit"]), lake.features_for_orbits_starting(table, start, end)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        line = next(x for x in plan.splitlines() if "PartitionFilters" in x)
+        assert "year#" in line.split("PartitionFilters")[1].split("PushedFilters")[0] and "month#" in line
+        assert [r.orbit for r in found.collect()] == [13]
+    near = lake.read_months(spark, root, "features", "gpm", start, end)
+    assert sorted(r.orbit for r in near.collect()) == [12, 13, 14, 15] and near.columns == table.columns
+    assert len(near.inputFiles()) == 4
+    assert lake.read_months(spark, root, "features", "trmm", start, end).count() == 0
+
+
+def months_of(df):
+    return sorted((r.year, r.month, r.source_rows, r.target_rows, r.status) for r in df.collect())
+
+
+def test_compaction_sees_changed_contents(spark, tmp_path):
+    src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
+    first = features(spark, ("GPM", 1, 1, T0), ("GPM", 2, 1, T0), ("GPM", 3, 1, T0 + dt.timedelta(days=40))).withColumn("npixels", F.lit(5))
+    lake.write_features(first, src)
+    assert months_of(lake.compact(spark, src, dst, "features")) == [(2020, 5, 2, 2, "ok"), (2020, 7, 1, 1, "ok")]
+    assert months_of(lake.compact(spark, src, dst, "features")) == [(2020, 5, 2, 2, "skip"), (2020, 7, 1, 1, "skip")]
+    lake.write_features(first.where("orbit = 1").withColumn("npixels", F.lit(6)), src)  # as many rows
+    lake.write_features(first.where("orbit = 3").withColumn("time", F.lit(T0 + dt.timedelta(days=3))), src)  # July is empty now
+    assert months_of(lake.compact(spark, src, dst, "features")) == [(2020, 5, 2, 2, "ok"), (2020, 6, 1, 1, "ok"), (2020, 7, None, 1, "removed")]
+    got = sorted((r.orbit, r.month, r.npixels) for r in lake.read_table(spark, dst, "features", granule=False).collect())
+    assert got == [(1, 5, 6), (2, 5, 5), (3, 6, 5)]
+    assert {r[-1] for r in months_of(lake.compact(spark, src, dst, "features", verify=True))} == {"skip"}
+
+
+def test_compaction_finds_a_damaged_target(spark, tmp_path):
+    import shutil
+
+    src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
+    lake.write_features(features(spark, ("GPM", 1, 1, T0), ("GPM", 2, 1, T0 + dt.timedelta(days=3))), src)
+    lake.compact(spark, src, dst, "features")
+    shutil.rmtree(f"{dst}/features/mission=GPM/year=2020/month=6")
+    assert {r[-1] for r in months_of(lake.compact(spark, src, dst, "features"))} == {"skip"}
+    assert [r[-1] for r in months_of(lake.compact(spark, src, dst, "features", verify=True))] == ["skip", "ok"]
+    assert lake.read_table(spark, dst, "features", granule=False).count() == 2
+
+
+def test_month_run_again_without_rain(spark, tmp_path):
+    root = str(tmp_path)
+    months = spark.createDataFrame([("GPM", 2020, 5), ("GPM", 2020, 6)], "mission string, year int, month int")
+    names = [f.name for f in lake.TABLES["grid_rain"].fields]
+    rain = months.select("*", *[F.lit(1).alias(c) for c in names])
+    report = months.withColumn("n_rain", F.lit(1))
+    lake.write_grid(rain, root, "rain", months)
+    lake.write_report(report, root)
+    lake.write_grid(rain.limit(0), root, "rain", months.where("month = 6"))
+    lake.write_report(report.where("month = 6").withColumn("n_rain", F.lit(0)), root)
+    assert [r.month for r in lake.read_table(spark, root, "grid_rain", granule=False).collect()] == [5]
+    assert sorted((r.month, r.n_rain) for r in spark.read.parquet(f"{root}/processed_months").collect()) == [(5, 1), (6, 0)]
