@@ -44,7 +44,7 @@ class Merger:
         size = range(p.get_piece_size())
         plain = [i for i in size if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
         self.id = {p.id_to_piece(i): i for i in plain}
-        self.text = {i: t for t, i in self.id.items()}
+        self.code = {t: i.to_bytes(4, "little") for t, i in self.id.items()}
         self.score = {t: p.get_score(i) for t, i in self.id.items()}
         if any(MARK in t.lstrip(MARK) or "\n" in t for t in self.id):
             raise ValueError("a piece spans words; chunks would not be independent")
@@ -88,38 +88,44 @@ class Merger:
         found = [t for _, t in self.find.iter_long(text)]
         if sum(map(len, found)) != len(text):
             return None
-        for a, b in pairwise(found):
-            if not self.fits(a, b):
+        known = self.pairs.get
+        for key in pairwise(found):
+            ok = known(key)
+            if not (self.fits(*key) if ok is None else ok):
                 return None
         return found
 
     def search(self, text: str) -> list[str]:
         """The same with stepping back; ``text`` has known characters only."""
-        n = len(text)
-        ends: list[list[int]] = [[] for _ in range(n)]  # lengths of the matches at a position, ascending
+        n, known = len(text), self.pairs.get
+        matches: list[list[str]] = [[] for _ in range(n)]  # at each position, the longest last
         for last, t in self.find.iter(text):
-            ends[last - len(t) + 1].append(len(t))
-        for e in ends:
-            e.sort()
+            matches[last - len(t) + 1].append(t)
         dead = 0  # bit p: nothing that goes on from position p is an encoding
         out: list[str] = []
-        at, left = 0, list(ends[0]) if n else []
-        stack: list[list[int]] = []
+        at, before, left = 0, None, matches[0][:] if n else []
+        stack: list[list[str]] = []
         while at < n:
             while left:
-                size = left.pop()
-                t = text[at : at + size]
-                if not dead >> (at + size) & 1 and (not out or self.fits(out[-1], t)):
-                    out.append(t)
-                    stack.append(left)
-                    at += size
-                    left = list(ends[at]) if at < n else []
-                    break
+                t = left.pop()
+                end = at + len(t)
+                if dead >> end & 1:
+                    continue
+                if before is not None:
+                    ok = known((before, t))
+                    if not (self.fits(before, t) if ok is None else ok):
+                        continue
+                out.append(t)
+                stack.append(left)
+                at, before = end, t
+                left = matches[at][:] if at < n else []
+                break
             else:
                 dead |= 1 << at
                 if not out:
                     raise ValueError("no encoding")
                 at -= len(out.pop())
+                before = out[-1] if out else None
                 left = stack.pop()
         return out
 
@@ -128,18 +134,19 @@ class Merger:
         text = chunk.replace(" ", MARK)
         found = self.longest(text)
         if found is not None:
-            ids = [self.id[t] for t in found]
-        else:
-            ids, known, start = [], self.id, 0
-            for k in range(len(text) + 1):
-                if k == len(text) or text[k] not in known:
-                    part = text[start:k]
-                    if part:
-                        ids += [self.id[t] for t in self.longest(part) or self.search(part)]
-                    if k < len(text):
-                        ids += [self.byte[b] for b in text[k].encode()]
-                    start = k + 1
-        return np.array(ids, "<u4").tobytes()
+            return b"".join(map(self.code.__getitem__, found))
+        if self.id.keys() >= set(text):
+            return b"".join(map(self.code.__getitem__, self.search(text)))
+        out, known, start = [], self.id, 0
+        for k in range(len(text) + 1):
+            if k == len(text) or text[k] not in known:
+                part = text[start:k]
+                if part:
+                    out += map(self.code.__getitem__, self.longest(part) or self.search(part))
+                if k < len(text):
+                    out += [self.byte[b].to_bytes(4, "little") for b in text[k].encode()]
+                start = k + 1
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text with begin and end."""
