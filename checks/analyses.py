@@ -105,6 +105,29 @@ register(
     "SELECT o_orderkey, row_number() OVER () AS rn FROM orders",
     longs="o_orderkey rn",
 )
+
+
+def _ordinals(t):
+    """Ordinals of a table of several files, in splits of a few KB: rows of a file keep its order, files that of their names."""
+    from rainloom.session import materialize
+
+    df = t.table("orders").select("o_orderkey")
+    stored = materialize(df.repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey"), "ordered")
+    conf, key = t.spark.conf, "spark.sql.files.maxPartitionBytes"
+    before = conf.get(key)
+    conf.set(key, "16k")
+    try:
+        return materialize(rk.input_ordinal(t.spark.read.parquet(stored.stored_at)), "ordinals")
+    finally:
+        conf.set(key, before)
+
+
+register(
+    "W8_ordinal_of_files",
+    _ordinals,
+    "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders",
+    longs="o_orderkey ordinal",
+)
 register(
     "W9_order_in_files",
     _order_in_files,

@@ -56,7 +56,7 @@ CTES["obs_views"] = f"SELECT mission, month, {CH}, count(*) AS n_views FROM obs
 CTES["obs_size"] = f"""
 SELECT mission, month, {CH}, size_class AS class, sum(rain_sum) AS rain_sum, sum(raining_count) AS raining_count FROM obs_rain GROUP BY ALL"""
 
-CTES["size_classes"] = "SELECT DISTINCT class FROM obs_size"
+CTES["size_classes"] = "SELECT unnest(range(5)) AS class"
 
 
 def month_grids(t):
@@ -382,15 +382,16 @@ register(
 )
 register(
     "U4_missing_months",
-    lambda t: sets.missing_months(
-        t.features.where("orbit % 3 = 0").select("mission", F.year("time").alias("year"), F.month("time").alias("month")).where("month % 4 <> 1 OR year = 1997")
+    # every month of the record, with its rows and those that count as present
+    lambda t: sets.month_coverage(
+        t.features.select("mission", F.year("time").alias("year"), F.month("time").alias("month")), (F.col("month") % 4 != 1) | (F.col("year") == 1997)
     ),
-    """SELECT mission, year(d) AS year, month(d) AS month FROM (SELECT mission, unnest(generate_series(min(d), max(d), INTERVAL 1 MONTH)) AS d FROM inv GROUP BY mission) AS f
-       WHERE NOT EXISTS (SELECT 1 FROM inv i WHERE i.mission = f.mission AND i.d = f.d)""",
-    longs="year month",
+    """SELECT f.mission, year(f.d) AS year, month(f.d) AS month, coalesce(n, 0) AS n, coalesce(n_present, 0) AS n_present, coalesce(n_present, 0) = 0 AS missing
+       FROM (SELECT mission, unnest(generate_series(min(d), max(d), INTERVAL 1 MONTH)) AS d FROM inv GROUP BY mission) AS f LEFT JOIN inv i ON i.mission = f.mission AND i.d = f.d""",
+    longs="year month n n_present",
 )
 CTES["inv"] = """
-SELECT DISTINCT mission, date_trunc('month', time) AS d FROM cat WHERE orbit % 3 = 0 AND (month(time) % 4 <> 1 OR year(time) = 1997)"""
+SELECT mission, date_trunc('month', time) AS d, count(*) AS n, count(*) FILTER (WHERE month(time) % 4 <> 1 OR year(time) = 1997) AS n_present FROM cat GROUP BY 1, 2"""
 register("U5_distinct_missions", lambda t: sets.distinct_values(t.features, "mission"), "SELECT DISTINCT mission FROM cat")
 register(
     "U6_same_rows",
@@ -609,6 +610,14 @@ register(
     longs="lat_bin class",
     digits=9,
 )
+register(
+    "R6_zonal_mean_dry",
+    # a record without any rain: every viewed latitude has zeros
+    lambda t: gv.zonal_mean(by_size(t)[0].limit(0), by_size(t)[1], by=("mission",)),
+    "SELECT mission, lat_bin, class, 0.0 AS rate FROM (SELECT DISTINCT mission, lat_bin FROM obs_views) AS b CROSS JOIN size_classes",
+    doubles="rate",
+    longs="lat_bin class",
+)
 register(
     "R7_class_fraction",
     lambda t: gv.class_fraction_by_lat(by_size(t)[0], by=("mission",)),

@@ -16,7 +16,7 @@ from rainloom.operators.gridding import orbit_views
 from rainloom.session import materialize, shared_folder
 from rainloom.sources import granules as gr
 from rainloom.sources import lake
-from rainloom.streaming.hourly import hourly_grid, open_hours, stream_hourly_grid
+from rainloom.streaming.hourly import hourly_grid, merged_grid, open_hours, stream_hourly_grid, stream_merged_grid
 
 FK = "mission, orbit, local_label"
 JOINT = ["lat_bin", "lon_bin", "hour", "size_class", "echotop_class", "raintype"]
@@ -388,13 +388,16 @@ register(
     "IO16_run_report",
     lambda t: lake.run_report(
         t.swath.groupBy("mission", "orbit").agg((F.max("orbit") % 3 != 2).alias("has_radar")),
-        t.swath_features.where("orbit <> 1"), t.members.where("orbit <> 1"), orbit_views(t.swath).where("orbit <> 4"),
+        # what belongs to orbit 1 was stored under another number, and so were the views of orbit 4
+        *[df.withColumn("orbit", F.when(F.col("orbit") == 1, 1001).otherwise(F.col("orbit"))) for df in (t.swath_features, t.members)],
+        orbit_views(t.swath).withColumn("orbit", F.when(F.col("orbit") == 4, 1004).otherwise(F.col("orbit"))),
     ).select("mission", "orbit", "n_features", "n_pixels", "n_views", "status"),
-    f"""SELECT o.mission, o.orbit, coalesce(f.n, 0) AS n_features, coalesce(p.n, 0) AS n_pixels, coalesce(v.n, 0) AS n_views,
-        CASE WHEN o.orbit % 3 = 2 THEN 'skipped_no_radar' WHEN f.n > 0 THEN 'ok' WHEN v.n > 0 THEN 'empty' ELSE 'failed' END AS status
-        FROM (SELECT DISTINCT mission, orbit FROM px) o LEFT JOIN (SELECT orbit, count(*) AS n FROM feat WHERE orbit <> 1 GROUP BY 1) f ON f.orbit = o.orbit
-        LEFT JOIN (SELECT orbit, count(*) AS n FROM lab WHERE orbit <> 1 GROUP BY 1) p ON p.orbit = o.orbit
-        LEFT JOIN (SELECT orbit, count(DISTINCT ({latbin('lat', 0.05)}) * 7200 + {lonbin('lon', 0.05)}) AS n FROM px WHERE near_sfc_rain IS NOT NULL AND orbit <> 4 GROUP BY 1) v ON v.orbit = o.orbit""",
+    f"""SELECT mission, orbit, coalesce(f.n, 0) AS n_features, coalesce(p.n, 0) AS n_pixels, coalesce(v.n, 0) AS n_views,
+        CASE WHEN known AND orbit % 3 = 2 THEN 'skipped_no_radar' WHEN f.n > 0 THEN 'ok' WHEN v.n > 0 THEN 'empty' ELSE 'failed' END AS status
+        FROM (SELECT DISTINCT mission, orbit, true AS known FROM px) o
+        FULL JOIN (SELECT mission, CASE orbit WHEN 1 THEN 1001 ELSE orbit END AS orbit, count(*) AS n FROM feat GROUP BY 1, 2) f USING (mission, orbit)
+        FULL JOIN (SELECT mission, CASE orbit WHEN 1 THEN 1001 ELSE orbit END AS orbit, count(*) AS n FROM lab GROUP BY 1, 2) p USING (mission, orbit)
+        FULL JOIN (SELECT mission, CASE orbit WHEN 4 THEN 1004 ELSE orbit END AS orbit, count(DISTINCT ({latbin('lat', 0.05)}) * 7200 + {lonbin('lon', 0.05)}) AS n FROM px WHERE near_sfc_rain IS NOT NULL GROUP BY 1, 2) v USING (mission, orbit)""",
     longs="orbit n_features n_pixels n_views",
 )
 
@@ -497,6 +500,24 @@ register(
     doubles="stratiform_sum convective_sum other_sum",
     longs="hour_start lat_bin lon_bin n_views stratiform_count convective_count other_count",
 )
+
+
+def _merged(t):
+    """The latest orbits arrive first; then the earliest, days too late, and some again: every hour is right, without open ones."""
+    root = new_root(t, "merged")
+    for part in ("orbit > 2", "orbit <= 2", "orbit IN (1, 3)"):
+        t.swath.where(part).write.mode("append").parquet(f"{root}/in")
+        stream_merged_grid(t.spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", DEG, True).awaitTermination()
+    return merged_grid(t.spark, f"{root}/out", DEG)
+
+
+register(
+    "T1_late_and_repeated",
+    _merged,
+    "SELECT * REPLACE (epoch_us(hour_start) AS hour_start) FROM hourly",
+    doubles="stratiform_sum convective_sum other_sum",
+    longs="hour_start lat_bin lon_bin n_views stratiform_count convective_count other_count",
+)
 register(
     "T1_hourly_batch",
     lambda t: hourly_grid(t.swath, deg=DEG),

@@ -252,6 +252,8 @@ _AXES = """CASE WHEN n < 2 THEN 0 ELSE major END AS major_axis_km, CASE WHEN n <
         CASE WHEN n < 2 OR major <= 0 THEN 0 ELSE (1 - minor / major) * sin(atan2(2 * cxy, cxx - cyy)) END AS elongation_sin,
         CASE WHEN n < 2 OR major <= 0 THEN 1 ELSE greatest(power(greatest(minor, 0.001) / major, 2), 1e-8) END AS thinness"""
 
+_THIN = "(n <= 1 OR minor <= 0.001 OR major / greatest(minor, 0.001) >= 10000)"
+
 
 def smooth_axes(df):
     major, minor, twice = F.col("major_axis_km"), F.col("minor_axis_km"), F.radians("orientation_deg") * 2
@@ -283,9 +285,9 @@ register(
     "A10_thin",
     lambda t: features.feature_thin(t.members).join(
         features.feature_extent(t.members).select("mission", "orbit", "local_label", "npixels"), ["mission", "orbit", "local_label"]
-    ).groupBy("npixels").agg(F.count_if("is_thin").alias("thin"), F.count("*").alias("n")).where("npixels <= 2 OR npixels >= 6"),
-    f"""SELECT n AS npixels, count(*) FILTER (WHERE n <= 1 OR minor <= 0.001 OR major / greatest(minor, 0.001) >= 10000) AS thin, count(*) AS n
-        FROM axes GROUP BY axes.n HAVING npixels <= 2 OR npixels >= 6""",
+    ).groupBy("npixels").agg(F.count_if("is_thin").alias("thin"), F.count("*").alias("n")),
+    f"""SELECT n AS npixels, count(*) FILTER (WHERE {_THIN}) AS thin, count(*) AS n
+        FROM axes GROUP BY axes.n""",
     longs="npixels thin n",
 )
 register(
@@ -432,7 +434,7 @@ register(
 
 register(
     "A17_feature_table",
-    lambda t: smooth_axes(t.swath_features.drop("is_thin")),
+    lambda t: smooth_axes(t.swath_features),
     f"""SELECT CASE f.mission WHEN 'GPM' THEN 2 ELSE 1 END * 10000000000000 + f.orbit * 100000 + f.local_label AS feature_id,
         f.*, q.* EXCLUDE ({FK}), x.* EXCLUDE ({FK}), ec.eccentricity, ed.edge
         FROM (
@@ -459,7 +461,7 @@ register(
             CASE WHEN sum(pixel_area) >= 2000 THEN 'MCS' WHEN coalesce(sum(pixel_area) FILTER (WHERE rain_type = 2), 0) > 0 THEN 'sub_MCS_conv'
                  WHEN coalesce(sum(pixel_area) FILTER (WHERE rain_type = 1), 0) > 0 THEN 'stratiform_only' ELSE 'weak' END AS feature_class
           FROM mem_c LEFT JOIN near_pct USING (mission, orbit, scan, ray) GROUP BY {FK}) f
-        JOIN qc_out q USING ({FK}) JOIN (SELECT {FK}, {_AXES} FROM axes) x USING ({FK})
+        JOIN qc_out q USING ({FK}) JOIN (SELECT {FK}, {_AXES}, {_THIN} AS is_thin FROM axes) x USING ({FK})
         JOIN (SELECT {FK}, CASE WHEN m + r > 0 THEN sqrt(1 - greatest(0, m - r) / (m + r)) ELSE 0 END AS eccentricity FROM (
               SELECT {FK}, (vs + vr) / 2 AS m, sqrt(power((vs - vr) / 2, 2) + power(c, 2)) AS r FROM (
               SELECT {FK}, var_pop(scan) AS vs, var_pop(ray) AS vr, covar_pop(scan, ray) AS c FROM mem GROUP BY ALL) AS a) AS b) ec USING ({FK})

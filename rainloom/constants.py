@@ -61,6 +61,7 @@ UNDEFINED_CLASS = 4
 SIZE_LABELS = ("<20", "20-50", "50-100", ">100", "undefined")
 ECHOTOP_LABELS = ("<5", "5-7.5", "7.5-12", ">12", "undefined")
 RAINTYPE_LABELS = ("stratiform", "convective", "other")
+BREAKDOWNS = {"size": SIZE_LABELS, "echotop": ECHOTOP_LABELS, "raintype": RAINTYPE_LABELS}
 
 # Echo-top quality control.
 INNER_RAY_LO, INNER_RAY_HI = 8, 42

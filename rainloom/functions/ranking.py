@@ -65,6 +65,20 @@ def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def input_ordinal(scan: DataFrame, name: str = "ordinal") -> DataFrame:
+    """Number the rows of a file scan by file (in the order of the paths) and row, from 0.
+
+    Needs a frame that comes straight from ``spark.read``: the place of a row is what its file says, however
+    the files are split over tasks. Rows stay where they are; only a count per file is moved.
+    """
+    placed = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = scan.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row")).groupBy("_path").agg((F.max("_row") + 1).alias("_n"))
+    # one row per file
+    before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return placed.join(starts, F.col("_file") == F.col("_path")).withColumn(name, F.col("_start") + F.col("_row")).drop("_file", "_row", "_path", "_start")
+
+
 def sort_within(df: DataFrame, *cols: str) -> DataFrame:
     return df.sortWithinPartitions(*cols)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainloom import constants as C
@@ -40,6 +40,13 @@ def missing_months(inventory: DataFrame, by: str = "mission") -> DataFrame:
     return full.join(inventory.select(by, "year", "month").distinct(), [by, "year", "month"], "left_anti")
 
 
+def month_coverage(inventory: DataFrame, present: Column, by: str = "mission") -> DataFrame:
+    """Every month between the first and the last one: its rows, those that are ``present``, and whether none is."""
+    counts = inventory.groupBy(by, "year", "month").agg(F.count("*").alias("n"), F.count_if(present).alias("n_present"))
+    absent = missing_months(counts, by).withColumns({"n": F.lit(0).cast("long"), "n_present": F.lit(0).cast("long")})
+    return counts.unionByName(absent).withColumn("missing", F.col("n_present") == 0)
+
+
 def distinct_values(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols).distinct()
 

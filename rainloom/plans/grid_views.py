@@ -37,10 +37,10 @@ def _rate(min_views: int) -> Column:
     return F.when(F.col("n_views") >= min_views, F.try_divide("rain_sum", "n_views"))
 
 
-def _with_classes(seen: DataFrame, rain: DataFrame) -> DataFrame:
-    """Every viewed key with each class of the breakdown, of which there are a handful."""
-    classes = sorted(r[0] for r in rain.select("class").where("class IS NOT NULL").distinct().collect())
-    return seen.withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes]).cast(f"array<{dict(rain.dtypes)['class']}>")))
+def _with_classes(seen: DataFrame, rain: DataFrame, breakdown: str) -> DataFrame:
+    """Every viewed key with each class of the breakdown, whether or not it rains in any."""
+    classes = F.array(*[F.lit(c) for c in range(len(C.BREAKDOWNS[breakdown]))])
+    return seen.withColumn("class", F.explode(classes.cast(f"array<{dict(rain.dtypes)['class']}>")))
 
 
 def coarsen(
@@ -91,7 +91,7 @@ def pyramid(
     )
 
 
-def seasonal_cycle(rain: DataFrame, views: DataFrame, band=(-30.0, 30.0), deg: float = C.GRID_DEG, by: tuple = ()) -> DataFrame:
+def seasonal_cycle(rain: DataFrame, views: DataFrame, band=(-30.0, 30.0), deg: float = C.GRID_DEG, by: tuple = (), breakdown: str = "size") -> DataFrame:
     """Area-mean rate and frequency per month and class: weighted sums over weighted views.
 
     A viewed month without rain of a class has the rate zero.
@@ -102,13 +102,13 @@ def seasonal_cycle(rain: DataFrame, views: DataFrame, band=(-30.0, 30.0), deg: f
     )
     bottom = clip_band(views, band=band, deg=deg).groupBy(*by, "month").agg(F.sum(w * F.col("n_views")).alias("v"))
     zero = F.lit(0.0)
-    return _with_classes(bottom, rain).join(top, [*by, "month", "class"], "left").select(
+    return _with_classes(bottom, rain, breakdown).join(top, [*by, "month", "class"], "left").select(
         *by, "month", "class", F.try_divide(F.coalesce("r", zero), "v").alias("rate"), F.try_divide(F.coalesce("c", zero), "v").alias("freq")
     )
 
 
 def diurnal_cycle_lst(
-    rain: DataFrame, views: DataFrame, band=(-30.0, 30.0), deg: float = C.GRID_DEG, min_views: int = 5
+    rain: DataFrame, views: DataFrame, band=(-30.0, 30.0), deg: float = C.GRID_DEG, min_views: int = 5, breakdown: str = "size"
 ) -> DataFrame:
     """Weighted mean of the cell rates per local solar hour and class.
 
@@ -126,7 +126,7 @@ def diurnal_cycle_lst(
         F.sum(w * F.col("rain_sum") / F.col("n_views")).alias("wr")
     )
     # at most 24 hours by a handful of classes
-    return _with_classes(weights, rain).join(F.broadcast(rates), ["lst", "class"], "left").select(
+    return _with_classes(weights, rain, breakdown).join(F.broadcast(rates), ["lst", "class"], "left").select(
         "lst", "class", F.try_divide(F.coalesce("wr", F.lit(0.0)), "w").alias("rate")
     )
 
@@ -145,20 +145,20 @@ def peak_hour_map(
     )
 
 
-def zonal_mean(rain: DataFrame, views: DataFrame, by: tuple = ()) -> DataFrame:
+def zonal_mean(rain: DataFrame, views: DataFrame, by: tuple = (), breakdown: str = "size") -> DataFrame:
     """Rain of each class over all views of its latitude; zero where a viewed latitude has none."""
     wet = rain.groupBy(*by, "lat_bin", "class").agg(F.sum("rain_sum").alias("rain_sum"))
     seen = views.groupBy(*by, "lat_bin").agg(F.sum("n_views").alias("n_views"))
-    return _with_classes(seen, rain).join(wet, [*by, "lat_bin", "class"], "left").select(
+    return _with_classes(seen, rain, breakdown).join(wet, [*by, "lat_bin", "class"], "left").select(
         *by, "lat_bin", "class", F.try_divide(F.coalesce("rain_sum", F.lit(0.0)), "n_views").alias("rate")
     )
 
 
-def class_rates(rain: DataFrame, views: DataFrame) -> DataFrame:
+def class_rates(rain: DataFrame, views: DataFrame, breakdown: str = "size") -> DataFrame:
     """Rate, frequency and intensity of each class per viewed cell, months and hours pooled; zero without rain."""
     wet = rain.groupBy(*CELL, "class").agg(F.sum("rain_sum").alias("rain_sum"), F.sum("raining_count").alias("raining_count"))
     seen = views.groupBy(*CELL).agg(F.sum("n_views").alias("n_views"))
-    both = _with_classes(seen, rain).join(wet, [*CELL, "class"], "left").fillna(0, ["rain_sum", "raining_count"])
+    both = _with_classes(seen, rain, breakdown).join(wet, [*CELL, "class"], "left").fillna(0, ["rain_sum", "raining_count"])
     return both.select(
         *CELL,
         "class",

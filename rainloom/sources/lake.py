@@ -82,7 +82,7 @@ def read_months(spark: SparkSession, root: str, table: str, mission: str, start,
     first, last = spark.range(1).select(_month_number(F.lit(start).cast("timestamp")) - 1, _month_number(F.lit(end).cast("timestamp")) + 1).first()
     base = f"{root}/{table}"
     folders = [f"{base}/mission={mission.upper()}/year={k // 12}/month={k % 12 + 1}" for k in range(first, last + 1)]
-    there = [f for f in folders if _exists(spark, f)]
+    there = [f for f in folders if exists(spark, f)]
     schema = _read_schema(TABLES[table], granule)
     df = spark.read.schema(schema).option("basePath", base).parquet(*there) if there else spark.createDataFrame([], schema)
     order = [f.name for f in TABLES[table].fields]
@@ -181,8 +181,8 @@ _INDEX = "mission string, granule string, year int, month int, n_rows long, dige
 def orbit_index(spark: SparkSession, root: str, table: str) -> DataFrame:
     """mission, granule, year, month, n_rows and digest of every orbit of a landing table."""
     path = f"{root}/orbit_index/{table}"
-    if not _exists(spark, path):
-        if not _exists(spark, f"{root}/{table}"):
+    if not exists(spark, path):
+        if not exists(spark, f"{root}/{table}"):
             return spark.createDataFrame([], _INDEX)
         _rebuild_index(spark, root, table)  # a table from before there was an index: read once
     return spark.read.schema(_INDEX).parquet(path)
@@ -213,7 +213,7 @@ def _index(new: DataFrame, root: str, table: str) -> None:
     spark = new.sparkSession
     new = new.withColumn("block", _block())
     path = f"{root}/orbit_index/{table}"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         if not new.isEmpty():
             _rebuild_index(spark, root, table)
         have = orbit_index(spark, root, table)
@@ -227,7 +227,7 @@ def _index(new: DataFrame, root: str, table: str) -> None:
         moved = have.join(new.select("mission", "granule", F.col("year").alias("_y"), F.col("month").alias("_m")), ["mission", "granule"]).where("year <> _y OR month <> _m")
     # orbits whose mean time has crossed the end of a month: a few of those just written
     for p in moved.select(*MONTH, "granule").collect():
-        _delete(spark, f"{root}/{table}/" + "/".join(f"{c}={p[c]}" for c in (*MONTH, "granule")))
+        delete(spark, f"{root}/{table}/" + "/".join(f"{c}={p[c]}" for c in (*MONTH, "granule")))
     kept = have.join(new.select("mission", "granule"), ["mission", "granule"], "left_anti")
     _put_index(materialize(kept.select(*new.columns).unionByName(new), f"index-{table}"), root, table)
 
@@ -237,12 +237,12 @@ def _path(spark: SparkSession, path: str):
     return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     system, found = _path(spark, path)
     return system.exists(found)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     system, found = _path(spark, path)
     system.delete(found, True)
 
@@ -281,7 +281,7 @@ def write_grid(df: DataFrame, root: str, table: str, months: DataFrame | None =
         spark = df.sparkSession
         empty = months.select(*MONTH).distinct().join(out.select(*MONTH).distinct(), MONTH, "left_anti")
         for m in empty.collect():  # bounded by the calendar
-            _delete(spark, f"{root}/grid_{table}/" + "/".join(f"{c}={m[c]}" for c in MONTH))
+            delete(spark, f"{root}/grid_{table}/" + "/".join(f"{c}={m[c]}" for c in MONTH))
 
 
 def _write_months(df: DataFrame, path: str) -> None:
@@ -332,8 +332,8 @@ def compact(
     cols = [f.name for f in TABLES[table].fields]
     source = orbit_index(spark, src, table).groupBy(*MONTH).agg(F.sum("n_rows").cast("long").alias("n_rows"), F.sum("digest").cast("decimal(38,0)").alias("digest"))
     log = f"{dst}/compacted_months/{table}"
-    known = spark.read.schema(_COMPACTED).parquet(log) if _exists(spark, log) else spark.createDataFrame([], _COMPACTED)
-    if verify or (not _exists(spark, log) and _exists(spark, f"{dst}/{table}")):
+    known = spark.read.schema(_COMPACTED).parquet(log) if exists(spark, log) else spark.createDataFrame([], _COMPACTED)
+    if verify or (not exists(spark, log) and exists(spark, f"{dst}/{table}")):
         known = read_table(spark, dst, table, granule=False).groupBy(*MONTH).agg(*fingerprints(cols))
     state = reconcile(source, known)
     todo = F.col("status") != "ok"
@@ -355,7 +355,7 @@ def compact(
         after = state.limit(0)
     for m in gone:
         for base in (f"{dst}/{table}", log):
-            _delete(spark, f"{base}/" + "/".join(f"{c}={v}" for c, v in zip(MONTH, m)))
+            delete(spark, f"{base}/" + "/".join(f"{c}={v}" for c, v in zip(MONTH, m)))
     columns = [*MONTH, "source_rows", "target_rows", "status"]
     rest = [tuple(r[c] for c in columns[:-1]) + ("removed" if r["source_rows"] is None else "skip",) for r in plan if not r["write"]]
     kinds = schema + ", source_rows long, target_rows long, status string"

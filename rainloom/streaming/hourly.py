@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rainloom import constants as C
 from rainloom.functions import scalars as S
 from rainloom.schemas import SWATH
+from rainloom.session import discard, materialize
+from rainloom.sources.lake import exists
 
 
 PIXEL = ["mission", "orbit", "scan", "ray"]
@@ -39,6 +42,7 @@ def hourly_grid(pixels: DataFrame, watermark: str | None = "1 day", deg: float =
 
 
 _NARROW = [*PIXEL, "lat", "lon", "time", "near_sfc_rain", "rain_type"]
+SWATH_NARROW = StructType([SWATH[c] for c in _NARROW])
 
 
 def _delivered(spark: SparkSession, path: str, deg: float) -> DataFrame:
@@ -93,3 +97,69 @@ def stream_hourly_grid(
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
+
+
+# --- merging what comes late --------------------------------------------------
+
+
+def _arrived(spark: SparkSession, out: str, days: list[str]) -> DataFrame:
+    """Pixels of some days that have been taken in so far; only the folders of these days are listed."""
+    base = f"{out}/pixels"
+    schema = StructType([*SWATH_NARROW, StructField("day", StringType())])
+    there = [f for d in days if exists(spark, f := f"{base}/day={d}")]
+    return spark.read.schema(schema).option("basePath", base).parquet(*there) if there else spark.createDataFrame([], schema)
+
+
+def _not_in(new: DataFrame, have: DataFrame) -> DataFrame:
+    """Distinct rows of ``new`` that ``have`` lacks; null values are equal."""
+    return new.select(*_NARROW, "day").subtract(have.select(*_NARROW, "day"))
+
+
+def merge_pixels(pixels: DataFrame, out: str, deg: float = C.GRID_DEG) -> None:
+    """Take pixels into the hourly grid under ``out``, however late they are and however often they come.
+
+    Pixels that are not there yet are added to ``out/pixels`` by day; the days they touch are computed anew
+    from all their pixels and replace those in ``out/hourly``. So the result depends on what has arrived
+    only, not on the order or the batches, and a batch that failed half-way can be given again. A pixel that
+    comes with other values than before keeps the larger ones (in the order of the columns).
+    """
+    spark = pixels.sparkSession
+    day = F.date_format("time", "yyyy-MM-dd").alias("day")
+    new = materialize(pixels.where(S.is_view(ts="time")).select(*_NARROW, day), "arriving")
+    days = sorted(r[0] for r in new.select("day").distinct().collect())  # days that a delivery touches
+    if days:
+        have = _arrived(spark, out, days)
+        fresh = materialize(_not_in(new, have), "fresh")
+        fresh.write.mode("append").option("compression", "zstd").partitionBy("day").parquet(f"{out}/pixels")
+        touched = sorted(r[0] for r in fresh.select("day").distinct().collect())
+        if touched:
+            rest = [c for c in _NARROW if c not in PIXEL]
+            once = _arrived(spark, out, touched).groupBy(*PIXEL, "day").agg(F.max(F.struct(*rest)).alias("x")).select(*PIXEL, "x.*")
+            grid = hourly_grid(once, None, deg).withColumn("day", F.date_format("hour_start", "yyyy-MM-dd"))
+            (
+                grid.hint("rebalance", "day")
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .option("compression", "zstd")
+                .partitionBy("day")
+                .parquet(f"{out}/hourly")
+            )
+        discard(fresh)
+    discard(new)
+
+
+def merged_grid(spark: SparkSession, out: str, deg: float = C.GRID_DEG) -> DataFrame:
+    """The hourly grid that ``merge_pixels`` keeps."""
+    schema = hourly_grid(spark.createDataFrame([], SWATH), None, deg).schema
+    return spark.read.schema(schema).parquet(f"{out}/hourly").select(*schema.names)
+
+
+def stream_merged_grid(spark: SparkSession, path: str, out: str, checkpoint: str, deg: float = C.GRID_DEG, available_now: bool = False) -> StreamingQuery:
+    """Start the job that merges every delivery under ``path`` into the grid under ``out``.
+
+    No watermark is needed and no hour stays open: what comes late is merged into its day.
+    """
+    source = spark.readStream.schema(SWATH).parquet(path).select(*_NARROW)
+    writer = source.writeStream.foreachBatch(lambda batch, _: merge_pixels(batch, out, deg)).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()

@@ -77,13 +77,15 @@ def test_viewed_but_dry_is_zero(spark):
     views = spark.createDataFrame([(m, h, la, 3, 10) for m in (1, 2) for h in (0, 1) for la in (17, 18)], "month int, hour int, lat_bin int, lon_bin int, n_views long")
     rain = spark.createDataFrame([(1, 0, 17, 3, 0, 8.0, 4), (1, 0, 17, 3, 1, 2.0, 1)], "month int, hour int, lat_bin int, lon_bin int, class int, rain_sum double, raining_count long")
     season = {(r.month, r["class"]): r.rate for r in gv.seasonal_cycle(rain, views, deg=5.0).collect()}
-    assert set(season) == {(m, c) for m in (1, 2) for c in (0, 1)} and season[2, 0] == 0 and season[1, 0] > 0
+    assert set(season) == {(m, c) for m in (1, 2) for c in range(5)} and season[2, 0] == 0 and season[1, 0] > 0
     hours = [r.rate for r in gv.diurnal_cycle_lst(rain, views, deg=5.0).collect()]
-    assert len(hours) == 4 and sum(x == 0 for x in hours) == 2
-    zonal = {(r.lat_bin, r["class"]): r.rate for r in gv.zonal_mean(rain, views).collect()}
-    assert zonal == {(17, 0): 0.2, (17, 1): 0.05, (18, 0): 0.0, (18, 1): 0.0}
+    assert len(hours) == 10 and sum(x == 0 for x in hours) == 8
+    zonal = {(r.lat_bin, r["class"]): r.rate for r in gv.zonal_mean(rain, views, breakdown="raintype").collect()}
+    assert zonal == {(17, 0): 0.2, (17, 1): 0.05, (17, 2): 0.0, (18, 0): 0.0, (18, 1): 0.0, (18, 2): 0.0}
     cells = {(r.lat_bin, r["class"]): (r.rate, r.freq, r.intensity) for r in gv.class_rates(rain, views).collect()}
     assert cells[17, 0] == (0.2, 0.1, 2.0) and cells[18, 1] == (0.0, 0.0, None)
+    dry = gv.zonal_mean(rain.limit(0), views).collect()
+    assert len(dry) == 10 and {r.rate for r in dry} == {0.0}
 
 
 # --- index, windows, fingerprints ---------------------------------------------

@@ -110,3 +110,19 @@ def test_cin_imputed_and_rows_dropped(spark):
     df = spark.createDataFrame([(1, None, 2.0), (2, -5.0, None)], "feature_id int, mean_cin_2p50deg double, y double")
     got = models.prepare_predictors(df, "y", ("mean_cin_2p50deg",)).collect()
     assert [(r.feature_id, r.mean_cin_2p50deg) for r in got] == [(1, 0.0)]
+
+
+def test_ordinals_do_not_depend_on_the_splits(spark, tmp_path):
+    from rainloom.functions.ranking import input_ordinal
+
+    path = str(tmp_path / "rows")
+    spark.range(5000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).repartitionByRange(3, "id").sortWithinPartitions("id").write.option("parquet.block.size", 16384).parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("8k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = input_ordinal(spark.read.parquet(path)).collect()
+            assert sorted(r.ordinal for r in rows) == list(range(5000)) and all(r.ordinal == r.id for r in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert input_ordinal(spark.read.schema("id long, x string").parquet(path).where("id < 0")).count() == 0

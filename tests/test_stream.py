@@ -43,3 +43,29 @@ def test_second_delivery_and_open_hours(spark, make_swath, tmp_path):
     done = spark.read.schema(batch.schema).parquet(out).unionByName(open_hours(spark, src, out))
     assert same_rows(done, batch).isEmpty()
     assert sum(r.late for r in late_views(spark, src, out).collect()) == orbit(3, 0).where("near_sfc_rain IS NOT NULL").count()
+
+
+def test_late_and_repeated_deliveries_are_merged(spark, make_swath, tmp_path):
+    """Whatever comes late or again, the grid is that of all distinct pixels; a batch given twice changes nothing."""
+    from rainloom.streaming.hourly import merge_pixels, merged_grid, stream_merged_grid
+
+    t0 = dt.datetime(2020, 6, 1, 22)
+
+    def orbit(number, day, rain=1.0):
+        times = {s: {"time": t0 + dt.timedelta(days=day, minutes=20 * s), "rain_type": s % 4 - 1} for s in range(12)}
+        return make_swath(12, 8, orbit=number, per_scan=times, every={"near_sfc_rain": rain})
+
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    arrivals = [orbit(1, 9), orbit(2, 0), orbit(1, 9), orbit(3, 0), orbit(4, 30, None)]
+    for df in arrivals:
+        df.write.mode("append").parquet(src)
+        stream_merged_grid(spark, src, out, state, available_now=True).awaitTermination()
+    batch = hourly_grid(orbit(1, 9).unionByName(orbit(2, 0)).unionByName(orbit(3, 0)))
+    assert same_rows(merged_grid(spark, out), batch).isEmpty()
+    for _ in range(2):
+        merge_pixels(orbit(2, 0).unionByName(orbit(2, 0)), out)
+    assert same_rows(merged_grid(spark, out), batch).isEmpty()
+    merge_pixels(orbit(2, 0).limit(0), out)
+    merge_pixels(orbit(3, 0, 2.5), out)  # other values of known pixels
+    changed = hourly_grid(orbit(1, 9).unionByName(orbit(2, 0)).unionByName(orbit(3, 0, 2.5)))
+    assert same_rows(merged_grid(spark, out), changed).isEmpty()
