@@ -1,12 +1,17 @@
 """Shards by best-fit-decreasing bin packing of indivisible groups (equal texts).
 
-Groups above a grain, a fixed part of a shard, number at most total / grain and are packed one by one; all
-smaller ones are gathered by hash into a fixed number of bundles, which are packed as groups too. So what
-the driver packs is bounded whatever the number of documents. Items in falling size enter the bin with the
-tightest room that holds them, found in a balanced tree of rooms; the capacity is the least one found at
-which the wanted number of bins is enough.
+Items in falling size enter the bin with the tightest room that holds them, found in a balanced tree of rooms.
 
-A null text counts as an empty one. A group larger than a fair share stays whole, alone in its shard
+With a fixed capacity there are as many bins as that takes. Groups of one size are alike, and so are bins with
+one room, so the driver packs counts: one entry for each size that occurs, which stands for all its groups.
+The groups then find their bins by their rank among those of their size.
+
+With a fixed number of shards the capacity is the least one found at which they are enough. Groups above a
+grain, a fixed part of a shard, number at most total / grain and are packed one by one; all smaller ones are
+gathered by hash into a fixed number of bundles, which are packed as groups too. So what the driver packs is
+bounded whatever the number of documents.
+
+A null text counts as an empty one; long texts are hashed whole. A group larger than a fair share stays whole, alone in its shard
 unless others fit, and the other shards share the rest. Repeated rows are separate documents. An empty
 table gives no rows.
 """
@@ -150,6 +155,53 @@ def spread(sizes: list[int], bins: int) -> list[int]:
     return [out[i] for i in range(len(sizes))]
 
 
+def fill_by_count(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Best fit in falling size over counts of sizes: (size, low, high, first bin, number in a bin).
+
+    Items of one size go into a bin as long as they fit, since its room is the tightest from then on; bins of
+    one room are used one after the other. So whole ranges of items and bins are placed at a time: those with
+    ranks from ``low`` to ``high``, a fixed number in each bin from ``first`` on.
+    """
+    rooms, many, bins, out = Rooms(), {}, 0, []
+    for size in sorted(histogram, reverse=True):
+        at, count = 0, histogram[size]
+        while at < count:
+            found = rooms.tightest(size)
+            if found is None:
+                room, first, there = capacity, bins, count  # as many new ones as are needed
+            else:
+                (room, first), there = found, many[found]
+            each = room // size
+            used = min(there, max(1, (count - at) // each))
+            each = min(each, count - at)
+            if found is None:
+                bins += used
+            else:
+                rooms.drop(found)
+                del many[found]
+                if used < there:
+                    rooms.add((room, first + used))
+                    many[room, first + used] = there - used
+            rest = (room - each * size, first)
+            rooms.add(rest)
+            many[rest] = used
+            out.append((size, at, at + used * each, first, each))
+            at += used * each
+    return out
+
+
+def _fixed(keyed: DataFrame, capacity: int) -> DataFrame:
+    """key and shard of every group, in shards of a fixed capacity."""
+    groups = materialize(keyed.groupBy("key").agg(F.sum("size").alias("whole")), "groups")
+    histogram = {r["whole"]: r["n"] for r in groups.groupBy("whole").agg(F.count("*").alias("n")).collect()}  # sizes that occur
+    if histogram and max(histogram) > capacity:
+        raise ValueError(f"a group of {max(histogram)} bytes is larger than a shard of {capacity}")
+    plan = keyed.sparkSession.createDataFrame(fill_by_count(histogram, capacity), "whole long, low long, high long, first long, each long")
+    ranked = row_numbers(groups, ["key"], ("whole",), "_r").withColumn("_r", F.col("_r") - 1)
+    placed = ranked.join(materialize(plan, "plan"), "whole").where((F.col("_r") >= F.col("low")) & (F.col("_r") < F.col("high")))
+    return placed.select("key", (F.col("first") + F.floor((F.col("_r") - F.col("low")) / F.col("each"))).cast("int").alias("shard"))
+
+
 def _items(keyed: DataFrame, grain: int) -> tuple[list, list]:
     """(key, size) of the groups above ``grain`` and (bundle, size) of the rest."""
     groups = keyed.groupBy("key").agg(F.sum("size").alias("size"))
@@ -162,32 +214,36 @@ def _bundle():
     return F.pmod(F.xxhash64("key"), F.lit(BUNDLES)).cast("int")
 
 
+def _even(keyed: DataFrame, shards: int) -> DataFrame:
+    """``keyed`` with the shard of each row, in a fixed number of shards."""
+    spark = keyed.sparkSession
+    total = keyed.agg(F.sum("size")).first()[0] or 0
+    large, small = _items(keyed, max(1, -(-total // shards) // GRAINS))
+    items = sorted([(r["size"], 0, bytes(r["key"])) for r in large] + [(r["size"], 1, r["bundle"]) for r in small], key=lambda x: (-x[0], x[1], x[2]))
+    bins = spread([i[0] for i in items], shards)
+    of_key = spark.createDataFrame([(bytearray(k), b) for (_, kind, k), b in zip(items, bins) if not kind], "key binary, own int")
+    of_bundle = spark.createDataFrame([(k, b) for (_, kind, k), b in zip(items, bins) if kind], "bundle int, shared int")
+    # at most shards * GRAINS keys and BUNDLES bundles
+    placed = keyed.withColumn("bundle", _bundle()).join(F.broadcast(of_key), "key", "left").join(F.broadcast(of_bundle), "bundle", "left")
+    return placed.withColumn("shard", F.coalesce("own", "shared"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document with its shard and its place there.
 
     With ``capacity`` the shards have this fixed size, as few as best fit needs; otherwise there are
     ``shards`` of near equal size.
     """
-    spark, text = docs.sparkSession, F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     data = text.cast("binary")
     keyed = materialize(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.unhex(F.sha2(data, 256)).alias("key")),
         "sizes",
     )
-    total = keyed.agg(F.sum("size")).first()[0] or 0
-    large, small = _items(keyed, max(1, (capacity or -(-total // shards)) // GRAINS) if capacity is None else max(1, total // (shards * GRAINS), capacity // GRAINS))
-    items = sorted([(r["size"], 0, bytes(r["key"])) for r in large] + [(r["size"], 1, r["bundle"]) for r in small], key=lambda x: (-x[0], x[1], x[2]))
-    sizes = [i[0] for i in items]
     if capacity is None:
-        bins = spread(sizes, shards)
+        placed = _even(keyed, shards)
     else:
-        if sizes and sizes[0] > capacity:
-            raise ValueError(f"a group of {sizes[0]} bytes is larger than a shard of {capacity}")
-        bins = best_fit(sizes, capacity)
-    of_key = spark.createDataFrame([(bytearray(k), b) for (_, kind, k), b in zip(items, bins) if not kind], "key binary, own int")
-    of_bundle = spark.createDataFrame([(k, b) for (_, kind, k), b in zip(items, bins) if kind], "bundle int, shared int")
-    # at most shards * GRAINS keys and BUNDLES bundles
-    placed = keyed.withColumn("bundle", _bundle()).join(F.broadcast(of_key), "key", "left").join(F.broadcast(of_bundle), "bundle", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.coalesce("own", "shared").alias("shard"), "key")
+        placed = keyed.join(_fixed(keyed, capacity), "key")
+    placed = placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "key")
     ranked = row_numbers(placed, ["doc_id", "key"], ("shard",), "_r")
     return ranked.select("doc_id", "size", "text_crc32", "law", "shard", (F.col("_r") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

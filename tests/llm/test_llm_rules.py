@@ -183,3 +183,35 @@ def test_fixed_capacity(make_docs):
     assert max(sizes.values()) <= 500 and len(sizes) <= -(-sum(sizes.values()) // 500) + 1
     with pytest.raises(ValueError):
         sharding.shard(docs, capacity=20)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_counts_fill_like_single_items(seed):
+    rng = random.Random(seed)
+    for _ in range(150):
+        capacity = rng.randrange(1, 80)
+        sizes = sorted((rng.randrange(1, capacity + 1) for _ in range(rng.randrange(60))), reverse=True)
+        plan = sharding.fill_by_count(Counter(sizes), capacity)
+        load, placed = Counter(), Counter()
+        for size, low, high, first, each in plan:
+            assert low == placed[size]
+            placed[size] = high
+            for rank in range(low, high):
+                load[first + (rank - low) // each] += size
+        assert placed == Counter(sizes)
+        single = Counter()
+        for size, b in zip(sizes, sharding.best_fit(sizes, capacity)):
+            single[b] += size
+        assert sorted(load.values()) == sorted(single.values()) and set(load) == set(range(len(load)))
+
+
+def test_small_capacity(spark):
+    """Thousands of shards, each with room for one document or two."""
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('text ', id, repeat('x', CAST(id % 90 AS INT))) AS text")
+    got = sharding.shard(docs, capacity=150).collect()
+    load = Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert len(got) == 5000 and max(load.values()) <= 150
+    sizes = sorted((r["size"] for r in got), reverse=True)
+    assert len(load) == max(sharding.best_fit(sizes, 150)) + 1
