@@ -229,6 +229,14 @@ def _verify(batches, percent: int):
         yield done()
 
 
+def _same_id(classed: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the classes of every id that stands for several texts."""
+    several = classed.groupBy("doc_id").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("doc_id")
+    own = classed.join(materialize(several, "several"), "doc_id").join(reps.select("class", "rep"), "class").select("doc_id", "rep").distinct()
+    least = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return own.join(least, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable) and whether it is the document's own."""
     texts = narrow(docs, id_col, text_col)
@@ -241,7 +249,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     key = F.concat_ws("/", "block.component", "block.i", "block.j").alias("key")
     checked = shown.select(key, "id", "text").repartition("key").sortWithinPartitions("key", "id")
     confirmed = checked.mapInArrow(lambda batches: _verify(batches, percent), "a long, b long").where("a <> b").distinct()
-    joined = components(materialize(confirmed, "links"), "links").withColumnRenamed("id", "rep")
+    linked = confirmed.unionByName(_same_id(classed, reps))
+    joined = components(materialize(linked, "links"), "links").withColumnRenamed("id", "rep")
     named = reps.join(joined, "rep", "left").select(F.col("class").alias("_class"), F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(named, F.col("class") == F.col("_class"), "left")
     own = F.when(F.col("class").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

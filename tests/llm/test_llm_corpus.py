@@ -338,6 +338,13 @@ def test_pages_on_whole_table(spark, data_dir):
         assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"], got[r["page_id"]]["url"]) == (text, len(text), r["url"])
 
 
+def test_an_id_with_two_texts_is_one_document(make_docs):
+    a, b, c = ("one two three four five six seven", "red green blue black white grey brown", "quite another text with other words here")
+    docs = make_docs([(5, a), (5, b), (3, b), (9, a), (4, c), (2, ""), (7, c), (7, c)])
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in shingles.near_duplicates(docs).collect()]
+    assert sorted(got) == [(2, 2, True), (3, 3, True), (4, 4, True), (5, 3, False), (5, 3, False), (7, 4, False), (7, 4, False), (9, 3, False)]
+
+
 # --- pipeline -----------------------------------------------------------------------------
 
 
