@@ -62,6 +62,10 @@ WITHOUT = frozenset("with has no without is js".split())
 DOUBTFUL = AT_END | {"recommended", "related", "social"}
 FRAME = frozenset("bar bottom box container div global inner left list main outer page right site top web website wrap wrapper".split())
 
+#: Elements that can belong to an article next to the container of its body.
+TEXTS = HEADINGS | frozenset("p blockquote figure ul ol dl pre table".split())
+LITTLE = 50  # an element with less than this part of the running text of the page's own best one holds no article
+
 DEPTH = 250  # elements nested deeper are read as if beside one another
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -343,6 +347,45 @@ def _find(root: Node, wanted: str) -> list[Node]:
     return level if any(x.good for x in level) else []
 
 
+def _beside(node: Node) -> bool:
+    """Whether an element next to the article's container is text of its own and no container: a headline or a paragraph, say."""
+    return not node.drop and node.tag in TEXTS and 2 * node.good >= node.all > 0
+
+
+def _climb(chosen: list[Node]) -> list[Node]:
+    """``chosen`` with the headlines and paragraphs that stand directly in the containers around it, in page order.
+
+    Other containers beside it have paths of their own, which the host has not chosen. Directly in the
+    body only headlines before the article are taken.
+    """
+    if not chosen or any(x.parent is None for x in chosen):
+        return chosen
+    up = chosen[0].parent
+    while up is not None and any(up not in _above(x) for x in chosen[1:]):
+        up = up.parent
+    inner, out = set(map(id, chosen)), chosen
+    while up is not None and up.tag != "html" and not up.drop:
+        taken, seen = [], False
+        for x in up.inside:
+            if isinstance(x, str):
+                continue
+            own = [y for y in out if y is x or x in _above(y)]
+            seen = seen or bool(own)
+            if own:
+                taken += own
+            elif _beside(x) and (up.tag != "body" or x.tag in HEADINGS and not seen):
+                taken.append(x)
+        out, up = taken, up.parent
+    return out if inner <= set(map(id, out)) else chosen
+
+
+def _above(node: Node) -> list[Node]:
+    found = []
+    while (node := node.parent) is not None:
+        found.append(node)
+    return found
+
+
 def read(page: str) -> Node:
     root = parse(page)
     measure(root)
@@ -352,8 +395,10 @@ def read(page: str) -> Node:
 def text_of(page: str, wanted: str | None) -> str:
     """The main text of a page, taken at its host's path where it has that."""
     root = read(page)
-    chosen = _find(root, wanted) if wanted else []
-    return "\n\n".join(t for node in chosen or [_best(root)] for t in blocks(node))
+    chosen, best = _find(root, wanted) if wanted else [], _best(root)
+    if LITTLE * sum(x.good for x in chosen) < best.good:  # the host's place is as good as empty here
+        chosen = [best]
+    return "\n\n".join(t for node in _climb(chosen or [best]) for t in blocks(node))
 
 
 def ballots(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -326,6 +326,32 @@ def test_all_sections_of_a_split_article(spark):
     assert got[9] == "\n\n".join(["first" + " word" * 200, "second" + " word" * 80, "all link", "third" + " word" * 60])
 
 
+def extracted(spark, rows):
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", html) for k, html in rows], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in pages.extract(df).collect()}
+
+
+def test_headline_outside_the_body_of_the_article(spark):
+    body = "".join(f"<p>paragraph {k} of a long text</p>" for k in range(60))
+    page = f'<html><body><div class=nav><a href=x>home</a></div><div class=post><h1>The headline</h1><div class=body>{body}</div><ul><li><a href=x>more</a></ul></div></body></html>'
+    for text in extracted(spark, [(k, page) for k in range(4)]).values():
+        assert text.startswith("The headline\n\nparagraph 0 of") and text.endswith("paragraph 59 of a long text")
+
+
+def test_paragraphs_around_a_section(spark):
+    long = "words of the section " * 30
+    page = "<html><body><div class=story>{0}<section><p>{1}</p></section>{2}</div><div class=teaser><p>something else</p></div></body></html>"
+    got = extracted(spark, [(k, page.format("", long, "")) for k in range(5)] + [(9, page.format("<p>an introduction</p>", long, "<p>a conclusion</p>"))])
+    assert got[9] == f"an introduction\n\n{long.strip()}\n\na conclusion" and got[0] == long.strip()
+
+
+def test_a_page_with_its_article_elsewhere(spark):
+    long = "words of the article " * 30
+    page = "<html><body><div class=story><p>{0}</p></div><div class=other><p>{1}</p></div></body></html>"
+    got = extracted(spark, [(k, page.format(long, "x")) for k in range(5)] + [(9, page.format("x", long))])
+    assert got[9] == long.strip() and got[0] == long.strip()
+
+
 def test_pages_on_whole_table(spark, data_dir):
     """Every page of the table has one article element, which is cut out here by hand."""
     import html
