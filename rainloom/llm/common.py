@@ -88,7 +88,12 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 
 class Cache:
-    """Results by word, in two generations: the older one is dropped when the younger is full."""
+    """Results by word, in two generations: the older one is dropped when the younger is full.
+
+    Words above ``LONG`` are not kept, so that the entries have a bounded size (a result is no longer than a few times its word).
+    """
+
+    LONG = 128
 
     def __init__(self, limit: int = 400_000):
         self.limit, self.new, self.old = limit, {}, {}
@@ -103,6 +108,8 @@ class Cache:
             made = dict(zip(fresh, make(fresh))) if fresh else {}
             self.new |= {w: made[w] if w in made else old[w] for w in missing}
             found = list(map(get, words))
+            for w in [w for w in fresh if len(w) > self.LONG]:
+                del self.new[w]
             if len(self.new) > self.limit:
                 self.old, self.new = self.new, {}
         return found

@@ -42,6 +42,12 @@ class Words:
         pattern = next(p["pattern"]["Regex"] for p in self.spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"\s", _SPACE))
         self.symbol = _byte_symbols()
+        self.byte = {c: b for b, c in enumerate(self.symbol)}
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
+        self.agreed: set[str] = set()  # characters that Python and the library take alike
         self.chunks, self.words = Cache(), Cache(200_000)
 
     def word(self, word: str):
@@ -57,10 +63,26 @@ class Words:
         return [w for k, part in enumerate(self.marks.split(chunk)) for w in ([part] if k % 2 else self._plain(part))]
 
     def _plain(self, text: str) -> list[str]:
+        if not text.isascii() and not (self.agreed.issuperset(text) or all(map(self._agrees, set(text)))):
+            return self._library(text)
+        return self._python(text)
+
+    def _python(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter
         return self.pieces.findall(text.lower())
 
+    def _library(self, text: str) -> list[str]:
+        """The library's own words: its Unicode tables may be of another version."""
+        found = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
+        return [bytes(map(self.byte.__getitem__, w)).decode() for w, _ in found]
+
+    def _agrees(self, c: str) -> bool:
+        """Whether both split and lower a character alike, alone and beside letters, digits and marks."""
+        if c not in self.agreed and all(self._python(t) == self._library(t) for t in (c, f"a{c}a", f"1{c}1", f".{c}.", f"A{c}{c}")):
+            self.agreed.add(c)
+        return c in self.agreed
+
     def by_chunk(self, chunks: list[bytes]) -> list[list]:
         """The words' results of each chunk."""
         split = [self.split(c.decode()) for c in chunks]

@@ -178,3 +178,24 @@ def test_packing_edges(awkward, empty, library):
 
     check_packing(packing.pack(awkward, window=64).collect(), pieces_of(AWKWARD, library, 64), 64)
     assert packing.pack(empty).count() == 0
+
+
+def test_characters_of_other_unicode_versions(library):
+    """Letters and unassigned code points that Python's tables see otherwise, alone and beside others."""
+    counter, ids = tokens.PairCounter(tokens.vocabulary()), tokens.Ids(tokens.vocabulary())
+    for c in ["Ᲊ", "Ɤ", "՘", "͸", "\U00010d50", "\U0001e030", *map(chr, range(0x1c80, 0x1c90)), *map(chr, range(0xa7c0, 0xa7e0))]:
+        for t in (c, f"Ab{c}cd 1{c}{c} .{c}.", f"é{c}É"):
+            expected = library.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(ids.text(t), "<u4").tolist() == expected, t
+            assert counter.count(t) == len(expected), t
+
+
+def test_long_words_are_not_kept():
+    from rainloom.llm.common import Cache
+
+    cache, calls = Cache(3), []
+    make = lambda new: calls.extend(new) or list(map(len, new))
+    long = "x" * (Cache.LONG + 1)
+    assert cache.all(["a", long, "a", long], make) == [1, len(long), 1, len(long)] and calls == ["a", long]
+    assert cache.all([long, "a"], make) == [len(long), 1] and calls == ["a", long, long]
+    assert max(map(len, [*cache.new, *cache.old])) <= Cache.LONG
