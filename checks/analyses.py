@@ -11,7 +11,7 @@ from rainloom.functions import ranking as rk
 from rainloom.operators.environment import build_analysis_table, left_env
 from rainloom.plans import catalogue as ct
 from rainloom.plans import conditioned as cd
-from rainloom.plans import models
+from rainloom.plans import boosting, models
 
 ENV_COLS = [c for c in C.PREDICTORS if c != "abs_lat"]
 
@@ -450,6 +450,129 @@ register(
              FROM (SELECT p90_cape_2p50deg AS x, shear_6000m_centroid AS z, ht40_km AS y FROM fe WHERE ht40_km IS NOT NULL AND p90_cape_2p50deg IS NOT NULL) AS d) AS s""",
     doubles="coefficient",
 )
+# All predictors: each in turn is taken out of those after it and of the response, then the slopes are solved backwards.
+_K = len(C.PREDICTORS)
+CTES["ols_0"] = "SELECT y, " + ", ".join(f"(p{k} - avg(p{k}) OVER ()) / stddev_samp(p{k}) OVER () AS z{k}" for k in range(_K)) + (
+    " FROM (SELECT CAST(ht40_km AS DOUBLE) AS y, " + ", ".join(f"CAST({f'coalesce({p}, 0.0)' if p == C.CIN_COL else p} AS DOUBLE) AS p{k}" for k, p in enumerate(C.PREDICTORS))
+    + " FROM fe WHERE ht40_km IS NOT NULL AND " + " AND ".join(f"{p} IS NOT NULL" for p in C.PREDICTORS if p != C.CIN_COL) + ") AS d"
+)
+for _j in range(_K):
+    _later = range(_j + 1, _K)
+    CTES[f"ols_r{_j}"] = f"SELECT regr_slope(y, z{_j}) AS y{_j}" + "".join(f", regr_slope(z{k}, z{_j}) AS s{_j}_{k}" for k in _later) + f" FROM ols_{_j}"
+    CTES[f"ols_{_j + 1}"] = f"SELECT y - y{_j} * z{_j} AS y" + "".join(f", z{k} - s{_j}_{k} * z{_j} AS z{k}" for k in _later) + f" FROM ols_{_j} CROSS JOIN ols_r{_j}"
+register(
+    "H11_ols",
+    lambda t: models.fit_ols(fe(t), "ht40_km"),
+    f"""SELECT unnest([{', '.join(f"'{p}'" for p in C.PREDICTORS)}, 'const']) AS term, unnest([{', '.join(f'b{k}' for k in range(_K))}, my]) AS coefficient FROM (
+    SELECT {', '.join(f"y{j}" + "".join(f" - s{j}_{k} * b{k}" for k in range(j + 1, _K)) + f" AS b{j}" for j in reversed(range(_K)))}, (SELECT avg(y) FROM ols_0) AS my
+    FROM {' CROSS JOIN '.join(f'ols_r{j}' for j in range(_K))}) AS b""",
+    doubles="coefficient",
+)
+ROUNDS, DEPTH, STEP = 3, 2, 0.3
+
+
+def _boost_sql(rows: str, name: str) -> None:
+    """CTEs ``name`` (rows with their predictions after all rounds) and ``name_splits`` for the same exact splits.
+
+    ``rows``: id, y, w, train, the predictors.
+    """
+    value = "CASE predictor " + " ".join(f"WHEN '{p}' THEN {p}" for p in C.PREDICTORS) + " END"
+    CTES[f"{name}_in"] = rows
+    CTES[f"{name}_0"] = f"SELECT d.*, m AS pred FROM {name}_in AS d CROSS JOIN (SELECT sum(w * y) / sum(w) AS m FROM {name}_in WHERE train) AS s"
+    found = []
+    for r in range(1, ROUNDS + 1):
+        CTES[f"{name}_{r}_l0"] = f"SELECT *, 1 AS node FROM {name}_{r - 1}"
+        for level in range(DEPTH):
+            here = f"{name}_{r}_l{level}"
+            long = " UNION ALL ".join(f"SELECT node, '{p}' AS predictor, {p} AS value, sum(w * (y - pred)) AS s, sum(w) AS n FROM {here} WHERE train AND node >= {1 << level} GROUP BY ALL" for p in C.PREDICTORS)
+            CTES[f"{here}_best"] = f"""
+SELECT node, arg_max(predictor, gain) AS predictor, arg_max(value, gain) AS threshold, max(gain) AS gain, max(nt) AS weight FROM (
+  SELECT *, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt AS gain FROM (
+    SELECT *, sum(s) OVER o AS sl, sum(n) OVER o AS nl, sum(s) OVER g AS st, sum(n) OVER g AS nt, row_number() OVER (PARTITION BY node, predictor ORDER BY value DESC) AS back
+    FROM ({long}) AS v WINDOW o AS (PARTITION BY node, predictor ORDER BY value), g AS (PARTITION BY node, predictor)) AS run WHERE back > 1) AS cut GROUP BY node"""
+            CTES[f"{name}_{r}_l{level + 1}"] = f"""
+SELECT d.* REPLACE (CASE WHEN gain > 0 THEN 2 * node + CASE WHEN {value} <= threshold THEN 0 ELSE 1 END ELSE node END AS node) FROM {here} AS d LEFT JOIN {here}_best USING (node)"""
+            found.append(f"SELECT {r} AS round, * FROM {here}_best WHERE gain > 0")
+        last = f"{name}_{r}_l{DEPTH}"
+        CTES[f"{name}_{r}"] = f"""
+SELECT d.* EXCLUDE (node, leaf) REPLACE (pred + {STEP} * leaf AS pred) FROM (
+  SELECT * FROM {last} JOIN (SELECT node, sum(w * (y - pred)) / sum(w) AS leaf FROM {last} WHERE train GROUP BY node) AS leaves USING (node)) AS d"""
+    CTES[f"{name}_splits"] = " UNION ALL ".join(found)
+    CTES[name] = f"SELECT * FROM {name}_{ROUNDS}"
+
+
+_PART = "CAST('0x' || substr(md5(CAST(feature_id AS VARCHAR)), 1, 8) AS BIGINT) % 4 <> 0"
+_ALL = " AND ".join(f"{p} IS NOT NULL" for p in C.PREDICTORS if p != C.CIN_COL)
+_X = ", ".join(f"CAST(coalesce({p}, 0.0) AS DOUBLE) AS {p}" if p == C.CIN_COL else f"CAST({p} AS DOUBLE) AS {p}" for p in C.PREDICTORS)
+_boost_sql(f"SELECT feature_id AS id, CAST(ht40_km AS DOUBLE) AS y, 1.0 AS w, {_PART} AS train, {_X} FROM fe WHERE ht40_km IS NOT NULL AND {_ALL}", "bh")
+
+
+def _exact(t):
+    """Exact boosted trees of the echo-top height and the rows they were fitted on and held from."""
+    if not hasattr(t, "_exact"):
+        rows = boosting.md5_split(models.prepare_predictors(fe(t), "ht40_km"))
+        t._exact = boosting.fit_exact(rows, "ht40_km", C.PREDICTORS, ROUNDS, DEPTH, STEP), rows
+    return t._exact
+
+
+register(
+    "H12_exact_trees",
+    lambda t: boosting.splits_of(_exact(t)[0], t.spark),
+    "SELECT round, node, predictor, threshold, gain, weight FROM bh_splits",
+    doubles="threshold gain weight",
+    longs="round node",
+    digits=4,
+)
+register(
+    "H12_exact_r2",
+    lambda t: boosting.r2(_exact(t)[1].where("NOT train"), "ht40_km", _exact(t)[0].predict({p: F.col(p) for p in C.PREDICTORS})),
+    "SELECT 1 - sum(power(y - pred, 2)) / (var_pop(y) * count(*)) AS r2, count(*) AS n FROM bh WHERE NOT train",
+    doubles="r2",
+    longs="n",
+)
+# For the local effects every held-out row is also scored with the shear of either edge of its bin.
+_S = C.SHEAR_COL
+CTES["ale_edges"] = f"SELECT list_sort(list_distinct(quantile_cont({_S}, [{', '.join(str(i / 20) for i in range(21))}]))) AS e FROM bh_in WHERE NOT train"
+CTES["ale_binned"] = f"SELECT b.*, greatest(len(list_filter(e, lambda x: x < {_S})), 1) AS k, e FROM bh_in AS b CROSS JOIN ale_edges WHERE NOT train"
+_boost_sql(
+    f"""SELECT *, 'own' AS side, 0 AS bin FROM bh_in
+UNION ALL SELECT * EXCLUDE (k, e) REPLACE (e[k] AS {_S}), 'lo', k - 1 FROM ale_binned UNION ALL SELECT * EXCLUDE (k, e) REPLACE (e[k + 1] AS {_S}), 'hi', k - 1 FROM ale_binned""",
+    "ale",
+)
+register(
+    "H13_exact_effects",
+    lambda t: models.ale(_exact(t)[0], _exact(t)[1].where("NOT train"), _S),
+    """SELECT bin, lo, hi, n, local, acc - sum((acc - local / 2) * n) OVER () / sum(n) OVER () AS effect FROM (
+       SELECT *, sum(local) OVER (ORDER BY bin) AS acc FROM (
+         SELECT bin, e[bin + 1] AS lo, e[bin + 2] AS hi, count(*) FILTER (side = 'hi') AS n, avg(pred) FILTER (side = 'hi') - avg(pred) FILTER (side = 'lo') AS local
+         FROM ale CROSS JOIN ale_edges WHERE side <> 'own' GROUP BY ALL) AS b) AS a""",
+    doubles="lo hi local effect",
+    longs="bin n",
+)
+_boost_sql(
+    f"""SELECT id, y, CASE WHEN y = 1 THEN total / (2.0 * ones) ELSE total / (2.0 * (total - ones)) END AS w, train, {', '.join(C.PREDICTORS)} FROM (
+    SELECT *, count(*) FILTER (train) OVER () AS total, count(*) FILTER (train AND y = 1) OVER () AS ones FROM (
+      SELECT feature_id AS id, CAST(ext_pct AS DOUBLE) AS y, {_PART} AS train, {_X} FROM ext WHERE {_ALL}) AS d) AS e""",
+    "bx",
+)
+
+
+def _extremes(t):
+    """Ranking of the extremes at the 99th percentile by exact trees with balanced classes, over held-out rows."""
+    rows = boosting.balanced(boosting.md5_split(models.prepare_predictors(cd.label_extremes(fe(t)), "ext_pct")), "ext_pct")
+    model = boosting.fit_exact(rows, "ext_pct", C.PREDICTORS, ROUNDS, DEPTH, STEP, weight="weight")
+    return boosting.average_precision(rows.where("NOT train"), "ext_pct", F.round(model.predict({p: F.col(p) for p in C.PREDICTORS}), 9))
+
+
+register(
+    "H17_exact_precision",
+    _extremes,
+    """SELECT sum(p / pt * pu / cu) AS pr_auc, max(pt) / max(ct) AS prevalence, max(ct) AS n FROM (
+       SELECT *, sum(p) OVER o AS pu, sum(c) OVER o AS cu, sum(p) OVER () AS pt, sum(c) OVER () AS ct FROM (
+         SELECT round(pred, 9) AS score, sum(y) AS p, count(*) AS c FROM bx WHERE NOT train GROUP BY 1) AS s WINDOW o AS (ORDER BY score DESC)) AS r""",
+    doubles="pr_auc prevalence",
+    longs="n",
+)
 register("H12_boosted_trees", lambda t: models.fit_gbt(fe(t), "ht40_km", rounds=5, depth=3)[1])
 register(
     "H13_local_effects",
@@ -493,4 +616,4 @@ register(
     longs="extreme n",
     digits=7,
 )
-register("H17_extreme_classifier", lambda t: models.fit_extreme_classifier(cd.label_extremes(fe(t), 0.9), rounds=5, depth=3))
+register("H17_extreme_classifier", lambda t: models.fit_extreme_classifier(cd.label_extremes(fe(t)), rounds=5, depth=3))

@@ -183,6 +183,34 @@ def exact_percentiles(
     )
 
 
+def running_sums(df: DataFrame, by: tuple, order: str, cols: list[str]) -> DataFrame:
+    """Sums of ``cols`` up to each row of its group (``<col>_upto``) and over all of it (``<col>_total``).
+
+    ``order`` is unique in a group. Sliced like ``row_numbers``, for groups of any size. ``last`` is 1 on
+    the last row of a group and 0 elsewhere.
+    """
+    keys = list(by)
+    sliced = materialize(df.repartitionByRange(*keys, order).withColumn("_slice", F.spark_partition_id()), "summed")
+    part = Window.partitionBy(*(keys or [F.lit(1)]))
+    before = part.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = sliced.groupBy(*keys, "_slice").agg(F.max(order).alias("_top"), *[F.sum(c).alias(f"_{c}") for c in cols])
+    slices = slices.withColumn("_end", F.max("_top").over(part))
+    for c in cols:
+        slices = slices.withColumns({f"_{c}_before": F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)), f"{c}_total": F.sum(f"_{c}").over(part)})
+    inside = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced
+    for c in cols:
+        local = local.withColumn(f"_{c}_local", F.sum(c).over(inside))
+    cond = None
+    for k in [*keys, "_slice"]:
+        c = F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}"))
+        cond = c if cond is None else cond & c
+    joined = local.alias("l").join(slices.alias("s"), cond)
+    sums = [(F.col(f"l._{c}_local") + F.col(f"s._{c}_before")).alias(f"{c}_upto") for c in cols]
+    last = (F.col(f"l.{order}") == F.col("s._end")).cast("int").alias("last")
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], *sums, *[F.col(f"s.{c}_total") for c in cols], last)
+
+
 def _cumulative_counts(distinct: DataFrame, by: tuple) -> DataFrame:
     """Running count per group over its distinct values, sliced like ``row_numbers``."""
     keys = list(by)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rainloom import constants as C
 from rainloom.functions.ranking import exact_percentiles
+from rainloom.plans.boosting import Boosted
 
 
 def prepare_predictors(df: DataFrame, response: str | None, predictors=C.PREDICTORS, cin: str = C.CIN_COL) -> DataFrame:
@@ -69,7 +70,7 @@ def held_out(df: DataFrame, response: str, predictors=C.PREDICTORS, test: float
     return hash_split(prepare_predictors(df, response, predictors), test)[1]
 
 
-def ale(model: Model, df: DataFrame, feature: str, predictors=C.PREDICTORS, bins: int = 20) -> DataFrame:
+def ale(model: Model | Boosted, df: DataFrame, feature: str, predictors=C.PREDICTORS, bins: int = 20) -> DataFrame:
     """Accumulated local effect of one predictor over quantile bins.
 
     Each row is scored at both edges of its bin; the mean differences are added up along the
@@ -88,6 +89,9 @@ def ale(model: Model, df: DataFrame, feature: str, predictors=C.PREDICTORS, bins
     scored = binned
     for side in ("lo", "hi"):
         moved = [f"_{side}" if p == feature else p for p in predictors]
+        if isinstance(model, Boosted):
+            scored = scored.withColumn(f"_y_{side}", model.predict({p: F.col(c) for p, c in zip(predictors, moved)}))
+            continue
         scored = VectorAssembler(inputCols=moved, outputCol=f"_x_{side}").transform(scored)
         scored = model.copy({model.featuresCol: f"_x_{side}", model.predictionCol: f"_y_{side}"}).transform(scored)
     effect = scored.groupBy("_bin", "_lo", "_hi").agg(F.avg(F.col("_y_hi") - F.col("_y_lo")).alias("local"), F.count("*").alias("n"))
@@ -103,7 +107,7 @@ def ale(model: Model, df: DataFrame, feature: str, predictors=C.PREDICTORS, bins
 
 
 def partial_effect(
-    df: DataFrame, y: str, t: str, controls: list[str], folds: int = 2, key: str = "feature_id", nuisance: str = "gbt"
+    df: DataFrame, y: str, t: str, controls: list[str], folds: int = 2, key: str = "feature_id", nuisance: str = "gbt", rounds: int = 10, depth: int = 4
 ) -> DataFrame:
     """Debiased average effect of ``t`` on ``y``: residual on residual, nuisances cross-fitted."""
     data = _assembled(prepare_predictors(df, y, [t, *controls]), controls).withColumn(
@@ -114,7 +118,7 @@ def partial_effect(
         train, held = data.where(F.col("_fold") != k), data.where(F.col("_fold") == k)
         for target, out in ((y, "_y_hat"), (t, "_t_hat")):
             if nuisance == "gbt":
-                learner = GBTRegressor(featuresCol="features", labelCol=target, predictionCol=out, maxIter=10, maxDepth=4, seed=0)
+                learner = GBTRegressor(featuresCol="features", labelCol=target, predictionCol=out, maxIter=rounds, maxDepth=depth, seed=0)
             else:
                 learner = LinearRegression(featuresCol="features", labelCol=target, predictionCol=out)
             held = learner.fit(train).transform(held)
