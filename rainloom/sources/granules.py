@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainloom import constants as C
@@ -16,25 +16,32 @@ def parse_granules(names: DataFrame, col: str = "name") -> DataFrame:
     An end before the start belongs to the next day; without an end the orbit is taken to
     last 100 minutes. Parts that are not in the name are null.
     """
-    base = F.element_at(F.split(F.col(col), "/"), -1)
-
-    def part(pattern: str, group: int = 1):
-        found = F.regexp_extract(base, pattern, group)
-        return F.when(found != "", found)
-
-    orbit = part(r"\.(\d{5,6})\.V\d+")
-    day, form = part(r"\.(\d{8})-S\d{6}"), F.lit("yyyyMMddHHmmss")
-    start = F.try_to_timestamp(F.concat(day, part(r"\.\d{8}-S(\d{6})")), form)
-    end_same_day = F.try_to_timestamp(F.concat(day, part(r"-E(\d{6})")), form)
-    end = F.when(end_same_day < start, end_same_day + F.expr("INTERVAL 1 DAY")).otherwise(end_same_day)
-    return names.withColumns(
-        {
-            "orbit": orbit.cast("int"),
-            "version": part(r"\.V(\d{2}[A-Z]?)"),
-            "obs_start": start,
-            "obs_end": F.coalesce(end, start + F.expr("INTERVAL 100 MINUTES")),
-        }
-    )
+    parts = {
+        "_orbit": r"\.(\d{5,6})\.V\d+",
+        "_version": r"\.V(\d{2}[A-Z]?)",
+        "_day": r"\.(\d{8})-S\d{6}",
+        "_from": r"\.\d{8}-S(\d{6})",
+        "_to": r"-E(\d{6})",
+    }
+    # each pattern is tried once and each time read once: what is used twice is a column of its own
+    named = names.withColumn("_base", F.regexp_extract(F.col(col), r"([^/]*)$", 1))
+    found = named.withColumns({c: F.regexp_extract("_base", p, 1) for c, p in parts.items()}).drop("_base")
+    timed = found.withColumns({"_start": _instant("_day", "_from"), "_end": _instant("_day", "_to")})
+    end = F.when(F.col("_end") < F.col("_start"), F.col("_end") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("_end"))
+    out = {
+        "orbit": F.when(F.col("_orbit") != "", F.col("_orbit")).cast("int"),
+        "version": F.when(F.col("_version") != "", F.col("_version")),
+        "obs_start": F.col("_start"),
+        "obs_end": F.coalesce(end, F.col("_start") + F.expr("INTERVAL 100 MINUTES")),
+    }
+    return timed.withColumns(out).drop(*parts, "_start", "_end")
+
+
+def _instant(day: str, clock: str) -> Column:
+    """The time of eight digits of a date and six of a time of day; null if either is absent or impossible."""
+    digits = [(day, 1, 4), (day, 5, 2), (day, 7, 2), (clock, 1, 2), (clock, 3, 2), (clock, 5, 2)]
+    time = F.try_make_timestamp(*[F.substring(c, at, n).cast("int") for c, at, n in digits])
+    return F.when((F.length(day) == 8) & (F.length(clock) == 6), time)
 
 
 def prefer_version(
