@@ -219,17 +219,30 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return map_texts(narrow(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text")), run, "doc_id long, media binary")
 
 
+_READ = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "payload", "errors")
+
+
+def _read(media: bytes | None) -> tuple:
+    """The values of _READ for one bitstream; what can't be read is null, and ``errors`` says why."""
+    if media is None:
+        return (*[None] * 8, "no media")
+    own = len(media), hashlib.sha256(media).hexdigest()
+    try:
+        n, data, found = decode(media)
+        return n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), *own, feature(data, found), data, None
+    except (ValueError, LookupError, struct.error) as e:
+        return None, None, None, None, *own, None, None, f"{type(e).__name__}: {e}"
+
+
 def load(media: DataFrame, payload: bool = False) -> DataFrame:
-    """What the bitstreams of ``media`` hold; with ``payload`` also the samples themselves."""
+    """What the bitstreams of ``media`` hold; with ``payload`` also the samples themselves.
+
+    A null or damaged bitstream gives a row with its own size and digest only and the reason in ``errors``.
+    """
 
     def run(batch):
-        rows = []
-        for m in batch.column("media"):
-            m = m.as_buffer().to_pybytes()
-            n, data, found = decode(m)
-            rows.append((n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(data, found), data))
-        names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "payload")
-        return {"doc_id": batch.column("doc_id")} | dict(zip(names, zip(*rows)))
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        rows = [_read(m.as_buffer().to_pybytes() if m.is_valid else None) for m in batch.column("media")]
+        return {"doc_id": batch.column("doc_id")} | dict(zip(_READ, zip(*rows)))
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, errors string"
     return map_texts(media, run, schema + ", payload binary" * payload, "media")

@@ -97,3 +97,17 @@ def test_edges(awkward, empty):
         assert bytes(by[d][0]["payload"])[: len((t or "").encode())] == (t or "").encode()
     assert len(by[11]) == 2 and by[10][0]["media_sha256"] == by[11][0]["media_sha256"]
     assert ogg.load(ogg.store(empty)).count() == 0
+
+
+def test_damaged_and_missing_media(spark, make_docs):
+    """Each row comes back: whole ones with their data, others with the reason."""
+    media = {r["doc_id"]: bytes(r["media"]) for r in ogg.store(make_docs([(k, f"text {k} " * 200) for k in range(6)])).collect()}
+    broken = {
+        0: media[0], 1: None, 2: b"", 3: media[3][: len(media[3]) // 2], 4: media[4][:900] + bytes([media[4][900] ^ 1]) + media[4][901:], 5: b"no bitstream at all",
+    }
+    df = spark.createDataFrame([(k, m) for k, m in broken.items()], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in ogg.load(df).collect()}
+    assert len(got) == 6 and got[0]["errors"] is None and got[0]["n_bytes"] == len("text 0 " * 200)
+    for k in range(1, 6):
+        assert got[k]["errors"] and got[k]["payload_sha256"] is None and got[k]["n_bytes"] is None
+        assert got[k]["media_bytes"] == (None if broken[k] is None else len(broken[k]))
