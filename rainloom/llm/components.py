@@ -1,4 +1,8 @@
-"""Connected components of a table of edges, by rounds of joins."""
+"""Connected components of a table of edges, by rounds of joins.
+
+Repeated edges and loops count once or not at all; edges with a null end are none. A table without edges has
+no components and gives no rows.
+"""
 
 from __future__ import annotations
 

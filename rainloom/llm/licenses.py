@@ -6,8 +6,8 @@ template are merged, so that an inserted or missing word doesn't break a span, a
 enough votes are verified against the words of the text.
 
 The base phrases are templates too: a diagonal on which every gram votes is a place, confirmed word by
-word. Null and empty texts have no words and no labels. Repeated rows are scanned once and reported as
-often as they occur.
+word. Null and empty texts have no words and no labels; a very long text is one row of grams like any
+other, whole. Repeated rows are scanned once and reported as often as they occur. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -4,8 +4,10 @@
 verifies every page checksum, reassembles packets from the lacing values, separates the logical streams
 and derives each packet's time from the granule positions. ``store`` and ``load`` apply them to columns.
 
-Null and empty texts give one packet of fill bytes. Rows are independent: repeated rows give repeated
-results. A damaged page is left out and reported; packets that it cuts are left out too.
+Null and empty texts give one packet of fill bytes; a very long text is one bitstream of many pages, built and
+read in memory one row at a time. Rows are independent: repeated rows give repeated results, an empty table
+none. ``demux`` leaves a damaged page out and reports it, with the packets that it cuts; ``load`` gives such a
+bitstream, and a null one, a row with the reason and null results.
 """
 
 from __future__ import annotations

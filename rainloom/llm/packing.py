@@ -7,8 +7,8 @@ closest to its end. The same filling repeats as often as the counts allow, so th
 fillings as lengths times a few, whatever the number of documents. Each rest then finds its place from
 its rank among the rests of its length.
 
-Null and empty texts are one piece of the end id. Repeated rows are packed as often as they occur. An
-empty table gives no rows.
+Null and empty texts are one piece of the end id. A very long text is cut like any other, one row at a time.
+Repeated rows are packed as often as they occur. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ again from their characters, come out as the same two pieces; where they don't,
 and a bitfield remembers positions from which no encoding goes on. Characters outside the vocabulary
 become their bytes.
 
-Null and empty texts give the begin and end ids only; rows are independent.
+Null and empty texts give the begin and end ids only; rows are independent, so repeated rows give repeated
+results and an empty table none. A very long text is encoded chunk by chunk, one row at a time; chunks above
+``Cache.LONG`` characters are not remembered.
 """
 
 from __future__ import annotations

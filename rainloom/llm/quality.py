@@ -4,7 +4,8 @@ Every rule is evaluated once per document; the ledger keeps the measurements and
 A policy is a named, versioned mask of rules: a document is kept if no bit of the mask is set. Verdicts of
 any policy and ablations (what a policy would lose or win without a rule) come from the stored bits alone.
 
-A null text has no words; it fails ``few_words``. Rows are independent, so repeated rows give repeated
+A null or empty text has no words; it fails ``few_words``. Very long texts are measured whole, an empty table
+gives no rows. Rows are independent, so repeated rows give repeated
 ledgers. Rules compare whole numbers only, so that they give the same answer everywhere.
 """
 

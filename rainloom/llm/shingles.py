@@ -9,6 +9,7 @@ candidates are cut into chunks by hash, and each two chunks are one block, so th
 group. A document without words is in no class and linked with nothing; one with fewer words than a
 shingle has them all as its only shingle. Repeated rows are documents of the same class; an id that stands
 for several texts is one document linked through each of them. Documents without an id are linked with nothing.
+The shingles of a very long text are counted whole, in a slice of its own; an empty table gives no rows.
 """
 
 from __future__ import annotations

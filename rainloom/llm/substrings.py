@@ -10,6 +10,7 @@ word, and all but the earliest of each group are marked.
 The earlier window is the one of the smaller id, or at the smaller position of the same document. A document
 is an id with a text: repeated rows are one document, an id that stands for several texts is several (in the
 order of their hashes), and each row without an id is a document of its own, after all others. Null and empty texts have no words; texts shorter than a window lose none.
+A very long text is a slice of its own, cut into windows whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -2,7 +2,9 @@
 
 A text falls into chunks at ASCII white space; no token spans two chunks, so results are kept by chunk.
 ``count_tokens`` merges pairs itself and gives counts only; ``ids`` takes the tokenizers library's merges.
-Null and empty texts have no tokens; rows are independent, so repeated rows give repeated results.
+Where Python's Unicode tables and the library's differ, the library's normaliser and splitter are asked.
+Null and empty texts have no tokens; rows are independent, so repeated rows give repeated results and an
+empty table none. A very long text is counted chunk by chunk, one row at a time.
 """
 
 from __future__ import annotations
