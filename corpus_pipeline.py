@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, near-duplicate removal, removal of repeated passages, packing."""
+"""The corpus pipeline: quality rules, near-duplicate removal, removal of repeated passages, packing.
+
+The stages take what their operators take: null and empty texts (no words: the rules reject them), texts of
+any length (whole), repeated rows (one document to the stages that compare, as many to the others), rows
+without an id (never a duplicate), further columns of any name, and empty tables (no rows).
+"""
 
 from __future__ import annotations
 
