@@ -1,19 +1,24 @@
 """Contiguous rain areas: connected components on the scan x ray lattice.
 
-Raining pixels are first compressed to runs along each scan; only runs take part in
-the component search, which alternates two contractions of the run graph (every node
-points its larger neighbours, then its smaller ones, at the smallest node it sees)
-until nothing changes. All steps are joins and min-aggregates keyed by run, so a
-component of any size is bounded by its orbit and spread over the cluster by run.
+Raining pixels are first compressed to runs along each scan. The runs of a tile of scans
+are joined where they stand, in one pass over a bounded array. Only what touches across the
+border of two tiles takes part in the component search, which alternates two contractions of
+the graph of the tiles' components (every node points its larger neighbours, then its smaller
+ones, at the smallest node it sees) until nothing changes. Its steps are joins and
+min-aggregates, so a component of any size is spread over the cluster, and the rounds grow
+with the tiles it crosses, not with its pixels.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainloom import constants as C
 from rainloom.functions.scalars import int_div, is_number, mission_code
+from rainloom.operators.geometry import TILE_SCANS
 from rainloom.session import discard, materialize
 
 ORBIT = ["mission", "orbit"]
@@ -68,7 +73,65 @@ def run_edges(runs: DataFrame, connectivity: int = 2) -> DataFrame:
         *ORBIT, (F.col("scan") - 1).alias("scan"), F.col("run").alias("v"), F.col("r0").alias("b0"), F.col("r1").alias("b1")
     )
     touching = (F.col("a0") <= F.col("b1") + reach) & (F.col("b0") <= F.col("a1") + reach)
-    return upper.join(lower, [*ORBIT, "scan"]).where(touching).select("u", "v")
+    return upper.join(lower, [*ORBIT, "scan"]).where(touching).select("u", "v", "scan")
+
+
+def touching_runs(scan: np.ndarray, r0: np.ndarray, r1: np.ndarray, tile: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs of consecutive scans of a tile that touch; runs are sorted by tile, scan and ray."""
+    line = tile * (1 << 24) + scan
+    begin, end = line * _RAY_SPAN + r0, line * _RAY_SPAN + r1
+    below = (line + 1) * _RAY_SPAN
+    low = np.maximum(np.searchsorted(end, below + r0 - reach), np.searchsorted(line, line + 1))
+    high = np.minimum(np.searchsorted(begin, below + r1 + reach, "right"), np.searchsorted(line, line + 1, "right"))
+    n = np.maximum(high - low, 0)
+    first = np.repeat(np.arange(len(scan)), n)
+    return first, np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def least_reachable(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node of each node's component: labels go along the edges and jump along themselves."""
+    root = np.arange(n)
+    while len(u):
+        low = np.minimum(root[u], root[v])
+        after = root.copy()
+        for end in (root[u], root[v]):
+            np.minimum.at(after, end, low)
+        while not np.array_equal(jumped := after[after], after):
+            after = jumped
+        root = after
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+    return root
+
+
+def tile_roots(runs: DataFrame, connectivity: int = 2, scans: int = TILE_SCANS) -> DataFrame:
+    """``runs`` with ``low``, the first run of their component inside their tile of scans.
+
+    A tile is one array with at most half as many runs per scan as there are rays.
+    """
+    reach = 1 if connectivity == 2 else 0
+    tiles = runs.groupBy(*ORBIT, int_div("scan", scans).alias("tile")).agg(F.array_sort(F.collect_list(F.struct("run", F.col("scan").cast("long").alias("scan"), F.col("r0").cast("long").alias("r0"), F.col("r1").cast("long").alias("r1")))).alias("x"))
+
+    def join(batches):
+        for batch in batches:
+            lists = batch.column("x")
+            flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            run, scan, r0, r1 = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("run", "scan", "r0", "r1"))
+            tile = np.repeat(np.arange(len(sizes)), sizes)
+            low = least_reachable(len(run), *touching_runs(scan, r0, r1, tile, reach))
+            own = [batch.column(c).take(pa.array(tile)) for c in ORBIT]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (run, scan, r0, r1, run[low]))], names=[*ORBIT, "run", "scan", "r0", "r1", "low"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
+    found = tiles.select(*ORBIT, "x").mapInArrow(join, ", ".join(f"{c} {kinds[c]}" for c in ORBIT) + ", run long, scan long, r0 long, r1 long, low long")
+    return found.select(*[F.col(c).cast(kinds[c]).alias(c) for c in (*ORBIT, "scan", "r0", "r1", "run")], "low")
+
+
+def border_edges(tiled: DataFrame, connectivity: int = 2, scans: int = TILE_SCANS) -> DataFrame:
+    """Components of neighbouring tiles that touch across the border, as (u, v), u < v."""
+    last, first = F.pmod(F.col("scan"), F.lit(scans)) == scans - 1, F.pmod(F.col("scan"), F.lit(scans)) == 0
+    rows = tiled.where(last | first)
+    return run_edges(rows.withColumns({"run": F.col("low")}), connectivity).where(F.pmod(F.col("scan"), F.lit(scans)) == scans - 1).select("u", "v").distinct()
 
 
 def _point_larger(edges: DataFrame) -> DataFrame:
@@ -136,11 +199,13 @@ def label_features(
     has no known area and is dropped as well. ``pixel_area`` comes from ``areas`` (keyed by
     pixel) or else from the swath.
     """
-    runs = materialize(scan_runs(rain_mask(swath, floors)), "runs")
-    member = components(run_edges(runs, connectivity))
-    runs = runs.join(member.withColumnRenamed("node", "run"), "run", "left").withColumn(
-        "root", F.coalesce("root", "run")
-    )
+    runs = materialize(tile_roots(scan_runs(rain_mask(swath, floors)), connectivity, TILE_SCANS), "runs")
+    edges = materialize(border_edges(runs, connectivity, TILE_SCANS), "borders")
+    if edges.isEmpty():
+        runs = runs.withColumn("root", F.col("low"))
+    else:
+        member = components(edges).withColumnRenamed("node", "low")
+        runs = runs.join(member, "low", "left").withColumn("root", F.coalesce("root", "low"))
     # The feature key leaves room for fewer than 100,000 labels per orbit, which bounds this window.
     numbered = (
         runs.where("root = run")

@@ -131,3 +131,35 @@ def test_tile_borders_do_not_show(spark):
     got = geometry.footprint_area(df).groupBy("scan").count()
     assert got.count() == n and got.where("count <> 3").count() == 0
     assert geometry.footprint_area(df).where("pixel_area IS NULL OR abs(pixel_area - 19.78) > 0.3").count() == 0
+
+
+@pytest.mark.parametrize("scans", [1, 3, 7])
+@pytest.mark.parametrize("connectivity", [1, 2])
+def test_labels_do_not_depend_on_the_tiles(spark, monkeypatch, scans, connectivity):
+    monkeypatch.setattr(labels, "TILE_SCANS", scans)
+    rng = random.Random(scans)
+    rows, want = [], {}
+    for mission, orbit in (("GPM", 7), ("TRMM", 7), ("GPM", 8)):
+        cells = {(s, r) for s in range(5, 45) for r in range(20) if rng.random() < 0.5}
+        want[mission, orbit] = flood(cells, connectivity)
+        rows += [(mission, orbit, s, r, 30.0, 1.0) for s, r in cells]
+    swath = spark.createDataFrame(rows, "mission string, orbit int, scan int, ray int, near_sfc_dbz float, pixel_area float")
+    got = defaultdict(lambda: defaultdict(set))
+    for r in labels.label_features(swath, connectivity=connectivity).collect():
+        got[r.mission, r.orbit][r.local_label].add((r.scan, r.ray))
+    assert {o: dict(v) for o, v in got.items()} == want
+
+
+def test_least_reachable():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 0), (10, 4), (200, 150), (500, 499)):
+        u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+        want = np.arange(n)
+        for _ in range(n):
+            for a, b in zip(u, v):
+                want[a] = want[b] = min(want[a], want[b])
+        assert np.array_equal(labels.least_reachable(n, u, v), want)
+    chain = np.arange(4999)
+    assert not labels.least_reachable(5000, chain, chain + 1).any()
