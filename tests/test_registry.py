@@ -16,6 +16,8 @@ CHOSEN = [
     "P14_P15_grid_bins", "C2_label_features", "A17_feature_table", "J5_parallax_gated_pct", "G4_hour_rain", "G5_hour_metrics",
     "Q11_wide_fields", "Q12_display_ranges", "Q14_rate_by_storm_class", "R4_diurnal_cycle", "F6_diurnal_by_surface", "H1_composite_p90",
     "H2_fixed_cape_lines", "E1_shear", "IO9_V5_compaction", "J9_granule_months", "T1_hourly_batch", "V3_ranges", "W3_cape_quartiles",
+    "IO2_window_of_the_lake", "IO7_G18_month_run_twice", "IO9_changed_contents", "T1_late_and_repeated", "U4_missing_months", "V5_U6_contents",
+    "W8_ordinal_of_files", "H12_exact_trees",
 ]
 
 
