@@ -573,10 +573,10 @@ register(
     doubles="pr_auc prevalence",
     longs="n",
 )
-register("H12_boosted_trees", lambda t: models.fit_gbt(fe(t), "ht40_km", rounds=5, depth=3)[1])
+register("H12_boosted_trees", lambda t: models.fit_gbt(fe(t), "ht40_km")[1])
 register(
     "H13_local_effects",
-    lambda t: models.ale(models.fit_gbt(fe(t), "ht40_km", rounds=5, depth=3)[0], models.held_out(fe(t), "ht40_km"), C.SHEAR_COL),
+    lambda t: models.ale(models.fit_gbt(fe(t), "ht40_km")[0], models.held_out(fe(t), "ht40_km"), C.SHEAR_COL),
 )
 register(
     "H14_partial_effect_linear",
@@ -616,4 +616,4 @@ register(
     longs="extreme n",
     digits=7,
 )
-register("H17_extreme_classifier", lambda t: models.fit_extreme_classifier(cd.label_extremes(fe(t)), rounds=5, depth=3))
+register("H17_extreme_classifier", lambda t: models.fit_extreme_classifier(cd.label_extremes(fe(t))))
