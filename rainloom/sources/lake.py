@@ -158,6 +158,7 @@ def _write_orbits(df: DataFrame, root: str, table: str, time_by: DataFrame | Non
     undated = places.where("year IS NULL")
     if not skip_undated and (lost := undated.first()) is not None:
         raise ValueError(f"{table}: no time is known for orbit {lost['mission']} {lost['orbit']}")
+    known = exists(df.sparkSession, f"{root}/{table}")
     dated = stored.join(places.where("year IS NOT NULL"), ["mission", "orbit"])
     out = schemas.conform(dated, schema, ("year", "month", "granule")).select(*cols, "year", "month", "granule")
     (
@@ -169,7 +170,11 @@ def _write_orbits(df: DataFrame, root: str, table: str, time_by: DataFrame | Non
         .parquet(f"{root}/{table}")
     )
     marked = out.groupBy("mission", "granule").agg(F.first("year").alias("year"), F.first("month").alias("month"), *fingerprints(cols))
-    _index(materialize(marked, f"marked-{table}"), root, table)
+    marked = materialize(marked, f"marked-{table}")
+    if known:
+        _index(marked, root, table)
+    else:  # nothing has been there before
+        _put_index(marked.withColumn("block", _block()), root, table)
     return places
 
 
