@@ -5,7 +5,9 @@ minimiser travel as one packed string (a super-k-mer) to the minimiser's bucket;
 minimisers, so all of them meet there and nowhere else. Equal strings are reduced to the earliest one
 where they arise and again where they arrive, so a passage that many documents share costs its bucket one
 string per slice of the input. Within a bucket the windows are sorted, neighbours are compared word by
-word, and all but the earliest of each group are marked.
+word, and all but the earliest of each group are marked. A bucket whose different strings exceed a size (a
+gram in very many contexts) is cut into single windows, which are dealt anew by a hash of all their words, so
+no task holds all that one minimiser attracts, and the count stays exact.
 
 The earlier window is the one of the smaller id, or at the smaller position of the same document. A document
 is an id with a text: repeated rows are one document, an id that stands for several texts is several (in the
@@ -31,6 +33,7 @@ WINDOW = 20
 GRAM = 4
 BUCKET = 1 << 20  # bytes of text whose windows share a bucket
 SLICE = 2 << 20  # bytes of a slice of the input
+HEAVY = 16 << 20  # bytes of different strings, beyond which a bucket is dealt anew by whole windows
 NO_ID = (1 << 63) - 1
 _LOW = np.uint64((1 << 24) - 1)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -136,11 +139,9 @@ def _earliest(docs: list[int], rows: list[int], starts: list[int], counts: list[
     return lost
 
 
-def _blocks(batch, buckets: int):
-    raw = [t.as_buffer().to_pybytes() for t in batch.column("text")]
-    text, starts, counts, minimiser, packed = super_kmers(raw)
-    docs, rows = (batch.column(c).to_numpy(zero_copy_only=False)[text] if len(text) else text for c in ("doc_id", "row"))
-    bucket = (minimiser % np.uint64(buckets)).astype(np.int64)
+def _dealt(docs, rows, starts, counts, key: np.ndarray, packed: list[bytes], buckets: int) -> dict:
+    """Strings by the bucket of their key, equal ones reduced, a block for each bucket."""
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else []
     out = {"bucket": [], "block": []}
@@ -153,6 +154,13 @@ def _blocks(batch, buckets: int):
     return out
 
 
+def _blocks(batch, buckets: int):
+    raw = [t.as_buffer().to_pybytes() for t in batch.column("text")]
+    text, starts, counts, minimiser, packed = super_kmers(raw)
+    docs, rows = (batch.column(c).to_numpy(zero_copy_only=False)[text] if len(text) else text for c in ("doc_id", "row"))
+    return _dealt(docs, rows, starts, counts, minimiser, packed, buckets)
+
+
 def repeated(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, packed: list[bytes], window: int = WINDOW) -> np.ndarray:
     """Rows (doc, first window, windows) of the windows of distinct strings that occur earlier."""
     order = np.lexsort((starts, docs))
@@ -187,9 +195,9 @@ def repeated(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, packed: l
     return np.stack([doc[gone[cut]], place[gone[cut]], np.diff(np.r_[cut, len(gone)])], 1)
 
 
-def _count(batches, schema):
-    """Rows come sorted by bucket; a bucket is counted when it is complete."""
-    current, best, pending = None, {}, []
+def _count(batches, schema, heavy: int):
+    """Rows come sorted by bucket; a bucket is counted when it is complete. Heavy buckets are left to _windows."""
+    current, best, size, pending = None, {}, 0, []
 
     def emit(rows):
         rows = np.concatenate([np.array(r, np.int64).reshape(-1, 4) for r in rows])
@@ -213,9 +221,15 @@ def _count(batches, schema):
                     pending.append(done())
                 if pending:
                     yield emit(pending)
-                current, best, pending = bucket, {}, []
+                current, best, size, pending = bucket, {}, 0, []
             d, r, s, c, texts, lost = _unwrap(block.as_buffer().to_pybytes())
-            pending += [lost, _earliest(d.tolist(), r.tolist(), s.tolist(), c.tolist(), texts, best)]
+            pending.append(lost)
+            if size <= heavy:
+                size += sum(len(t) for t in texts if t not in best)
+                if size <= heavy:
+                    pending.append(_earliest(d.tolist(), r.tolist(), s.tolist(), c.tolist(), texts, best))
+                else:
+                    best = {}
     if best:
         pending.append(done())
     if pending:
@@ -223,14 +237,82 @@ def _count(batches, schema):
     give_back()
 
 
+def _windows(batches, schema, buckets: int, heavy: int):
+    """The strings of heavy buckets, cut into their windows, which are dealt by a hash of all their words.
+
+    A bucket is heavy if its different strings have more than ``heavy`` bytes, in whatever order they come, so
+    this and _count agree. What is held of it is dealt each time it exceeds that size.
+    """
+    current, held, raw, best, size, lost, split = None, [], 0, {}, 0, [], False
+
+    def deal():
+        texts, places = list(best), np.array(list(best.values()), np.int64).reshape(-1, 4)
+        portion = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // (SLICE // 2)
+        cuts = np.flatnonzero(np.r_[True, np.diff(portion) != 0]) if len(texts) else []
+        for a, b in zip(cuts, [*cuts[1:], len(texts)]):
+            text, first, counts, key, packed = super_kmers(texts[a:b], WINDOW, WINDOW)
+            docs, rows, starts, _ = places[a:b][text].T
+            out = _dealt(docs, rows, starts + first, counts, key, packed, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), pa.array(out["block"], pa.binary())], schema=schema)
+        if lost:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([_wrap([], [], [], [], [], lost)], pa.binary())], schema=schema)
+
+    for batch in batches:
+        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):
+            if bucket != current:
+                if split:
+                    yield from deal()
+                current, held, raw, best, size, lost, split = bucket, [], 0, {}, 0, [], False
+            held.append(block.as_buffer().to_pybytes())
+            raw += zstandard.frame_content_size(held[-1])
+            if raw <= heavy:  # an upper bound of the size: most buckets are never unpacked here
+                continue
+            for data in held:
+                d, r, s, c, texts, _ = _unwrap(data)
+                size += sum(len(t) for t in texts if t not in best)
+                lost += _earliest(d.tolist(), r.tolist(), s.tolist(), c.tolist(), texts, best)
+                if size > heavy:
+                    yield from deal()
+                    best, size, lost, split = {}, 0, [], True
+            held = []
+    if split:
+        yield from deal()
+    give_back()
+
+
+def _settle(batches, schema):
+    """Single windows in buckets of their own hash: equal ones meet, all but the earliest are lost."""
+    current, best = None, {}
+
+    def emit(rows):
+        rows = np.array(rows, np.int64).reshape(-1, 4)
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(3)), pa.array(rows[:, 3] + WINDOW - 1)], schema=schema)
+
+    for batch in batches:
+        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):
+            if bucket != current:
+                current, best = bucket, {}
+            d, r, s, c, texts, lost = _unwrap(block.as_buffer().to_pybytes())
+            yield emit([*lost.tolist(), *_earliest(d.tolist(), r.tolist(), s.tolist(), c.tolist(), texts, best)])
+    give_back()
+
+
 def passages(texts: DataFrame) -> DataFrame:
-    """Spans (doc_id, row, start, n) of words that a window covers which occurs earlier; spans may overlap. Of _keyed."""
+    """Spans (doc_id, row, start, n) of words that a window covers which occurs earlier; spans may overlap. Of _keyed.
+
+    Both branches read the same shuffled blocks: one counts the buckets, the other cuts the heavy ones into windows.
+    """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = parts(texts, 32, 3 * size / 1e6)
-    buckets = max(tasks, size // BUCKET + 1)
-    blocks = map_texts(texts, lambda b: _blocks(b, buckets), "bucket long, block binary", limit=SLICE)
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "row", "start", "n")])
-    return blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: _count(x, schema), "doc_id long, row long, start long, n long")
+    buckets, heavy = max(tasks, size // BUCKET + 1), HEAVY
+    found, keyed = "doc_id long, row long, start long, n long", "bucket long, block binary"
+    spans = pa.schema([(c, pa.int64()) for c in ("doc_id", "row", "start", "n")])
+    block = pa.schema([("bucket", pa.int64()), ("block", pa.binary())])
+    blocks = map_texts(texts, lambda b: _blocks(b, buckets), keyed, limit=SLICE)
+    blocks = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    single = blocks.mapInArrow(lambda x: _windows(x, block, 8 * tasks, heavy), keyed)
+    single = single.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return blocks.mapInArrow(lambda x: _count(x, spans, heavy), found).unionByName(single.mapInArrow(lambda x: _settle(x, spans), found))
 
 
 def _with_row(docs: DataFrame, row: str, id_col: str, text_col: str) -> DataFrame:

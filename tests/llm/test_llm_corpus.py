@@ -6,7 +6,9 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rainloom.llm import pages, shingles, substrings
@@ -90,6 +92,39 @@ def test_rows_without_id_and_shared_ids(make_docs):
     assert got[None, words("x", 25)] == got[None, ""] == 1 and sum(got.values()) == len(rows)
 
 
+def test_heavy_minimisers_are_split(make_docs, monkeypatch):
+    """One gram in hundreds of contexts, with repeats among them: several buckets share it."""
+    rng = random.Random(5)
+    gram, shared = "one two three four", " ".join(f"s{k}" for k in range(25))
+    texts = []
+    for k in range(400):
+        left, right = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(18)) for _ in range(2))
+        texts.append(f"{left} {gram} {right}" if k % 3 else f"{left} {gram} {shared} {right}")
+    rows = list(enumerate(texts + texts[::7])) + [(None, texts[3]), (None, texts[6])]
+    docs = make_docs(rows).repartition(3)
+    monkeypatch.setattr(substrings, "HEAVY", 3000)
+    check_removed(substrings.remove(docs), rows)
+    blocks = substrings._blocks(pa.record_batch({"doc_id": range(400), "row": [0] * 400, "text": [t.encode() for t in texts]}), 8)
+    batches = [pa.record_batch({"bucket": [b], "block": [x]}) for b, x in zip(blocks["bucket"], blocks["block"])]
+    schema = batches[0].schema
+    dealt = Counter(b for batch in substrings._windows(batches, schema, 64, 3000) for b in batch.column("bucket").to_pylist())
+    assert len(dealt) == 64
+    assert list(substrings._windows(batches, schema, 64, 1 << 30)) == []
+
+
+def test_all_buckets_split_on_whole_table(spark, data_dir, texts, monkeypatch):
+    monkeypatch.setattr(substrings, "HEAVY", 0)
+    check_removed(QUERIES["op3_super_kmers"](spark, data_dir), texts)
+
+
+def test_branches_share_their_blocks(make_docs, monkeypatch):
+    monkeypatch.setattr(substrings, "HEAVY", 0)
+    docs = substrings._keyed(make_docs([(k, "a b c " * 20) for k in range(5)]).withColumn("row", F.lit(0).cast("long")), "row", "doc_id", "text")
+    found = substrings.passages(docs)
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_super_kmers_hold_every_window_once():
     rng = random.Random(7)
     raw = [" ".join(rng.choice("abcde") * rng.randrange(1, 3) for _ in range(n)).encode() for n in (0, 5, 19, 20, 21, 300)]
