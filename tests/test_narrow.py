@@ -26,3 +26,9 @@ def test_smaller_radius_first(spark, monkeypatch):
     assert steps == ["nearest"]
     assert got == sorted(colocate.nearest_within(targets, sources, "pct", first_m=0).collect())
     assert steps == ["nearest"] and [r.source_ray for r in got] == [min(r, 29) for r in range(33)]
+
+
+def test_large_sources_are_not_dealt_again(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert "Exchange" not in testbed._spread(spark.range(100, numPartitions=cores))._jdf.queryExecution().executedPlan().toString()
+    assert testbed._spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == cores
