@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,9 +35,11 @@ def utf8(text: Column) -> Column:
 
 def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most ``limit`` bytes of ``column``; a longer row comes alone."""
+    some = False
     for batch in batches:
         if not batch.num_rows:
             continue
+        some = True
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
@@ -44,9 +47,19 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    if some:
+        forget()
     give_back()
 
 
+def forget() -> None:
+    """Empty the word caches that nothing has used since the last call: the worker has gone on to another operator."""
+    for cache in list(_caches):
+        if not cache.used:
+            cache.new, cache.old = {}, {}
+        cache.used = False
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live on, and other stages share their executor's memory."""
     pa.default_memory_pool().release_unused()
@@ -87,6 +100,10 @@ def free_name(df: DataFrame, stem: str) -> str:
     return next(n for k in range(len(df.columns) + 1) if (n := f"_{stem}{k}") not in df.columns)
 
 
+#: The caches of this process, of whichever operators it has worked for.
+_caches: weakref.WeakSet[Cache] = weakref.WeakSet()
+
+
 class Cache:
     """Results by word, in two generations: the older one is dropped when the younger is full.
 
@@ -96,18 +113,22 @@ class Cache:
     LONG = 128
 
     def __init__(self, limit: int = 400_000):
-        self.limit, self.new, self.old = limit, {}, {}
+        self.limit, self.new, self.old, self.used = limit, {}, {}, True
+        _caches.add(self)
 
     def all(self, words: list, make: Callable[[list], list]) -> list:
         """A result for each word; ``make`` gets those not met lately, each once."""
+        self.used = True
         get = self.new.get
         found = list(map(get, words))
         if None in found:
-            old, missing = self.old, dict.fromkeys(w for w, r in zip(words, found) if r is None)
+            places = [i for i, r in enumerate(found) if r is None]
+            old, missing = self.old, dict.fromkeys(map(words.__getitem__, places))
             fresh = [w for w in missing if w not in old]
             made = dict(zip(fresh, make(fresh))) if fresh else {}
             self.new |= {w: made[w] if w in made else old[w] for w in missing}
-            found = list(map(get, words))
+            for i in places:
+                found[i] = get(words[i])
             for w in [w for w in fresh if len(w) > self.LONG]:
                 del self.new[w]
             if len(self.new) > self.limit:

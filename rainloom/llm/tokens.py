@@ -14,6 +14,7 @@ import json
 import unicodedata
 from functools import lru_cache
 from itertools import islice
+from struct import pack
 
 import regex
 from pyspark.sql import DataFrame
@@ -56,6 +57,8 @@ class Words:
         raise NotImplementedError
 
     def symbols(self, word: str) -> str:
+        if word.isascii() and word.isprintable() and " " not in word:  # these stand for themselves
+            return word
         return "".join(map(self.symbol.__getitem__, word.encode()))
 
     def split(self, chunk: str) -> list[str]:
@@ -175,7 +178,7 @@ class Ids(Words):
 
     def word(self, word: str) -> bytes:
         found = [self.special[word]] if word in self.special else [t.id for t in self.model.tokenize(self.symbols(word))]
-        return b"".join(i.to_bytes(4, "little") for i in found)
+        return pack(f"<{len(found)}I", *found)
 
     def text(self, text: str) -> bytes:
         return b"".join(self.of(text, b"".join))
