@@ -1,7 +1,34 @@
-"""Wide projections stay within what the JVM compiles."""
+"""Fits pass over stored rows, so what derives them runs once; wide projections stay within what the JVM compiles."""
+
+import pytest
+from pyspark.sql import functions as F
 
 from rainloom import testbed
-from rainloom.session import HUGE_METHODS
+from rainloom.plans import models
+from rainloom.session import HUGE_METHODS, growing
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def joined(spark):
+    k = F.col("id")
+    left = spark.range(200).select(k.alias("feature_id"), (k % 7 + k % 3 + k % 5 / 10).alias("y"))
+    return left.join(growing(spark.range(200).select(k.alias("feature_id"), (k % 7).cast("double").alias("x"), (k % 3).cast("double").alias("t"))), "feature_id")
+
+
+def test_partial_effect_joins_once(joined):
+    assert "Join" in _plan(joined) and "Join" not in _plan(models.partial_effect(joined, "y", "t", ["x"], nuisance="linear"))
+
+
+@pytest.mark.parametrize("fit", [lambda df: models.fit_gbt(df, "y", ("x", "t"), rounds=2, depth=2), lambda df: models.fit_extreme_classifier(df.withColumn("e", (F.col("y") > 6).cast("int")), "e", ("x", "t"), rounds=2, depth=2)])
+def test_boosted_fits_join_once(joined, monkeypatch, fit):
+    seen, split = [], models.hash_split
+    monkeypatch.setattr(models, "hash_split", lambda df, *x: seen.append(_plan(df)) or split(df, *x))
+    fit(joined)
+    assert len(seen) == 1 and "Join" not in seen[0]
 
 
 def test_methods_can_be_compiled(spark):
