@@ -1,10 +1,13 @@
 """Fits pass over stored rows, so what derives them runs once; wide projections stay within what the JVM compiles."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_points
 from rainloom import testbed
-from rainloom.plans import models
+from rainloom.plans import boosting, models
 from rainloom.session import HUGE_METHODS, growing
 
 
@@ -31,6 +34,21 @@ def test_boosted_fits_join_once(joined, monkeypatch, fit):
     assert len(seen) == 1 and "Join" not in seen[0]
 
 
+def test_exact_fit_leaves_no_tables(joined, monkeypatch):
+    paths, write = [], boosting.materialize
+    monkeypatch.setattr(boosting, "materialize", lambda df, label: paths.append(write(df, label)) or paths[-1])
+    boosting.fit_exact(joined.withColumn("train", F.lit(True)), "y", ("x", "t"), rounds=2, depth=1)
+    assert len(paths) == 2 and not any(os.path.exists(p.stored_at) for p in paths)
+
+
+def test_extremes_join_once(spark, data_dir, monkeypatch):
+    monkeypatch.setattr(testbed, "_inputs", {})
+    seen, split = [], boosting.md5_split
+    monkeypatch.setattr(boosting, "md5_split", lambda df, *x: seen.append(_plan(df)) or split(df, *x))
+    entry_points.queries()["H17_exact_precision"](spark, data_dir)
+    assert len(seen) == 1 and "SortMergeJoin" not in seen[0]
+
+
 def test_methods_can_be_compiled(spark):
     spark.conf.set(HUGE_METHODS, "65535")
     testbed.inputs(spark, "nowhere")
