@@ -37,6 +37,8 @@ HEAVY = 16 << 20  # bytes of different strings, beyond which a bucket is dealt a
 NO_ID = (1 << 63) - 1
 _LOW = np.uint64((1 << 24) - 1)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first bytes of eight
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
 def _rolled(h: np.ndarray, k: int) -> np.ndarray:
@@ -59,6 +61,19 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_FACTOR), n, 1 << 64))
 
 
+def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at these places, eight bytes at a time; the same in every process."""
+    eights = np.ndarray(len(data), "<u8", np.r_[data, np.zeros(8, np.uint8)], strides=(1,))  # from each byte on
+    h = mixed(eights[starts] & _FIRST[np.minimum(lengths, 8)] ^ lengths.astype(np.uint64) * _FACTOR)
+    done, more = 8, np.flatnonzero(lengths > 8)
+    while len(more) and done < 64:
+        h[more] = mixed(h[more] * _FACTOR + (eights[starts[more] + done] & _FIRST[np.minimum(lengths[more] - done, 8)]))
+        done += 8
+        more = more[lengths[more] > done]
+    h[more] = word_hash([data[a : a + k].tobytes() for a, k in zip(starts[more].tolist(), lengths[more].tolist())])
+    return h
+
+
 def _numbered(words: list[bytes]) -> tuple[np.ndarray, dict[bytes, int]]:
     number = dict.fromkeys(words)
     for k, w in enumerate(number):
@@ -68,16 +83,22 @@ def _numbered(words: list[bytes]) -> tuple[np.ndarray, dict[bytes, int]]:
 
 def super_kmers(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Text number, first window, number of windows, minimiser hash and packed words of each super-k-mer."""
-    words, bounds = [], [0]
-    for t in texts:
-        words += t.split()
-        bounds.append(len(words))
-    n = len(words)
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    space = _SPACE[data]
+    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    n = len(starts)
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, none, none.view(np.uint64), []
-    ids, number = _numbered(words)
-    grams = mixed(_rolled(word_hash(list(number))[ids], gram))
+    ends = np.flatnonzero(space & np.r_[False, ~space[:-1]])
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    keep = ~space
+    keep[ends] = True
+    lengths = ends - starts
+    stops = np.cumsum(lengths + 1) - 1
+    data = data[keep]  # words joined by one space
+    data[stops] = 32
+    grams = mixed(_rolled(_hashes(data, stops - lengths, lengths), gram))
     grams = grams & ~_LOW | np.arange(len(grams), dtype=np.uint64) & _LOW  # the leftmost of equal ones
     least, width, span = grams, 1, window - gram + 1
     while width * 2 <= span:
@@ -92,13 +113,11 @@ def super_kmers(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> t
     value = least[at]
     cut = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (value[1:] != value[:-1])])
     first, count = at[cut], np.diff(np.r_[cut, len(at)])
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    stops = np.cumsum(lengths + 1) - 1
-    whole = b" ".join(words)
+    whole = data.tobytes()
     begin, end = (stops - lengths)[first].tolist(), stops[first + count + window - 2].tolist()
     packed = [whole[a:b] for a, b in zip(begin, end)]
     text = owner[first]
-    return text, first - np.array(bounds)[text], count, mixed(value[cut] >> np.uint64(24)), packed
+    return text, first - bounds[text], count, mixed(value[cut] >> np.uint64(24)), packed
 
 
 def _wrap(docs, rows, starts, counts, texts: list[bytes], lost: list[tuple[int, int, int, int]]) -> bytes:
@@ -161,26 +180,40 @@ def _blocks(batch, buckets: int):
     return _dealt(docs, rows, starts, counts, minimiser, packed, buckets)
 
 
+def _alike(whole: bytes, begins: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> bool:
+    """Whether the windows from the words ``a`` are those from the words ``b``; consecutive ones are compared at once."""
+    order = np.argsort(b)
+    a, b = a[order], b[order]
+    cut = np.flatnonzero(np.r_[True, (np.diff(a) != 1) | (np.diff(b) != 1)]) if len(a) else order
+    last = np.r_[cut[1:], len(a)] - 1 if len(a) else order
+    places = (begins[a[cut]], ends[a[last] + window - 1], begins[b[cut]], ends[b[last] + window - 1])
+    return all(whole[p:q] == whole[r:s] for p, q, r, s in zip(*(x.tolist() for x in places)))
+
+
 def repeated(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, packed: list[bytes], window: int = WINDOW) -> np.ndarray:
     """Rows (doc, first window, windows) of the windows of distinct strings that occur earlier."""
     order = np.lexsort((starts, docs))
     docs, starts, counts = docs[order], starts[order], counts[order]
-    ids, number = _numbered(b" ".join([packed[i] for i in order]).split(b" "))
+    whole = b" ".join([packed[i] for i in order]) + b" "
+    data = np.frombuffer(whole, np.uint8)
+    ends = np.flatnonzero(data == 32)
+    begins = np.r_[0, ends[:-1] + 1]
     length = counts + window - 1
     base = np.cumsum(length) - length
     total = int(counts.sum())
     inner = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
     word, doc, place = np.repeat(base, counts) + inner, np.repeat(docs, counts), np.repeat(starts, counts) + inner
-    seed = 1
+    key, seed, ids = _rolled(mixed(_hashes(data, begins, ends - begins)), window)[word], 0, None
     while True:
-        values = mixed(np.arange(1, len(number) + 1, dtype=np.uint64) * np.uint64(2 * seed + 1))
-        key = _rolled(values[ids], window)[word]
         sort = np.argsort(key, kind="stable")  # windows stand in order of document and position, and stay so
         same = np.flatnonzero(key[sort[1:]] == key[sort[:-1]])
-        a, b = word[sort[same]], word[sort[same + 1]]
-        if all(np.array_equal(ids[a + k], ids[b + k]) for k in range(window)):
+        if _alike(whole, begins, ends, word[sort[same]], word[sort[same + 1]], window):
             break
-        seed += 1  # two different windows have the same hash: other hashes
+        seed += 1  # two different windows have the same hash: other hashes, of numbered words
+        if ids is None:
+            ids, number = _numbered(whole[:-1].split(b" "))
+        values = mixed(np.arange(1, len(number) + 1, dtype=np.uint64) * np.uint64(2 * seed + 1))
+        key = _rolled(values[ids], window)[word]
     if not len(same):
         return np.zeros((0, 3), np.int64)
     leader = np.arange(total)

@@ -156,6 +156,32 @@ def test_hash_collisions_are_sorted_out(monkeypatch):
     assert got.tolist() == [[4, 0, 1]] and len(calls) > 1
 
 
+def test_words_are_hashed_side_by_side(monkeypatch):
+    """No dictionary of words on the usual path; words of any length and any white space."""
+    monkeypatch.setattr(substrings, "_numbered", None)
+    rng = random.Random(9)
+    words = ["w" * k for k in (1, 7, 8, 9, 16, 63, 64, 65, 500)] + ["w" * 70 + x for x in "ab"] + ["\u00e9\u4e2d\u00a0", "\x00"]
+    raw = ["".join(rng.choice(words) + rng.choice([" ", "  ", "\t", "\n\x0b", "\x0c\r"]) for _ in range(n)).encode() for n in (0, 19, 20, 400)]
+    raw += [b" \n", raw[3], raw[3].replace(b"wa", b"wb", 1)]
+    text, starts, counts, _, packed = substrings.super_kmers(raw)
+    for t, s, c, p in zip(text, starts, counts, packed):
+        assert p.split(b" ") == raw[t].split()[s : s + c + 19]
+    windows = sorted((t, s + k, tuple(p.split(b" ")[k : k + 20])) for t, s, c, p in zip(text, starts, counts, packed) for k in range(c))
+    seen, later = set(), set()
+    for t, s, w in windows:
+        if w in seen:
+            later.add((t, s))
+        seen.add(w)
+    got = substrings.repeated(text, starts, counts, packed)
+    assert {(d, s + k) for d, s, n in got.tolist() for k in range(n)} == later
+    assert len({h for h in substrings._hashes(np.frombuffer(b"".join(b"%s " % w.encode() for w in words), np.uint8), *places(words)).tolist()}) == len(words)
+
+
+def places(words):
+    lengths = np.array([len(w.encode()) for w in words])
+    return np.cumsum(lengths + 1) - lengths - 1, lengths
+
+
 # --- near duplicates --------------------------------------------------------------------
 
 
