@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks import load_registry
 from rainloom.operators import colocate, echotops, environment, features, gridding, labels
 from rainloom.session import materialize
 
@@ -47,3 +48,8 @@ def test_classes_and_environment_are_shuffled(lattice):
     assert "Broadcast" not in _plan(gridding.class_maps(feats, feats))
     assert "Broadcast" not in _plan(gridding.join_pixels_features(feats, feats))
     assert "Broadcast" not in _plan(environment.left_env(feats, feats.withColumn("time", F.lit(0))))
+
+
+def test_registered_joins_are_shuffled(spark, data_dir):
+    for name in ("A10_thin", "E1_shear"):
+        assert "Broadcast" not in _plan(load_registry()[name].run(spark, data_dir)), name
