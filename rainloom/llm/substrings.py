@@ -4,8 +4,8 @@ The minimiser of a window is its gram of words with the least hash. Consecutive
 minimiser travel as one packed string (a super-k-mer) to the minimiser's bucket; equal windows have equal
 minimisers, so all of them meet there and nowhere else. Equal strings are reduced to the earliest one
 where they arise and again where they arrive, so a passage that many documents share costs its bucket one
-string per slice of the input. Within a bucket the windows are sorted, neighbours are compared word by
-word, and all but the earliest of each group are marked. A bucket whose different strings exceed a size (a
+string per slice of the input. Within a bucket the windows are sorted by a hash, neighbours are compared byte
+by byte, and all but the earliest of each group are marked. A bucket whose different strings exceed a size (a
 gram in very many contexts) is cut into single windows, which are dealt anew by a hash of all their words, so
 no task holds all that one minimiser attracts, and the count stays exact.
 
