@@ -64,7 +64,7 @@ def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
     assert stored.count() == 7
 
 
-@pytest.mark.parametrize("name", ["A4_bbox", "IO1_read_months"])
+@pytest.mark.parametrize("name", ["A4_bbox", "G18_month_job", "IO1_read_months"])
 def test_arrays_are_not_stored(spark, data_dir, name, monkeypatch):
     monkeypatch.setattr(testbed, "_inputs", {})
     entry_points.queries()[name](spark, data_dir).collect()
